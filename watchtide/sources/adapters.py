@@ -114,7 +114,39 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as log messages."""
+    """Documents as log messages, one per second up to the reference time."""
     return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("tenant_id"), F.col("text").alias("message")
+        F.col("doc_id").cast("string").alias("id"),
+        F.timestamp_seconds(F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.col("doc_id")).alias("timestamp"),
+        F.col("source").alias("tenant_id"),
+        F.col("lang").alias("service"),
+        F.col("text").alias("message"),
+    )
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert signals out of error and purchase events."""
+    events = _events(spark, sf_dir).filter(F.col("event_type").isin("error", "purchase"))
+    return events.select(
+        *_owner(), "timestamp",
+        _tag("r", F.col("event_id") % 4).alias("rule_id"), _tag("rule ", F.col("event_id") % 4).alias("rule_name"),
+        (F.col("event_id") % 100 / F.lit(100.0)).alias("confidence"),
+        F.when(F.col("event_id") % 3 == 0, _tag("d", F.col("event_id"))).otherwise("").alias("deploy_id"),
+        (300 * (1 + F.col("event_id") % 3)).cast("int").alias("window_seconds"),
+        F.col("event_id").cast("string").alias("id"),
+    )
+
+
+def resolves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolves of alert signals out of every fifth signup."""
+    events = _events(spark, sf_dir).filter((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0))
+    return events.select(*_owner(), "timestamp")
+
+
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows with an actor, inside the three tenants."""
+    events = _events(spark, sf_dir)
+    return events.select(
+        _owner()[0], F.col("timestamp").alias("created_at"), _tag("User_", F.col("user_id") % 50).alias("actor"),
+        F.concat(F.lit("Logs."), "event_type").alias("action"), F.col("event_id").cast("string").alias("id"),
     )
