@@ -19,18 +19,15 @@ def main(names: list[str]) -> int:
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
-    import importlib
-
-    modules = os.environ.get("MODULES")
-    if modules:
-        for m in modules.split(","):
-            importlib.import_module(f"watchtide.catalog.{m}")
-        from watchtide.catalog.base import ORACLES, QUERIES
-    else:
-        from watchtide.catalog import ORACLES, QUERIES
+    from watchtide.catalog import ORACLES, QUERIES
+
+    wanted = names
+    if os.environ.get("FROM"):
+        listed = list(QUERIES)
+        wanted = listed[listed.index(os.environ["FROM"]):]
     con = connect(sf_dir)
     failed = 0
-    for name in names or list(QUERIES):
+    for name in wanted or list(QUERIES):
         start = time.time()
         try:
             left = spark_rows(QUERIES[name](spark, sf_dir))

@@ -107,10 +107,10 @@ ADAPTERS = {
         concat('User_', cast(user_id % 50 AS string)) AS actor, concat('Logs.', event_type) AS action, cast(event_id AS string) AS id FROM events""",
     # child spans with their caller; every later trace query starts here
     "calls": """SELECT c.tenant_id, p.service AS caller, c.service AS callee, c.status_code, c.duration_ns
-        FROM traces c JOIN traces p ON c.tenant_id = p.tenant_id AND c.trace_id = p.trace_id AND c.parent_span_id = p.span_id
+        FROM {traces} c JOIN {traces} p ON c.tenant_id = p.tenant_id AND c.trace_id = p.trace_id AND c.parent_span_id = p.span_id
         WHERE p.service <> c.service""",
     "edges": """SELECT tenant_id, caller, callee, count(*) AS calls, count(*) FILTER (status_code = 'error') AS errors,
-        quantile_cont(duration_ns, 0.95) / 1e6::DOUBLE AS p95_ms FROM calls GROUP BY ALL""",
+        quantile_cont(duration_ns, 0.95) / 1e6::DOUBLE AS p95_ms FROM {calls} GROUP BY ALL""",
 }
 _NEEDS = {"edges": ["calls"], "calls": ["traces"]}
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -135,7 +135,7 @@ def with_adapters(sql: str) -> str:
     for name in used:
         body = ADAPTERS[name]
         for other in _NEEDS.get(name, []):
-            body = re.sub(rf"\b{other}\b", f"a_{other}", body)
+            body = body.replace("{" + other + "}", f"a_{other}")
         ctes.append(f"a_{name} AS ({body})")
     sql = sql.strip()
     if not ctes:

@@ -27,6 +27,21 @@ BASIC_MASKS = [
 ]
 ACTIONS = ("mask", "hash", "drop_field", "drop_record")
 
+# The detectors read letters and digits of every script, the basic masks only ASCII. A plain ``\\b``
+# differs between Java versions, so both are spelled out.
+_ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def _any_script(pattern: str) -> str:
+    return f"(?U){pattern}" if "\\" in pattern.replace("\\-", "").replace("\\.", "") else pattern
+
+
+def _ascii_only(pattern: str) -> str:
+    return pattern.replace(r"\b", _ASCII_EDGE)
+
+
+_SPARK_DETECTORS = {kind: _any_script(pattern) for kind, pattern in DETECTORS.items()}
+
 
 def luhn_ok(text: Column) -> Column:
     """Mod-10 check over the digits of a 13 to 19 digit candidate."""
@@ -63,7 +78,7 @@ def _rewrite_matches(text: Column, pattern: str, replace) -> Column:
 
 
 def _detect(text: Column, kind: str, action: str) -> Column:
-    pattern = DETECTORS[kind]
+    pattern = _SPARK_DETECTORS[kind]
     if kind == "card":
         rewritten = _rewrite_matches(
             text, pattern, lambda m: F.when(luhn_ok(m), _replacement(kind, action, m)).otherwise(m)
@@ -141,7 +156,7 @@ def mask_text_basic(column) -> Column:
     """Typed placeholders for bearer tokens, JWTs, e-mails, IPv4 addresses and long digit runs."""
     out = as_col(column)
     for pattern, placeholder in BASIC_MASKS:
-        out = F.regexp_replace(out, pattern, placeholder)
+        out = F.regexp_replace(out, _ascii_only(pattern), placeholder)
     return out
 
 

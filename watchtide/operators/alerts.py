@@ -241,7 +241,7 @@ def calibrate(signals: DataFrame, factors: DataFrame) -> DataFrame:
 
 # ---- routing -------------------------------------------------------------------------------
 
-CLAUSE = re.compile(r"^([\w.]+)\s*(>=|<=|!=|=~|==|=|>|<)\s*(.+)$", re.S)
+CLAUSE = re.compile(r"^([\w.]+)\s*(>=|<=|!=|=~|==|=|>|<)\s*(.+)$", re.S | re.A)
 LABEL_PREFIXES = ("labels.", "label.")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.basics import blank_to_null
 from ..functions.fields import fingerprint
+from ..functions.folding import fold_part
 from ..plans.closure import components
 from ..plans.sweep import asof_join
+from ..session import reliable_checkpoint
 from .alerts import ANY_SERVICE, severity_bucket
 from .traces import neighbors
 
@@ -85,7 +87,7 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
     signals shrink to one row per (service, stretch between resolves) before the order-dependent fold,
     and the fold runs per connected part.
     """
-    near = neighbors(edges)
+    near = reliable_checkpoint(neighbors(edges))
     parts = components(near, ["tenant_id"], "service", "neighbor").withColumnRenamed("component", "_part")
 
     def with_part(df: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
         F.coalesce("near", F.array().cast("array<string>")).alias("near"),
     )
     schema = "tenant_id string, part string, service string, stretch timestamp, host string, opened timestamp"
-    placed = facts.groupBy("tenant_id", "part").applyInPandas(_fold_part, schema)
+    placed = facts.groupBy("tenant_id", "part").applyInPandas(fold_part, schema)
     target = placed.select(
         "tenant_id", F.col("part").alias("_part"), "service", F.col("stretch").alias("_stretch"),
         F.col("host").alias("host_service"), F.col("opened").alias("_closed"),
@@ -117,21 +119,3 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
     )
     joined = cut.alias("s").join(target.alias("t"), same).select("s.*", "t.host_service", "t._closed")
     return joined.withColumn("fingerprint", fingerprint("tenant_id", "host_service"))
-
-
-def _fold_part(pdf):
-    """Play the openings and resolves of one connected part in time order."""
-    import pandas as pd
-
-    pdf = pdf.assign(order=(pdf["what"] == "resolve").astype(int)).sort_values(["at", "order", "service"])
-    opened: dict[str, object] = {}
-    out = []
-    for row in pdf.itertuples(index=False):
-        if row.what == "resolve":
-            opened.pop(row.service, None)
-            continue
-        candidates = [(opened[n], n) for n in row.near if n in opened]
-        host = min(candidates)[1] if candidates else row.service
-        opened.setdefault(host, row.at)
-        out.append((row.tenant_id, row.part, row.service, row.stretch, host, opened[host]))
-    return pd.DataFrame(out, columns=["tenant_id", "part", "service", "stretch", "host", "opened"])

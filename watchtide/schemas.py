@@ -6,6 +6,8 @@ sidecars (``ts_ns``) keep the digits a Spark timestamp cannot hold.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +85,10 @@ PARTITION_COLUMNS = ["tenant_id", "yyyymm"]
 ROLLUP_RETENTION_DAYS = {"5 minutes": 90, "1 hour": 365}
 
 
-def _parse(text: str) -> tuple[T.StructType, dict[str, str]]:
+@functools.cache
+def _parse(table: str) -> tuple[T.StructType, dict[str, str]]:
     fields, defaults = [], {}
-    for part in text.replace("\n", "|").split("|"):
+    for part in _TABLES[check_table(table)].replace("\n", "|").split("|"):
         if not part.strip():
             continue
         name, kind, default = part.split()
@@ -95,11 +98,11 @@ def _parse(text: str) -> tuple[T.StructType, dict[str, str]]:
 
 
 _TABLES = {
-    "logs": _parse(_LOGS),
-    "metrics": _parse(_METRICS),
-    "traces": _parse(_TRACES),
-    "auth_events": _parse(_AUTH_EVENTS),
-    "change_events": _parse(_CHANGE_EVENTS),
+    "logs": _LOGS,
+    "metrics": _METRICS,
+    "traces": _TRACES,
+    "auth_events": _AUTH_EVENTS,
+    "change_events": _CHANGE_EVENTS,
 }
 SIGNAL_TABLES = tuple(_TABLES)
 
@@ -111,12 +114,12 @@ def check_table(table: str) -> str:
 
 
 def signal_schema(table: str) -> T.StructType:
-    return _TABLES[check_table(table)][0]
+    return _parse(table)[0]
 
 
 def default_for(table: str, column: str) -> Column | None:
     """The default of a column, or None where a value is required (timestamps)."""
-    schema, defaults = _TABLES[check_table(table)]
+    schema, defaults = _parse(table)
     text, kind = defaults[column], schema[column].dataType
     if text == "-":
         return None
