@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 
 
@@ -19,3 +21,111 @@ def fold_part(pdf: pd.DataFrame) -> pd.DataFrame:
         opened.setdefault(host, row.at)
         out.append((row.tenant_id, row.part, row.service, row.stretch, host, opened[host]))
     return pd.DataFrame(out, columns=["tenant_id", "part", "service", "stretch", "host", "opened"])
+
+
+def _joined(frames) -> pd.DataFrame:
+    frames = [f for f in frames if len(f)]
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+
+
+def _micros(value) -> int:
+    return pd.Timestamp(value).value // 1000
+
+
+def _stamp(us):
+    return pd.NaT if us is None else pd.Timestamp(us * 1000)
+
+
+def fold_cycles(key, frames, state, settings, cycle):
+    """Firing changes of one rule over its evaluation cycles."""
+    tenant, rule = key
+    kind, threshold, window = settings[rule]
+    step = cycle * 1_000_000
+    known = json.loads(state.get[0]) if state.exists else {"recent": [], "last": None, "firing": False, "fired": None}
+    pdf = _joined(frames)
+    counts = {}
+    for at, n in zip(pdf["cycle"], pdf["n"]) if len(pdf) else ():
+        us = _micros(at)
+        counts[us] = counts.get(us, 0) + int(n)
+    recent = [tuple(r) for r in known["recent"]]
+    out = []
+
+    def evaluate(at: int) -> None:
+        nonlocal recent
+        recent = [r for r in recent if r[0] > at - window * 1_000_000]
+        total = sum(n for _, n in recent)
+        firing = total == 0 if kind == "absence" else kind == "threshold" and threshold is not None and total > threshold
+        if firing == known["firing"]:
+            return
+        known["firing"] = firing
+        if firing:
+            known["fired"] = at
+        out.append((tenant, rule, _stamp(at), firing, _stamp(known["fired"]), pd.NaT if firing else _stamp(at)))
+
+    for at in sorted(counts):
+        if known["last"] is not None:
+            # nothing changes any more once a whole window has been silent
+            silent = known["last"] + step
+            quiet_end = min(at, known["last"] + window * 1_000_000 + 2 * step)
+            while silent < quiet_end:
+                evaluate(silent)
+                silent += step
+        if counts[at]:
+            recent.append((at, counts[at]))
+        evaluate(at)
+        known["last"] = at
+    known["recent"] = recent
+    state.update((json.dumps(known),))
+    if out:
+        yield pd.DataFrame(out, columns=["tenant_id", "rule_id", "cycle", "firing", "fired_at", "resolved_at"])
+
+
+_INCIDENT = [
+    "tenant_id", "service", "rule_name", "confidence", "signal_count", "first_seen", "last_seen",
+    "deploy_id", "correlated_rules", "paged_at", "status", "resolved_at",
+]
+
+
+def fold_incidents(key, frames, state, page_at):
+    """Opening, growing and closing the incidents of one service."""
+    tenant, service = key
+    current = json.loads(state.get[0]) if state.exists else None
+    touched = []
+
+    def show(incident, status, resolved):
+        return (
+            tenant, service, incident["name"], incident["confidence"], incident["count"], _stamp(incident["first"]),
+            _stamp(incident["last"]), incident["deploy"], incident["rules"], _stamp(incident["paged"]), status, _stamp(resolved),
+        )
+
+    pdf = _joined(frames)
+    grown = False
+    if len(pdf):
+        pdf = pdf.assign(order=(pdf["what"] == "resolve").astype(int)).sort_values(["timestamp", "order", "rule_id", "deploy_id"])
+    for row in pdf.itertuples(index=False):
+        at = _micros(row.timestamp)
+        if row.what == "resolve":
+            if current is not None:
+                touched.append(show(current, "resolved", at))
+            current, grown = None, False
+            continue
+        if current is None:
+            current = {"name": row.rule_name, "confidence": 0.0, "count": 0, "first": at, "deploy": "", "rules": [], "paged": None}
+        current["confidence"] = max(current["confidence"], float(row.confidence))
+        current["count"] += 1
+        current["last"] = at
+        current["deploy"] = current["deploy"] or row.deploy_id
+        if row.rule_id not in current["rules"]:
+            current["rules"].append(row.rule_id)
+        if current["paged"] is None and row.confidence >= page_at:
+            current["paged"] = at
+        grown = True
+    if current is not None and grown:
+        touched.append(show(current, "open", None))
+    if current is None:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((json.dumps(current),))
+    if touched:
+        yield pd.DataFrame(touched, columns=_INCIDENT)

@@ -87,12 +87,12 @@ def kept_slice(items: Column, index: Column) -> Column:
 
 def _resource_attr(resource: Column, *keys: str) -> Column:
     """First string value among the keys, NULL when there is none."""
-    values = [
-        F.try_element_at(
-            F.transform(F.filter(resource["attributes"], lambda a, k=k: a["key"] == k), lambda a: a["value"]["stringValue"]), F.lit(1)
-        )
-        for k in keys
-    ]
+
+    def named(key: str) -> Column:
+        hits = F.filter(resource["attributes"], lambda a: a["key"] == key)
+        return F.try_element_at(F.transform(hits, lambda a: a["value"]["stringValue"]), F.lit(1))
+
+    values = [named(k) for k in keys]
     return F.coalesce(*values) if len(values) > 1 else values[0]
 
 
@@ -158,26 +158,21 @@ def flatten_otlp_metrics(df: DataFrame, column: str = "value") -> DataFrame:
     rows = _unnest(df, column, METRICS_SCHEMA, path)
     kept = [c for c in df.columns if c != column]
     metric = F.col("_m")
-    point_list = F.concat(
-        *[
-            F.coalesce(
-                F.transform(
-                    metric[key]["dataPoints"],
-                    lambda p, key=key, kind=kind: F.struct(
-                        F.lit(kind).alias("kind"),
-                        p.alias("p"),
-                        (F.coalesce(metric[key]["isMonotonic"], F.lit(False)) if key == "sum" else F.lit(False)).alias("monotonic"),
-                        (
-                            _enum(metric[key]["aggregationTemporality"], TEMPORALITY, "")
-                            if "aggregationTemporality" in _KINDS[key][1] else F.lit("")
-                        ).alias("temporality"),
-                    ),
-                ),
-                F.array(),
-            )
-            for key, (kind, _) in _KINDS.items()
-        ]
-    )
+
+    def points_of(key: str) -> Column:
+        kind, layout = _KINDS[key]
+        monotonic = F.coalesce(metric[key]["isMonotonic"], F.lit(False)) if key == "sum" else F.lit(False)
+        has_temporality = "aggregationTemporality" in layout
+        temporality = _enum(metric[key]["aggregationTemporality"], TEMPORALITY, "") if has_temporality else F.lit("")
+        return F.transform(
+            metric[key]["dataPoints"],
+            lambda p: F.struct(
+                F.lit(kind).alias("kind"), p.alias("p"), monotonic.alias("monotonic"), temporality.alias("temporality")
+            ),
+        )
+
+    # a metric has one kind set, the other lists are NULL
+    point_list = F.flatten(F.array_compact(F.array(*[points_of(key) for key in _KINDS])))
     points = rows.select(*kept, "_r", "_m", F.explode(point_list).alias("_k"))
     p, kind = F.col("_k.p"), F.col("_k.kind")
     scalar = kind.isin("gauge", "sum")

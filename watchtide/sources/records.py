@@ -51,6 +51,10 @@ def harvest_enrichment(explicit: Column, extra: Column, keys: list[str]) -> Colu
     return F.coalesce(blank_to_null(explicit), *found, F.lit(""))
 
 
+def _without_key(entries: Column, key: str, when: Column) -> Column:
+    return F.map_filter(entries, lambda k, _: ~((k == key) & when))
+
+
 def _without_harvested(extra: Column, explicit: dict[str, Column]) -> Column:
     """Extras minus the alternates that were read. An explicit value leaves its alternates alone.
 
@@ -61,8 +65,7 @@ def _without_harvested(extra: Column, explicit: dict[str, Column]) -> Column:
         pending = blank_to_null(explicit[name]).isNull()
         for key in keys:
             value = blank_to_null(json_text(F.try_element_at(extra, F.lit(key))))
-            drop = pending
-            out = F.map_filter(out, lambda k, _, key=key, drop=drop: ~((k == key) & drop))
+            out = _without_key(out, key, pending)
             pending = pending & value.isNull()
     return out
 
