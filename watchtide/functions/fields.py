@@ -43,20 +43,13 @@ def json_has(column, path) -> Column:
 
 def json_entries(column) -> Column:
     """Top level of a JSON object text as a map from key to the value's JSON text."""
-    parsed = F.try_parse_json(as_col(column))
-    as_map = F.expr("cast(null as map<string,variant>)")
-    return F.transform_values(
-        F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed.try_cast("map<string,variant>")).otherwise(
-            as_map
-        ),
-        lambda _, v: F.to_json(v),
-    )
+    parsed = F.try_parse_json(as_col(column)).try_cast("map<string,variant>")
+    return F.transform_values(parsed, lambda _, v: F.to_json(v))
 
 
 def quote_json(text: Column) -> Column:
     """A string as a JSON literal."""
-    wrapped = F.to_json(F.array(text))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
 
 def unquote_json(token: Column) -> Column:
@@ -80,7 +73,10 @@ def build_json(entries: Column) -> Column:
 
 def json_text(token: Column) -> Column:
     """A JSON value as plain text: strings unquoted, null empty, others verbatim."""
-    return F.when(token.isNull() | (token == "null"), F.lit("")).otherwise(F.coalesce(unquote_json(token), token))
+    return let(
+        token,
+        lambda t: F.when(t.isNull() | (t == "null"), F.lit("")).otherwise(F.coalesce(unquote_json(t), t)),
+    )
 
 
 def label(key: str, column="attributes") -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import as_of_col, blank_to_null, text_or_empty
+from ..functions.basics import as_of_col, blank_to_null, let, text_or_empty
 from ..functions.fields import build_json, json_entries, json_text, linkage_key
 from ..functions.levels import normalize_level
 from ..functions.masking import mask_pii, mask_pii_json
@@ -72,15 +72,15 @@ def _without_harvested(extra: Column, explicit: dict[str, Column]) -> Column:
 
 def payload_fields(df: DataFrame, column: str = "payload") -> DataFrame:
     """Known fields of a JSON payload as columns and the rest as ``extra``, a map to JSON text."""
-    entries = df.withColumn("_entries", json_entries(column))
-    known = {
-        name: (F.col("_entries")[name] if name == "resource" else json_text_or_null(F.col("_entries")[name]))
-        for name in KNOWN_FIELDS
-    }
-    shaped = entries.withColumns({n: c for n, c in known.items()})
-    return shaped.withColumn(
-        "extra", F.map_filter("_entries", lambda k, _: ~k.isin(KNOWN_FIELDS))
-    ).drop("_entries", column)
+
+    def split(entries: Column) -> Column:
+        known = [
+            (entries[name] if name == "resource" else json_text_or_null(entries[name])).alias(name) for name in KNOWN_FIELDS
+        ]
+        return F.struct(*known, F.map_filter(entries, lambda k, _: ~k.isin(KNOWN_FIELDS)).alias("extra"))
+
+    kept = [c for c in df.columns if c not in (column, *KNOWN_FIELDS, "extra")]
+    return df.withColumn("_fields", let(json_entries(column), split)).select(*kept, "_fields.*")
 
 
 def json_text_or_null(token: Column) -> Column:
@@ -100,11 +100,16 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
     extra = F.col("extra") if "extra" in df.columns else F.create_map().cast("map<string,string>")
     extra = F.coalesce(extra, F.create_map().cast("map<string,string>"))
     explicit = {name: given(name) for name in ENRICHMENT_KEYS}
+
+    def harvest(entries: Column) -> Column:
+        found = [harvest_enrichment(explicit[n], entries, keys).alias(n) for n, keys in ENRICHMENT_KEYS.items()]
+        return F.struct(*found, build_json(_without_harvested(entries, explicit)).alias("body"))
+
     staged = df.withColumns({
         "_ns": normalize_timestamp_ns(given("timestamp"), cfg.as_of),
         "_message": mask_pii(given("message"), cfg.masking_actions),
-        "_body": mask_pii_json(build_json(_without_harvested(extra, explicit)), cfg.masking_actions),
-    })
+        "_harvest": let(extra, harvest),
+    }).withColumn("_body", mask_pii_json("_harvest.body", cfg.masking_actions))
     days = F.lit(cfg.retention_days) if cfg.retention_days is not None else F.lit(None).cast("int")
     identity = F.col("id") if "id" in df.columns else F.expr("uuid()")
     columns = {
@@ -121,7 +126,7 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
         "resource": F.coalesce(given("resource"), F.lit("{}")),
         "trace_id": text_or_empty(given("trace_id")),
         "span_id": text_or_empty(given("span_id")),
-        **{n: harvest_enrichment(explicit[n], extra, keys) for n, keys in ENRICHMENT_KEYS.items()},
+        **{n: F.col(f"_harvest.{n}") for n in ENRICHMENT_KEYS},
         "user_linkage_key": linkage_key(_tenant(df, cfg), given("user_id")),
         "pii_detected": F.array_sort(F.array_distinct(F.concat("_message.types", "_body.types"))),
         "ingested_by": F.lit(ingested_by),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.basics import let
 from ..functions.fields import build_json, json_entries, json_text, quote_json
 from ..schemas import SIGNAL_TABLES
 
@@ -186,18 +187,25 @@ def apply_remap(df: DataFrame, steps: list[dict], column: str = "payload", defau
     """
     if len(steps) > MAX_STEPS:
         raise ValueError(f"program exceeds {MAX_STEPS} steps")
-    out = df.withColumns({
-        "_event": _entries(F.col(column)),
-        "route_to": F.lit(default_route).cast("string"),
-        "remap_errors": F.array().cast("array<string>"),
-    })
-    for step in steps:
-        event, route, error = _apply(step, F.col("_event"), F.col("route_to"))
-        # one projection per step keeps the expression size linear in the number of steps
-        out = out.withColumns({"_next": event, "_route": route, "_error": error}).withColumns({
-            "_event": F.col("_next"), "route_to": F.col("_route"),
-            "remap_errors": F.when(F.col("_error").isNotNull(), F.array_append("remap_errors", F.col("_error"))).otherwise(F.col("remap_errors")),
-        }).drop("_next", "_route", "_error")
-    return out.withColumn(column, build_json(F.col("_event"))).withColumn(
-        "remap_applied", F.lit(len(steps)) - F.size("remap_errors")
-    ).drop("_event")
+    start = F.struct(
+        _entries(F.col(column)).alias("event"),
+        F.lit(default_route).cast("string").alias("route"),
+        F.array().cast("array<string>").alias("errors"),
+    )
+
+    def run(index: int, state: Column) -> Column:
+        # each state is bound once, so the expression grows with the steps and not with their products
+        if index == len(steps):
+            return F.struct(build_json(state["event"]).alias("event"), state["route"].alias("route"), state["errors"].alias("errors"))
+        event, route, error = _apply(steps[index], state["event"], state["route"])
+        noted = let(error, lambda e: F.when(e.isNotNull(), F.array_append(state["errors"], e)).otherwise(state["errors"]))
+        following = F.struct(event.alias("event"), route.alias("route"), noted.alias("errors"))
+        return let(following, lambda s: run(index + 1, s))
+
+    out = df.withColumn("_remapped", let(start, lambda s: run(0, s)))
+    return out.withColumns({
+        column: F.col("_remapped.event"),
+        "route_to": F.col("_remapped.route"),
+        "remap_errors": F.col("_remapped.errors"),
+        "remap_applied": F.lit(len(steps)) - F.size("_remapped.errors"),
+    }).drop("_remapped")
