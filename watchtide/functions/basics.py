@@ -67,3 +67,13 @@ def bounded_limit(limit: int | None, default: int, maximum: int) -> int:
     if limit is None or limit <= 0:
         limit = default
     return min(limit, maximum)
+
+
+def settled(value: Column) -> Column:
+    """``value``, computed where it stands.
+
+    Spark copies a column's definition into every filter above it. For the result of a long chain of
+    steps that means computing the chain once more per mention, so the chain ends in a value the
+    optimizer does not copy.
+    """
+    return F.when(F.rand(0) >= 0, value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .basics import as_col, let, text_or_empty
@@ -118,6 +118,49 @@ def mask_pii(column, actions: dict[str, str] | None = None) -> Column:
     return let(text_or_empty(column), lambda text: step(0, text, []))
 
 
+def gate_texts(df: DataFrame, column: str, actions: dict[str, str] | None = None) -> DataFrame:
+    """:func:`mask_pii` over every element of an array-of-text column, as one projection per detector.
+
+    Replaces the column and adds ``pii_types`` and ``drop_record``. Shallow steps keep the plan quick to
+    build, which a stream pays for on every batch.
+    """
+    actions = {kind: (actions or {}).get(kind, "mask") for kind in DETECTORS}
+    before, found, temporary = column, [], []
+    for kind, action in actions.items():
+        after = f"_gated_{kind}"
+        df = df.withColumn(after, _detect_each(before, kind, action if action in ACTIONS else "mask"))
+        found.append((kind, F.col(after) != F.col(before)))
+        temporary.append(after)
+        before = after
+    drop = F.lit(False)
+    for kind, hit in found:
+        if actions[kind] == "drop_record":
+            drop = drop | hit
+    types = F.array_sort(F.array_compact(F.array(*[F.when(hit, F.lit(kind)) for kind, hit in found])))
+    gated = df.withColumns({"pii_types": types, "drop_record": drop, "_gated": F.col(before)})
+    return gated.withColumn(column, F.col("_gated")).drop("_gated", *temporary)
+
+
+def _detect_each(column: str, kind: str, action: str) -> Column:
+    return F.transform(F.col(column), lambda text: _detect(text, kind, action))
+
+
+def json_strings(column) -> Column:
+    """The string literals of a JSON text in order, keys with their colon."""
+    return F.regexp_extract_all(as_col(column), F.lit(JSON_STRING), F.lit(0))
+
+
+def is_json_key(token: Column) -> Column:
+    return token.endswith(":")
+
+
+def put_json_strings(column, tokens: Column) -> Column:
+    """A JSON text with its string literals replaced one by one."""
+    pieces = F.split(as_col(column), JSON_STRING, -1)
+    rest = F.zip_with(tokens, F.slice(pieces, F.lit(2), F.size(tokens)), lambda t, p: F.concat(t, p))
+    return F.concat(pieces[0], F.array_join(rest, ""))
+
+
 JSON_STRING = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import as_of_col, blank_to_null, let, text_or_empty
-from ..functions.fields import build_json, json_entries, json_text, linkage_key
+from ..functions.fields import build_json, json_entries, json_text, linkage_key, quote_json, unquote_json
 from ..functions.levels import normalize_level
-from ..functions.masking import mask_pii, mask_pii_json
+from ..functions.masking import gate_texts, is_json_key, json_strings, put_json_strings
 from ..functions.times import normalize_timestamp_ns, ns_to_timestamp
 from ..schemas import conform
 
@@ -87,6 +87,22 @@ def json_text_or_null(token: Column) -> Column:
     return F.when(token.isNotNull() & (token != "null"), json_text(token))
 
 
+def _texts(message: Column) -> Column:
+    """The message and the decoded string values of the body; keys hold the place of an empty text."""
+    values = F.transform("_tokens", lambda t: F.when(is_json_key(t), F.lit("")).otherwise(F.coalesce(unquote_json(t), F.lit(""))))
+    return F.concat(F.array(text_or_empty(message)), values)
+
+
+def _masked_tokens() -> Column:
+    """The body's string literals, re-encoded where the gate changed them."""
+    changed = F.zip_with(
+        F.slice("_plain", F.lit(2), F.size("_tokens")),
+        F.slice("_texts", F.lit(2), F.size("_tokens")),
+        lambda old, new: F.when(old != new, quote_json(new)),
+    )
+    return F.zip_with("_tokens", changed, lambda token, new: F.coalesce(new, token))
+
+
 def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http") -> DataFrame:
     """Rows of the ``logs`` schema plus ``drop_record``.
 
@@ -105,11 +121,11 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
         found = [harvest_enrichment(explicit[n], entries, keys).alias(n) for n, keys in ENRICHMENT_KEYS.items()]
         return F.struct(*found, build_json(_without_harvested(entries, explicit)).alias("body"))
 
-    staged = df.withColumns({
-        "_ns": normalize_timestamp_ns(given("timestamp"), cfg.as_of),
-        "_message": mask_pii(given("message"), cfg.masking_actions),
-        "_harvest": let(extra, harvest),
-    }).withColumn("_body", mask_pii_json("_harvest.body", cfg.masking_actions))
+    harvested = df.withColumns({"_ns": normalize_timestamp_ns(given("timestamp"), cfg.as_of), "_harvest": let(extra, harvest)})
+    # The message and the strings of the body pass the gate together, the message first.
+    listed = harvested.withColumn("_tokens", json_strings("_harvest.body")).withColumn("_plain", _texts(given("message")))
+    gated = gate_texts(listed.withColumn("_texts", F.col("_plain")), "_texts", cfg.masking_actions)
+    staged = gated.withColumn("_body", put_json_strings("_harvest.body", _masked_tokens()))
     days = F.lit(cfg.retention_days) if cfg.retention_days is not None else F.lit(None).cast("int")
     identity = F.col("id") if "id" in df.columns else F.expr("uuid()")
     columns = {
@@ -121,19 +137,18 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
         "service": F.coalesce(given("service"), F.lit("unknown")),
         "environment": text_or_empty(given("environment")),
         "level": normalize_level(given("level")),
-        "message": F.col("_message.text"),
-        "body": F.col("_body.text"),
+        "message": F.col("_texts")[0],
+        "body": F.col("_body"),
         "resource": F.coalesce(given("resource"), F.lit("{}")),
         "trace_id": text_or_empty(given("trace_id")),
         "span_id": text_or_empty(given("span_id")),
         **{n: F.col(f"_harvest.{n}") for n in ENRICHMENT_KEYS},
         "user_linkage_key": linkage_key(_tenant(df, cfg), given("user_id")),
-        "pii_detected": F.array_sort(F.array_distinct(F.concat("_message.types", "_body.types"))),
+        "pii_detected": F.col("pii_types"),
         "ingested_by": F.lit(ingested_by),
         "_retention_days": days,
     }
-    drop = F.col("_message.drop_record") | F.col("_body.drop_record")
-    staged = staged.select(*[c.alias(n) for n, c in columns.items()], drop.alias("drop_record"))
+    staged = staged.select(*[c.alias(n) for n, c in columns.items()], "drop_record")
     return conform(staged, "logs", keep=["drop_record"])
 
 

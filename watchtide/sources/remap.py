@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import let
+from ..functions.basics import let, settled
 from ..functions.fields import build_json, json_entries, json_text, quote_json
 from ..schemas import SIGNAL_TABLES
 
@@ -198,11 +198,11 @@ def apply_remap(df: DataFrame, steps: list[dict], column: str = "payload", defau
         if index == len(steps):
             return F.struct(build_json(state["event"]).alias("event"), state["route"].alias("route"), state["errors"].alias("errors"))
         event, route, error = _apply(steps[index], state["event"], state["route"])
-        noted = let(error, lambda e: F.when(e.isNotNull(), F.array_append(state["errors"], e)).otherwise(state["errors"]))
-        following = F.struct(event.alias("event"), route.alias("route"), noted.alias("errors"))
+        errors = F.array_compact(F.array_append(state["errors"], error))
+        following = F.struct(event.alias("event"), route.alias("route"), errors.alias("errors"))
         return let(following, lambda s: run(index + 1, s))
 
-    out = df.withColumn("_remapped", let(start, lambda s: run(0, s)))
+    out = df.withColumn("_remapped", settled(let(start, lambda s: run(0, s))))
     return out.withColumns({
         column: F.col("_remapped.event"),
         "route_to": F.col("_remapped.route"),
