@@ -18,7 +18,10 @@ from .streaming import event_lines, scratch
 
 AS_OF = A.AS_OF
 CONFIG = R.IngestConfig(as_of=AS_OF, retention_days=9)
-KEY = F.col("event_id")
+
+
+def key():
+    return F.col("event_id")
 
 
 def events(spark, sf):
@@ -56,7 +59,7 @@ def log_records(spark, sf):
         F.map_filter("extra", lambda k, _: k != "details"),
         F.create_map(F.lit("details"), F.to_json(F.struct(F.get_json_object(F.col("extra")["details"], "$.kind").alias("kind")))),
     )
-    rows = good.withColumn("id", KEY.cast("string")).withColumn("extra", simpler)
+    rows = good.withColumn("id", key().cast("string")).withColumn("extra", simpler)
     built = R.build_log_records(rows, CONFIG)
     return built.select(
         "id", "timestamp", "ts_ns", "tenant_id", "service", "environment", "level", "message", "deploy_id", "user_linkage_key", "pii_detected",
@@ -71,10 +74,10 @@ def log_records(spark, sf):
 )
 def harvested(spark, sf):
     """Explicit value, else the first non-empty alternate; what was read leaves the extras."""
-    explicit = F.when(KEY % 2 == 0, "explicit").otherwise("")
-    revision = F.when(KEY % 3 == 0, F.concat(F.lit("vcs"), KEY.cast("string"))).otherwise("")
+    explicit = F.when(key() % 2 == 0, "explicit").otherwise("")
+    revision = F.when(key() % 3 == 0, F.concat(F.lit("vcs"), key().cast("string"))).otherwise("")
     extra = F.create_map(F.lit("vcs.revision"), F.to_json(F.array(revision)).substr(F.lit(2), F.length(F.to_json(F.array(revision))) - 2),
-                         F.lit("commit"), F.concat(F.lit('"c'), KEY.cast("string"), F.lit('"')))
+                         F.lit("commit"), F.concat(F.lit('"c'), key().cast("string"), F.lit('"')))
     shaped = events(spark, sf).select("event_id", explicit.alias("given_sha"), extra.alias("extra"))
     given = {n: F.lit(None).cast("string") for n in R.ENRICHMENT_KEYS} | {"git_sha": F.col("given_sha")}
     return shaped.select(
@@ -91,12 +94,12 @@ def harvested(spark, sf):
         cast(user_id AS string) AS route FROM events WHERE event_id % 17 <> 0""",
 )
 def gelf(spark, sf):
-    short = F.when(KEY % 2 == 0, F.concat(F.lit("short "), KEY.cast("string")))
+    short = F.when(key() % 2 == 0, F.concat(F.lit("short "), key().cast("string")))
     record = F.struct(
-        F.col("event_type").alias("host"), short.alias("short_message"), F.concat(F.lit("full "), KEY.cast("string")).alias("full_message"),
-        F.unix_seconds("at").alias("timestamp"), (KEY % 8).alias("level"), F.col("user_id").cast("string").alias("_route"), F.lit("x").alias("_id"),
+        F.col("event_type").alias("host"), short.alias("short_message"), F.concat(F.lit("full "), key().cast("string")).alias("full_message"),
+        F.unix_seconds("at").alias("timestamp"), (key() % 8).alias("level"), F.col("user_id").cast("string").alias("_route"), F.lit("x").alias("_id"),
     )
-    line = F.when(KEY % 17 == 0, "not json").otherwise(F.to_json(record))
+    line = F.when(key() % 17 == 0, "not json").otherwise(F.to_json(record))
     parsed = LN.parse_gelf(events(spark, sf).select("event_id", line.alias("value")))
     route = F.get_json_object(F.concat(F.lit("["), F.col("extra")["route"], F.lit("]")), "$[0]")
     return parsed.filter(F.col("extra")["id"].isNull()).select("event_id", "service", "level", "message", "timestamp", route.alias("route"))
@@ -110,14 +113,14 @@ def gelf(spark, sf):
        CASE WHEN event_id % 11 <> 0 AND event_id % 5 <> 0 THEN concat('"host', user_id % 10, '"') ELSE '∅' END AS host FROM events""",
 )
 def syslog(spark, sf):
-    host = F.when(KEY % 5 == 0, "-").otherwise(F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")))
-    app = F.when(KEY % 3 == 0, "-").otherwise(F.col("event_type"))
-    data = F.when(KEY % 4 == 0, "-").when(KEY % 4 == 1, '[x@1 a="b"]').otherwise('[x a="b"][y@2 z="1"]')
+    host = F.when(key() % 5 == 0, "-").otherwise(F.concat(F.lit("host"), (F.col("user_id") % 10).cast("string")))
+    app = F.when(key() % 3 == 0, "-").otherwise(F.col("event_type"))
+    data = F.when(key() % 4 == 0, "-").when(key() % 4 == 1, '[x@1 a="b"]').otherwise('[x a="b"][y@2 z="1"]')
     line = F.concat(
-        F.lit("<"), (KEY % 192).cast("string"), F.lit(">1 "), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), host, F.lit(" "), app,
-        F.lit(" - ID47 "), data, F.lit(" 'value' of ["), KEY.cast("string"), F.lit("] is -1"),
+        F.lit("<"), (key() % 192).cast("string"), F.lit(">1 "), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), host, F.lit(" "), app,
+        F.lit(" - ID47 "), data, F.lit(" 'value' of ["), key().cast("string"), F.lit("] is -1"),
     )
-    text = F.when(KEY % 11 == 0, F.concat(F.lit("<x> plain "), KEY.cast("string"))).otherwise(line)
+    text = F.when(key() % 11 == 0, F.concat(F.lit("<x> plain "), key().cast("string"))).otherwise(line)
     parsed = LN.parse_syslog(events(spark, sf).select("event_id", text.alias("value")))
     missing = lambda c: F.coalesce(c, F.lit("∅"))
     return parsed.select("event_id", missing(F.col("service")).alias("service"), "level", "message", missing(F.col("extra")["host"]).alias("host"))
@@ -133,7 +136,7 @@ def _resource():
     service = F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))
     return F.struct(F.array(
         _attr("service.name", stringValue=service), _attr("deployment.environment", stringValue=F.lit("prod")),
-        _attr("service.version", stringValue=F.concat(F.lit("v"), KEY.cast("string"))), _attr("weight", intValue=F.lit("5")),
+        _attr("service.version", stringValue=F.concat(F.lit("v"), key().cast("string"))), _attr("weight", intValue=F.lit("5")),
     ).alias("attributes"))
 
 
@@ -178,14 +181,14 @@ def otlp_metrics(spark, sf):
     """All five kinds of data points."""
     labels = F.array(_attr("k", stringValue=F.lit("v")), _attr("n", intValue=F.lit("7")), _attr("e", stringValue=F.lit(""))).alias("attributes")
     when = F.lit("1700000000000000000").alias("timeUnixNano")
-    temporality = (KEY % 3).cast("string").alias("aggregationTemporality")
-    count = KEY.cast("string").alias("count")
+    temporality = (key() % 3).cast("string").alias("aggregationTemporality")
+    count = key().cast("string").alias("count")
     ones = F.array(F.lit("1"), F.lit("2")).alias("bucketCounts")
     points = lambda *fields: F.array(F.struct(when, labels, *fields)).alias("dataPoints")
     positive = F.struct(F.lit("1").alias("offset"), F.array(F.lit("4")).alias("bucketCounts")).alias("positive")
     kinds = {
         "gauge": [points(F.col("value").cast("string").alias("asDouble"), F.lit("1").alias("asInt"))],
-        "sum": [points(KEY.cast("string").alias("asInt")), F.lit(True).alias("isMonotonic"), temporality],
+        "sum": [points(key().cast("string").alias("asInt")), F.lit(True).alias("isMonotonic"), temporality],
         "histogram": [points(count, ones), temporality],
         "exponentialHistogram": [points(count, F.lit("3").alias("scale"), positive)],
         "summary": [points(count)],
@@ -214,10 +217,10 @@ _KINDS_SQL = "['internal', 'internal', 'server', 'client', 'producer', 'consumer
 )
 def otlp_traces(spark, sf):
     start = F.unix_micros("at") * 1000
-    end = F.when(KEY % 5 == 0, start - 10).otherwise(start + 1500)
+    end = F.when(key() % 5 == 0, start - 10).otherwise(start + 1500)
     span = F.struct(
-        F.lit("t").alias("traceId"), F.lit("s").alias("spanId"), (KEY % 7).cast("string").alias("kind"), start.cast("string").alias("startTimeUnixNano"),
-        end.cast("string").alias("endTimeUnixNano"), F.struct((KEY % 3).cast("string").alias("code")).alias("status"),
+        F.lit("t").alias("traceId"), F.lit("s").alias("spanId"), (key() % 7).cast("string").alias("kind"), start.cast("string").alias("startTimeUnixNano"),
+        end.cast("string").alias("endTimeUnixNano"), F.struct((key() % 3).cast("string").alias("code")).alias("status"),
         F.array(_attr("k", stringValue=F.lit("v")), _attr("b", intValue=F.lit("7"))).alias("attributes"),
     )
     inner = [F.struct(F.lit("lib").alias("name")).alias("scope"), F.array(span).alias("spans")]
@@ -230,7 +233,7 @@ def otlp_traces(spark, sf):
     "SELECT event_id % 30 AS n, CASE WHEN event_id % 30 BETWEEN 1 AND 24 THEN ['trace', 'debug', 'info', 'warn', 'error', 'fatal'][cast((event_id % 30 - 1) // 4 AS int) + 1] ELSE 'info' END AS level, count(*) AS rows FROM events GROUP BY ALL",
 )
 def severity_numbers(spark, sf):
-    number = KEY % 30
+    number = key() % 30
     return events(spark, sf).select(number.alias("n"), otlp_level(number).alias("level")).groupBy("n", "level").agg(F.count("*").alias("rows"))
 
 
@@ -243,12 +246,12 @@ def remote_write(spark, sf):
     from ..functions.fields import series_key
 
     label = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    name = F.when(KEY % 9 == 0, "other").otherwise("__name__")
-    service = F.when(KEY % 2 == 0, "service_name").otherwise("ignored_empty")
-    value = F.when(KEY % 2 == 0, F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))).otherwise("")
+    name = F.when(key() % 9 == 0, "other").otherwise("__name__")
+    service = F.when(key() % 2 == 0, "service_name").otherwise("ignored_empty")
+    value = F.when(key() % 2 == 0, F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))).otherwise("")
     labels = F.array(
         F.struct(name.alias("name"), F.lit("up").alias("value")), label("job", F.lit("job1")), F.struct(service.alias("name"), value.alias("value")),
-        label("env", F.lit("prod")), label("code", F.lit("200")), label("le", (KEY % 4).cast("string")),
+        label("env", F.lit("prod")), label("code", F.lit("200")), label("le", (key() % 4).cast("string")),
     )
     sample = lambda n: F.struct((F.floor(F.unix_micros("at") / 1000).cast("bigint") + n).alias("timestamp"), (F.col("value") * n).alias("value"), F.lit(n).alias("n"))
     series = events(spark, sf).select("event_id", "at", labels.alias("labels"), F.array(sample(1), sample(2)).alias("samples"))
@@ -264,10 +267,10 @@ def remote_write(spark, sf):
 )
 def metric_points(spark, sf):
     """Nameless points dropped, non-finite values zero, defaults filled."""
-    odd = F.when(KEY % 5 == 1, float("nan")).when(KEY % 5 == 2, float("inf")).when(KEY % 5 == 3, float("-inf")).otherwise(F.col("value"))
+    odd = F.when(key() % 5 == 1, float("nan")).when(key() % 5 == 2, float("inf")).when(key() % 5 == 3, float("-inf")).otherwise(F.col("value"))
     points = events(spark, sf).select(
-        KEY.cast("string").alias("id"), "tenant_id", F.when(KEY % 7 == 0, "").otherwise("m").alias("metric_name"), odd.alias("value"),
-        F.when(KEY % 2 == 0, F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))).otherwise("").alias("service"),
+        key().cast("string").alias("id"), "tenant_id", F.when(key() % 7 == 0, "").otherwise("m").alias("metric_name"), odd.alias("value"),
+        F.when(key() % 2 == 0, F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))).otherwise("").alias("service"),
         (F.unix_micros("at") * 1000 + 5).cast("string").alias("timestamp"),
     )
     built = R.build_metric_points(points, CONFIG)
@@ -283,8 +286,8 @@ def spans(spark, sf):
     """Spans without ids dropped, broken parents kept, end defaults to start."""
     start = F.unix_micros("at")
     rows = events(spark, sf).select(
-        KEY.cast("string").alias("id"), "tenant_id", F.when(KEY % 7 == 0, "").otherwise("t").alias("trace_id"), F.when(KEY % 5 != 0, "s").alias("span_id"),
-        F.lit("nowhere").alias("parent_span_id"), start.cast("string").alias("start_time"), F.when(KEY % 2 == 0, (start + 3).cast("string")).alias("end_time"),
+        key().cast("string").alias("id"), "tenant_id", F.when(key() % 7 == 0, "").otherwise("t").alias("trace_id"), F.when(key() % 5 != 0, "s").alias("span_id"),
+        F.lit("nowhere").alias("parent_span_id"), start.cast("string").alias("start_time"), F.when(key() % 2 == 0, (start + 3).cast("string")).alias("end_time"),
     )
     built = R.build_spans(rows, CONFIG)
     return built.select(F.col("id").cast("bigint").alias("event_id"), "kind", "status_code", "service", "start_time", "end_time", "parent_span_id")
@@ -297,7 +300,7 @@ def spans(spark, sf):
 )
 def change_rows(spark, sf):
     rows = events(spark, sf).select(
-        KEY.cast("string").alias("id"), "tenant_id", F.when(KEY % 2 == 0, "flag").otherwise("").alias("kind"), F.when(KEY % 3 != 0, F.col("at")).alias("timestamp")
+        key().cast("string").alias("id"), "tenant_id", F.when(key() % 2 == 0, "flag").otherwise("").alias("kind"), F.when(key() % 3 != 0, F.col("at")).alias("timestamp")
     )
     return R.build_change_events(rows, AS_OF).select(F.col("id").cast("bigint").alias("event_id"), "kind", "timestamp", "metadata", "_retention_days")
 
@@ -315,19 +318,19 @@ def change_rows(spark, sf):
 )
 def webhooks(spark, sf):
     """Deployments, workflow runs, pushes, pipelines, flags, ignored events and bad bodies."""
-    k = KEY % 10
-    sha, user, t = F.concat(F.lit("sha"), KEY.cast("string")), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type")
+    k = key() % 10
+    sha, user, t = F.concat(F.lit("sha"), key().cast("string")), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type")
     named = lambda value: F.struct(value.alias("name"))
     login = F.struct(user.alias("login"))
     deployment = F.to_json(F.struct(named(t).alias("repository"), F.struct(
-        KEY.alias("id"), sha.alias("sha"), F.lit("refs/heads/main").alias("ref"), F.lit("prod").alias("environment"), login.alias("creator")).alias("deployment")))
+        key().alias("id"), sha.alias("sha"), F.lit("refs/heads/main").alias("ref"), F.lit("prod").alias("environment"), login.alias("creator")).alias("deployment")))
     run = lambda conclusion: F.to_json(F.struct(named(t).alias("repository"), F.struct(
-        KEY.alias("id"), F.lit("ci").alias("name"), sha.alias("head_sha"), t.alias("head_branch"), F.lit(conclusion).alias("conclusion"), login.alias("actor")).alias("workflow_run")))
+        key().alias("id"), F.lit("ci").alias("name"), sha.alias("head_sha"), t.alias("head_branch"), F.lit(conclusion).alias("conclusion"), login.alias("actor")).alias("workflow_run")))
     push = F.to_json(F.struct(named(t).alias("repository"), named(user).alias("pusher"), F.lit("refs/tags/v1").alias("ref"), F.lit("").alias("after"), F.struct(sha.alias("id")).alias("head_commit")))
     pipeline = lambda status: F.to_json(F.struct(F.lit("pipeline").alias("object_kind"), named(t).alias("project"), named(user).alias("user"),
                                                  F.struct(sha.alias("sha"), F.lit("").alias("ref"), F.lit(status).alias("status")).alias("object_attributes")))
     release = F.to_json(F.struct(F.lit("deployment").alias("object_kind"), F.lit("success").alias("status"), sha.alias("sha"), F.lit("prod").alias("environment"),
-                                 KEY.alias("deployable_id"), named(t).alias("project"), named(user).alias("user")))
+                                 key().alias("deployable_id"), named(t).alias("project"), named(user).alias("user")))
     flag = F.to_json(F.struct(F.lit("flag").alias("kind"), t.alias("name"), F.lit("turned on").alias("titleVerb"), F.struct(user.alias("email")).alias("member")))
     bodies = [deployment, run("success"), push, run("failure"), pipeline("success"), release, pipeline("failed"), flag, deployment, F.lit("[1]")]
     providers = F.array(*map(F.lit, ["GitHub", "github", "github", "github", "gitlab", "gitlab", "gitlab", "ld", "svn", "github"]))
@@ -422,7 +425,7 @@ def exported(spark, sf):
 def _dead(spark, sf):
     """Every seventh event as a dead letter."""
     failed = events(spark, sf).select(
-        "tenant_id", F.col("props").alias("payload"), F.col("at").alias("created_at"), KEY.cast("string").alias("event"), F.when(KEY % 7 == 0, F.concat(F.lit("error "), KEY.cast("string"))).alias("error")
+        "tenant_id", F.col("props").alias("payload"), F.col("at").alias("created_at"), key().cast("string").alias("event"), F.when(key() % 7 == 0, F.concat(F.lit("error "), key().cast("string"))).alias("error")
     )
     return S.split_dead_letters(failed)
 
