@@ -29,7 +29,7 @@ ACTIONS = ("mask", "hash", "drop_field", "drop_record")
 
 # The detectors read letters and digits of every script, the basic masks only ASCII. A plain ``\\b``
 # differs between Java versions, so both are spelled out.
-_ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_ASCII_START, _ASCII_END = r"(?=[0-9])(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 
 def _any_script(pattern: str) -> str:
@@ -37,12 +37,27 @@ def _any_script(pattern: str) -> str:
 
 
 def _ascii_only(pattern: str) -> str:
-    return pattern.replace(r"\b", _ASCII_EDGE)
+    """The edges of the basic masks all stand next to a digit."""
+    if pattern.startswith(r"\b"):
+        return _ASCII_START + pattern.removeprefix(r"\b").removesuffix(r"\b") + _ASCII_END
+    return pattern
 
 
 _SPARK_DETECTORS = {kind: _any_script(pattern) for kind, pattern in DETECTORS.items()}
 
 
+# What a text must hold for a detector or mask to match at all; a cheap look that spares most texts the
+# full pattern. Plain fragments, or patterns where they start with "(?".
+_HINTS = {
+    "email": "@", "jwt": "eyJ", "ipv4": r"(?U)\d\.\d", "ipv6": ":", "card": r"(?U)\d[ \-]?\d", "phone": "+",
+}
+_BASIC_HINTS = [r"(?i)bearer", "eyJ", "@", r"(?s)[0-9]\.[0-9]", r"(?s)[0-9]{7}"]
+
+
+def _hinted(text: Column, hint: str) -> Column:
+    return text.rlike(hint) if hint.startswith("(?") else F.contains(text, F.lit(hint))
+
+
 def luhn_ok(text: Column) -> Column:
     """Mod-10 check over the digits of a 13 to 19 digit candidate."""
 
@@ -86,8 +101,8 @@ def _detect(text: Column, kind: str, action: str) -> Column:
     elif action == "hash":
         rewritten = _rewrite_matches(text, pattern, lambda m: _replacement(kind, action, m))
     else:
-        return F.regexp_replace(text, pattern, "[redacted:%s]" % kind if action == "mask" else "")
-    return F.when(text.rlike(pattern), rewritten).otherwise(text)
+        rewritten = F.regexp_replace(text, pattern, f"[redacted:{kind}]" if action == "mask" else "")
+    return F.when(_hinted(text, _HINTS[kind]), rewritten).otherwise(text)
 
 
 def mask_pii(column, actions: dict[str, str] | None = None) -> Column:
@@ -197,10 +212,18 @@ def mask_pii_json(column, actions: dict[str, str] | None = None) -> Column:
 
 def mask_text_basic(column) -> Column:
     """Typed placeholders for bearer tokens, JWTs, e-mails, IPv4 addresses and long digit runs."""
-    out = as_col(column)
-    for pattern, placeholder in BASIC_MASKS:
-        out = F.regexp_replace(out, _ascii_only(pattern), placeholder)
-    return out
+
+
+    def step(index: int, text: Column) -> Column:
+        if index == len(BASIC_MASKS):
+            return text
+        pattern, placeholder = BASIC_MASKS[index]
+        masked = F.when(
+            _hinted(text, _BASIC_HINTS[index]), F.regexp_replace(text, _ascii_only(pattern), placeholder)
+        ).otherwise(text)
+        return let(masked, lambda t: step(index + 1, t))
+
+    return let(as_col(column), lambda t: step(0, t))
 
 
 # ASCII runs that end a token; other characters belong to it.

@@ -35,9 +35,9 @@ def service_edges(traces: DataFrame, as_of, window: int = 3600, approximate: boo
     if approximate:
         sketch = F.percentile_approx("duration_ns", 0.95, 10000) / F.lit(1e6)
         return calls.groupBy(*EDGE).agg(*counted, sketch.alias("p95_ms"))
-    p95 = exact_quantile(calls, EDGE, "duration_ns", 0.95, "p95_ns")
-    totals = calls.groupBy(*EDGE).agg(*counted)
-    return totals.join(p95, EDGE).select(*EDGE, "calls", "errors", (F.col("p95_ns") / F.lit(1e6)).alias("p95_ms"))
+    failed = {"errors": (F.col("status_code") == "error").cast("bigint")}
+    stats = exact_quantile(calls, EDGE, "duration_ns", 0.95, "p95_ns", "calls", failed)
+    return stats.select(*EDGE, "calls", "errors", (F.col("p95_ns") / F.lit(1e6)).alias("p95_ms"))
 
 
 def service_nodes(traces: DataFrame, logs: DataFrame, edges: DataFrame, as_of, window: int = 3600) -> DataFrame:

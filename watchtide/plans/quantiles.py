@@ -23,25 +23,36 @@ def _bin(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def exact_quantile(df: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+def exact_quantile(
+    df: DataFrame, by: list[str], value: str, p: float, name: str, count: str | None = None, sums: dict[str, Column] | None = None
+) -> DataFrame:
     """``by`` and the linearly interpolated ``p`` quantile of a non-negative whole-number column.
 
+    ``count`` adds the number of values and ``sums`` sums of other whole-number columns, out of the same pass.
+
     Rows are first counted per (key, value), which spreads a heavy key by its values. The bin
     holding the wanted rank comes from the bin counts; only that bin's values are then ranked.
     """
+    sums = sums or {}
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("bigint").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+        F.count(F.lit(1)).alias("_n"), *[F.sum(column).alias(c) for c, column in sums.items()]
     )
-    bins = counts.groupBy(*by, _bin(F.col("_v")).alias("_bin")).agg(F.sum("_n").alias("_n"))
+    bins = counts.groupBy(*by, _bin(F.col("_v")).alias("_bin")).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in sums])
     in_order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     rank = (F.sum("_n").over(whole) - 1) * F.lit(float(p))
-    placed = bins.select(*by, "_bin", F.sum("_n").over(in_order).alias("_upto"), "_n", rank.alias("_rank"))
+    totals = {count: F.sum("_n").over(whole)} if count else {}
+    totals |= {c: F.sum(c).over(whole) for c in sums}
+    placed = bins.select(
+        *by, "_bin", F.sum("_n").over(in_order).alias("_upto"), "_n", rank.alias("_rank"), *[t.alias(c) for c, t in totals.items()]
+    )
     low, high = F.floor("_rank"), F.ceil("_rank")
     wanted = placed.withColumn("_below", F.col("_upto") - F.col("_n")).filter(
         ((low >= F.col("_below")) & (low < F.col("_upto"))) | ((high >= F.col("_below")) & (high < F.col("_upto")))
     )
-    inside = counts.withColumn("_bin", _bin(F.col("_v"))).join(wanted.select(*by, "_bin", "_below", "_rank"), [*by, "_bin"])
+    inside = counts.select(*by, "_v", "_n", _bin(F.col("_v")).alias("_bin")).join(
+        wanted.select(*by, "_bin", "_below", "_rank", *totals), [*by, "_bin"]
+    )
     ordered = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = inside.withColumn("_end", F.col("_below") + F.sum("_n").over(ordered)).withColumn(
         "_start", F.col("_end") - F.col("_n")
@@ -50,8 +61,11 @@ def exact_quantile(df: DataFrame, by: list[str], value: str, p: float, name: str
     def at(position: Column) -> Column:
         return F.max(F.when((position >= F.col("_start")) & (position < F.col("_end")), F.col("_v"))).cast("double")
 
-    picked = ranked.groupBy(*by).agg(at(low).alias("_lo"), at(high).alias("_hi"), F.max("_rank").alias("_rank"))
+    picked = ranked.groupBy(*by).agg(
+        at(low).alias("_lo"), at(high).alias("_hi"), F.max("_rank").alias("_rank"), *[F.max(c).alias(c) for c in totals]
+    )
     return picked.select(
         *by,
         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))).alias(name),
+        *totals,
     )

@@ -43,13 +43,13 @@ def parse_gelf(lines: DataFrame, column: str = "value") -> DataFrame:
     entries = _nonblank(lines, column).withColumn("_e", json_entries(column)).filter(F.col("_e").isNotNull())
     field = lambda name: json_text_or_null(F.col("_e")[name])
     extra = F.map_filter("_e", lambda k, _: ~k.isin(GELF_FIELDS))
-    bare = lambda key: F.regexp_replace(key, "^_", "")
+    bare = lambda key: F.when(key.startswith("_"), F.substring(key, 2, 2**30)).otherwise(key)
     items = F.map_entries(extra)
     # "_x" and "x" may both be present; the later one in key order wins
     winners = F.filter(
         items,
         lambda e: (bare(e["key"]) != GELF_RESERVED)
-        & ~F.exists(items, lambda o: (bare(o["key"]) == bare(e["key"])) & (o["key"] > e["key"])),
+        & ~F.exists(items, lambda o: (o["key"] > e["key"]) & (bare(o["key"]) == bare(e["key"]))),
     )
     renamed = F.map_from_entries(
         F.transform(winners, lambda e: F.struct(bare(e["key"]).alias("key"), e["value"].alias("value")))

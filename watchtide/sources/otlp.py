@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.basics import let
 from ..functions.fields import build_json, quote_json
 
 # Resource attributes behind service, environment and enrichment; enum names.
@@ -72,13 +73,17 @@ def _any_json(value: Column) -> Column:
 
 def _map(attributes: Column, render) -> Column:
     """Attributes as a map; of repeated keys the last wins, attributes without a value are left out."""
-    kept = F.filter(attributes, lambda a: a["value"].isNotNull())
-    last = F.filter(
-        F.transform(kept, lambda a, i: F.struct(a["key"].alias("key"), a["value"].alias("value"), i.alias("i"))),
-        lambda a: ~F.exists(kept_slice(kept, a["i"]), lambda b: b["key"] == a["key"]),
-    )
-    pairs = F.transform(last, lambda a: F.struct(a["key"].alias("key"), render(a["value"]).alias("value")))
-    return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
+    entry = lambda a: F.struct(a["key"].alias("key"), render(a["value"]).alias("value"))
+
+    def to_map(kept: Column) -> Column:
+        indexed = F.transform(kept, lambda a, i: F.struct(a["key"].alias("key"), a["value"].alias("value"), i.alias("i")))
+        last = F.filter(indexed, lambda a: ~F.exists(kept_slice(kept, a["i"]), lambda b: b["key"] == a["key"]))
+        keys = F.transform(kept, lambda a: a["key"])
+        unique = F.size(F.array_distinct(keys)) == F.size(kept)
+        return F.map_from_entries(F.when(unique, F.transform(kept, entry)).otherwise(F.transform(last, entry)))
+
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(let(F.filter(attributes, lambda a: a["value"].isNotNull()), to_map), empty)
 
 
 def kept_slice(items: Column, index: Column) -> Column:
