@@ -35,7 +35,7 @@ def service_edges(traces: DataFrame, as_of, window: int = 3600, approximate: boo
     if approximate:
         sketch = F.percentile_approx("duration_ns", 0.95, 10000) / F.lit(1e6)
         return calls.groupBy(*EDGE).agg(*counted, sketch.alias("p95_ms"))
-    failed = {"errors": (F.col("status_code") == "error").cast("bigint")}
+    failed = {"errors": F.col("status_code") == "error"}
     stats = exact_quantile(calls, EDGE, "duration_ns", 0.95, "p95_ns", "calls", failed)
     return stats.select(*EDGE, "calls", "errors", (F.col("p95_ns") / F.lit(1e6)).alias("p95_ms"))
 

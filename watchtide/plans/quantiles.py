@@ -24,25 +24,27 @@ def _bin(value: Column) -> Column:
 
 
 def exact_quantile(
-    df: DataFrame, by: list[str], value: str, p: float, name: str, count: str | None = None, sums: dict[str, Column] | None = None
+    df: DataFrame, by: list[str], value: str, p: float, name: str, count: str | None = None, flags: dict[str, Column] | None = None
 ) -> DataFrame:
     """``by`` and the linearly interpolated ``p`` quantile of a non-negative whole-number column.
 
-    ``count`` adds the number of values and ``sums`` sums of other whole-number columns, out of the same pass.
+    ``count`` adds the number of values and ``flags`` how many rows meet a condition, out of the same pass.
 
     Rows are first counted per (key, value), which spreads a heavy key by its values. The bin
     holding the wanted rank comes from the bin counts; only that bin's values are then ranked.
     """
-    sums = sums or {}
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("bigint").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(column).alias(c) for c, column in sums.items()]
+    flags = flags or {}
+    # flags are grouping keys, so both uses of the counts below share one shuffle
+    keys = [*by, F.col(value).cast("bigint").alias("_v"), *[F.coalesce(test, F.lit(False)).alias(c) for c, test in flags.items()]]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bins = counts.groupBy(*by, _bin(F.col("_v")).alias("_bin")).agg(
+        F.sum("_n").alias("_n"), *[F.coalesce(F.sum(F.when(F.col(c), F.col("_n"))), F.lit(0)).alias(c) for c in flags]
     )
-    bins = counts.groupBy(*by, _bin(F.col("_v")).alias("_bin")).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in sums])
     in_order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     rank = (F.sum("_n").over(whole) - 1) * F.lit(float(p))
     totals = {count: F.sum("_n").over(whole)} if count else {}
-    totals |= {c: F.sum(c).over(whole) for c in sums}
+    totals |= {c: F.sum(c).over(whole) for c in flags}
     placed = bins.select(
         *by, "_bin", F.sum("_n").over(in_order).alias("_upto"), "_n", rank.alias("_rank"), *[t.alias(c) for c, t in totals.items()]
     )
