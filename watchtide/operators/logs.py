@@ -239,7 +239,7 @@ def list_incidents(df: DataFrame, tenant: str, status: str | None = None, limit:
 def audit_search(df: DataFrame, tenant: str, actor: str = "", action: str = "", limit: int = LISTING_LIMIT) -> DataFrame:
     """Audit rows whose actor and action contain the given texts, newest first, with the total.
 
-    The total is a separate aggregate, so listing stays a bounded top-n instead of one global window.
+    The total is a scalar subquery, so listing stays a bounded top-n instead of one global window.
     """
 
     def contains(column: str, text: str) -> Column:
@@ -248,5 +248,4 @@ def audit_search(df: DataFrame, tenant: str, actor: str = "", action: str = "",
     hits = tenant_scope(df, tenant).filter(contains("actor", actor) & contains("action", action))
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     newest = hits.orderBy(F.col("created_at").desc(), *[F.col(c) for c in df.columns if c != "created_at"]).limit(limit)
-    one = F.lit(1).alias("_one")
-    return newest.select("*", one).join(total.select("*", one), "_one").drop("_one")
+    return newest.withColumn("total", total.scalar())

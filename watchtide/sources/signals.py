@@ -86,25 +86,35 @@ def dlq_list(df: DataFrame, tenant: str, status: str | None = None) -> DataFrame
     """The newest dead letters of a tenant with the total number that match."""
     rows = tenant_scope(df, tenant)
     rows = rows.filter(F.col("status") == status) if status else rows
-    total = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    newest = rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(DLQ_LIMIT).withColumn("_one", F.lit(1))
-    return newest.join(total, "_one").drop("_one")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    newest = rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(DLQ_LIMIT)
+    return newest.withColumn("total", total.scalar())
 
 
-def dlq_replay(df: DataFrame, tenant: str, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+def _with_choice(df: DataFrame, tenant: str, ids) -> DataFrame:
+    """Letters with ``_chosen``: pending, of the tenant, and listed. ``ids`` is a list or a DataFrame with ``id``."""
+    pending = (F.col("tenant_id") == tenant) & (F.col("status") == "pending")
+    if not isinstance(ids, DataFrame):
+        return df.withColumn("_chosen", pending & F.col("id").isin(list(ids)))
+    listed = ids.select("id").distinct().withColumn("_listed", F.lit(True))
+    marked = df.join(listed, "id", "left")
+    return marked.withColumn("_chosen", pending & F.col("_listed").isNotNull()).drop("_listed")
+
+
+def dlq_replay(df: DataFrame, tenant: str, ids) -> tuple[DataFrame, DataFrame]:
     """``(letters, replayed)``: all letters with the chosen pending ones marked, and those to feed again."""
-    chosen = (F.col("tenant_id") == tenant) & F.col("id").isin(list(ids)) & (F.col("status") == "pending")
-    letters = df.withColumns({
-        "attempt": F.when(chosen, F.col("attempt") + 1).otherwise(F.col("attempt")),
-        "status": F.when(chosen, "replayed").otherwise(F.col("status")),
-    })
-    return letters, df.filter(chosen).withColumn("attempt", F.col("attempt") + 1)
+    marked = _with_choice(df, tenant, ids)
+    attempt = F.when(F.col("_chosen"), F.col("attempt") + 1).otherwise(F.col("attempt"))
+    status = F.when(F.col("_chosen"), "replayed").otherwise(F.col("status"))
+    letters = marked.withColumns({"attempt": attempt, "status": status}).select(*df.columns)
+    return letters, marked.filter("_chosen").withColumn("attempt", F.col("attempt") + 1).select(*df.columns)
 
 
-def dlq_drop(df: DataFrame, tenant: str, ids: list[str]) -> DataFrame:
+def dlq_drop(df: DataFrame, tenant: str, ids) -> DataFrame:
     """Letters with the chosen pending ones marked as dropped."""
-    chosen = (F.col("tenant_id") == tenant) & F.col("id").isin(list(ids)) & (F.col("status") == "pending")
-    return df.withColumn("status", F.when(chosen, "dropped").otherwise(F.col("status")))
+    marked = _with_choice(df, tenant, ids)
+    status = F.when(F.col("_chosen"), "dropped").otherwise(F.col("status"))
+    return marked.withColumn("status", status).select(*df.columns)
 
 
 def _cells(df: DataFrame) -> list[Column]:
