@@ -54,7 +54,10 @@ def quote_json(text: Column) -> Column:
 
 def unquote_json(token: Column) -> Column:
     """The text of a JSON string literal; NULL for other JSON values."""
-    return F.when(token.startswith('"'), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]"))
+    decoded = F.when(
+        F.contains(token, F.lit("\\")), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+    ).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+    return F.when(token.startswith('"'), decoded)
 
 
 def build_json(entries: Column) -> Column:

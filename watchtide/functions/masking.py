@@ -54,8 +54,13 @@ _HINTS = {
 _BASIC_HINTS = [r"(?i)bearer", "eyJ", "@", r"(?s)[0-9]\.[0-9]", r"(?s)[0-9]{7}"]
 
 
-def _hinted(text: Column, hint: str) -> Column:
-    return text.rlike(hint) if hint.startswith("(?") else F.contains(text, F.lit(hint))
+# Shortest text a detector can match.
+_SHORTEST = {"ipv4": 7, "card": 13}
+
+
+def _hinted(text: Column, hint: str, shortest: int = 0) -> Column:
+    found = text.rlike(hint) if hint.startswith("(?") else F.contains(text, F.lit(hint))
+    return (F.length(text) >= shortest) & found if shortest else found
 
 
 def luhn_ok(text: Column) -> Column:
@@ -102,7 +107,7 @@ def _detect(text: Column, kind: str, action: str) -> Column:
         rewritten = _rewrite_matches(text, pattern, lambda m: _replacement(kind, action, m))
     else:
         rewritten = F.regexp_replace(text, pattern, f"[redacted:{kind}]" if action == "mask" else "")
-    return F.when(_hinted(text, _HINTS[kind]), rewritten).otherwise(text)
+    return F.when(_hinted(text, _HINTS[kind], _SHORTEST.get(kind, 0)), rewritten).otherwise(text)
 
 
 def mask_pii(column, actions: dict[str, str] | None = None) -> Column:
