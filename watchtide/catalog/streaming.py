@@ -179,9 +179,8 @@ def anomalies(spark, sf):
     stream = as_stream(A.logs(spark, sf), f"{folder}/in")
     query = SA.stream_anomalies(stream, f"{folder}/store", f"{folder}/out", f"{folder}/checkpoint", DAY, 12, 0.1, available_now=True)
     query.awaitTermination()
-    swept = spark.read.parquet(f"{folder}/out")
-    last = swept.agg(F.max("batch_id").alias("batch_id"))
-    return swept.join(last, "batch_id").drop("batch_id", "as_of")
+    newest = A.logs(spark, sf).agg(F.date_trunc("second", F.max("timestamp")).alias("as_of"))
+    return spark.read.parquet(f"{folder}/out").join(newest, "as_of").drop("batch_id", "as_of")
 
 
 def event_lines(spark, sf):
