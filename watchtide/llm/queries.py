@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, token_files
+from . import sharding, simhash, suffixes, token_files
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder)
     return token_files.index(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_suffix_repeats")
+def _suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=200, digest=True)
