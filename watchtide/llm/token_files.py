@@ -9,8 +9,11 @@ stored checksums are not themselves checksummed data of the same kind.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,8 +29,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # Text bytes that one file should hold.
 FILE_BYTES = 16 << 20
-# Distinct segments whose ids a worker remembers; it starts anew when full.
-MEMORY = 400_000
+# Distinct cuts of text whose ids a worker remembers in each of two generations.
+MEMORY = 300_000
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
@@ -58,46 +61,46 @@ def records(content: bytes) -> Iterator[tuple[int, bytes]]:
         at += 12 + length + 5
 
 
+# Latin words with at most one space before them, where nothing around belongs to the same unit.
+_WORD = re.compile(r"((?: |(?<![\w']))[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:|*%$&#()\"]|$))")
+
+
 class Encoder:
-    """Ids of texts. A single space between two other characters always starts a new unit of this kind
-    of vocabulary, so texts are cut there and the ids of each cut are remembered."""
+    """Ids of texts. A Latin word, with the space before it, is always a unit of its own in this kind of
+    vocabulary, so texts are cut around such words and the ids of each cut are remembered: the
+    latest ``MEMORY`` cuts, and those before them until they are replaced."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
+        self.recent: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        cut = [_segments(t) for t in texts]
-        new = list({s for parts in cut for s in parts if s not in known})
-        for s, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            known[s] = self.packed(e.ids)
+        if len(self.recent) > MEMORY:
+            self.older, self.recent = self.recent, {"": b""}
+        recent, older = self.recent, self.older
+        cut = [_WORD.split(t) if self.special is None or not self.special.search(t) else [t] for t in texts]
+        new = []
+        for s in {s for parts in cut for s in parts if s not in recent}:
+            if (ids := older.get(s)) is None:
+                new.append(s)
+            else:
+                recent[s] = ids
+        for first in range(0, len(new), 1024):
+            some = new[first : first + 1024]
+            for s, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                recent[s] = self.packed(e.ids)
         end = self.packed([END_ID])
-        return [b"".join([known[s] for s in parts]) + end for parts in cut]
-
-
-def _segments(text: str) -> list[str]:
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
-    # a space next to other white space stays inside its segment
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if p and held and not p[0].isspace() and not held[-1].isspace():
-            out.append(held)
-            held = " " + p
-        else:
-            held = held + " " + p
-    out.append(held)
-    return out
+        return [b"".join(map(recent.__getitem__, parts)) + end for parts in cut]
 
 
 def _frame(batches, vocabulary: str):
