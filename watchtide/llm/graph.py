@@ -15,23 +15,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     chains shorten by doubling. Every round is a table in the shared folder; edges whose ends agree are
     done and dropped.
     """
-    links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    links = stash(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = stash(links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")), "labels")
-    open_links = links
+    one_way = stash(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y"), "edges")
+    links = stash(one_way.unionByName(one_way.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    labels = _raised(links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")))
     while True:
         # neighbours of labels, so that whole parts hook on to each other
         at_x = labels.select(F.col("node").alias("x"), F.col("root").alias("rx"))
         at_y = labels.select(F.col("node").alias("y"), F.col("root").alias("ry"))
-        open_links = stash(open_links.join(at_x, "x").join(at_y, "y").filter("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "links")
-        if open_links.isEmpty():
+        links = stash(links.join(at_x, "x").join(at_y, "y").filter("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "links")
+        if links.isEmpty():
+            return labels
+        hooks = links.groupBy(F.col("x").alias("root")).agg(F.least(F.min("y"), F.first("x")).alias("to"))
+        labels = _raised(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def _raised(labels: DataFrame) -> DataFrame:
+    """The label of the label, until nothing moves: every label is then a root, its own label."""
+    labels = stash(labels.select("node", "root"), "labels")
+    while True:
+        above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = labels.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved"))
+        step = stash(step, "labels")
+        labels = step.select("node", "root")
+        if step.filter("moved").isEmpty():
             return labels
-        hooks = open_links.groupBy(F.col("x").alias("root")).agg(F.least(F.min("y"), F.first("x")).alias("to"))
-        labels = stash(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
-        # the label of the label, until nothing moves
-        while True:
-            above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            raised = stash(labels.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "labels")
-            labels = raised.select("node", "root")
-            if raised.filter("moved").isEmpty():
-                break
