@@ -81,3 +81,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+_UPPER = np.zeros(256, np.uint8)
+_UPPER[ord("A") : ord("Z") + 1] = 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length) of every maximal run of bytes for which ``inside``, indexed by byte, holds."""
+    flag = inside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:-1] = flag[1:] != flag[:-1]
+    edge[0] = edge[-1] = True
+    edge[offsets] = True  # words end with their text
+    cuts = np.nonzero(edge)[0]
+    starts, ends = cuts[:-1], cuts[1:]
+    own = flag[starts] if len(data) else np.zeros(0, bool)
+    starts, ends = starts[own], ends[own]
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends - starts
+
+
+def prefix_words(data: np.ndarray) -> np.ndarray:
+    """At every position the next eight bytes as one number, first byte lowest; zeros beyond the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return data + _UPPER[data]
+
+
+def first_bytes(words: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first ``length`` bytes, eight at most, of each packed number."""
+    bits = (np.minimum(length, 8) * 8).astype(np.uint64)
+    mask = np.where(bits >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+    return words & mask
+
+
+def word_names(packed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Names of whole words, from their bytes eight at a time."""
+    out = mixed(lengths.astype(np.uint64) + np.uint64(1))
+    for at in range(0, int(lengths.max(initial=0)), 8):
+        more = lengths > at
+        out[more] = mixed(out[more] ^ first_bytes(packed[starts[more] + at], lengths[more] - at)) + np.uint64(at)
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, held_out, pieces, text_bytes
+from .common import arrow, held_out, mixed, pieces, prefix_words, text_bytes, word_names, word_spans
 from .samples import labelled
 
 # Hashed byte trigrams, latent dimensions, labelled rows kept per class, neighbours that vote.
@@ -19,6 +19,8 @@ DIMENSIONS = 64
 PER_CLASS = 2000
 NEIGHBOURS = 25
 SHARPNESS = 8.0
+# Shares that describe a text's form, and their weight against all terms together.
+SHAPES, GAIN = 6, np.float32(1.0)
 MODULUS, REST, THRESHOLD = 4, 2, 0.7
 
 
@@ -36,16 +38,67 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(flat, minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
-def _each(batches, column: int):
+def _kinds() -> dict[str, np.ndarray]:
+    table = {k: np.zeros(256, bool) for k in ("space", "letter", "upper", "digit", "mark")}
+    for c in range(256):
+        table["space"][c] = c in b" \t\n\r\x0b\x0c"
+        table["upper"][c] = 65 <= c <= 90
+        table["letter"][c] = 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+        table["digit"][c] = 48 <= c <= 57
+        table["mark"][c] = not (table["space"][c] or table["letter"][c] or table["digit"][c] or c in b".,")
+    return table
+
+
+_KINDS = _kinds()
+
+
+def shapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows x SHAPES: shares, 0 to 1, that tell how a text is made rather than what it says."""
+    n = len(offsets) - 1
+    out = np.zeros((n, SHAPES), np.float32)
+    if not len(data):
+        return out
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    share = lambda of, among: np.divide(of, among, out=np.zeros(n), where=among > 0)
+    count = lambda kind: np.bincount(row, _KINDS[kind][data], n)
+    letters, size = count("letter"), np.diff(offsets).astype(float)
+    own, start, length = word_spans(data, offsets, ~_KINDS["space"])
+    names = word_names(prefix_words(data), start, length)
+    words = np.bincount(own, minlength=n).astype(float)
+    again = np.zeros(len(own), bool)
+    again[1:] = (names[1:] == names[:-1]) & (own[1:] == own[:-1])
+    # pairs of words seen before in the same text
+    pair = names[:-1] + np.uint64(31) * mixed(names[1:])
+    same = own[1:] == own[:-1]
+    order = np.lexsort((pair[same], own[:-1][same]))
+    pr, ow = pair[same][order], own[:-1][same][order]
+    old = np.zeros(len(pr), bool)
+    old[1:] = (pr[1:] == pr[:-1]) & (ow[1:] == ow[:-1])
+    pairs = np.bincount(ow, minlength=n).astype(float)
+    out[:, 0] = share(np.bincount(own, again, n), words)
+    out[:, 1] = share(np.bincount(ow, old, n), pairs)
+    out[:, 2] = share(count("upper"), letters)
+    out[:, 3] = np.minimum(1, 4 * share(count("mark"), size))
+    out[:, 4] = np.minimum(1, 4 * share(count("digit"), size))
+    out[:, 5] = share(np.bincount(own, ~_KINDS["letter"][data[start + length - 1]], n), words)
+    return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows x (TERMS + SHAPES)."""
+    return np.concatenate((term_counts(data, offsets), shapes(data, offsets)), axis=1)
+
+
+def _each(batches, column: int, step=features):
     for batch in batches:
         data, offsets = text_bytes(batch.column(column))
         for a, b in pieces(offsets):
-            yield batch, a, b, term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield batch, a, b, step(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _spread(batches):
     texts, seen = 0, np.zeros(TERMS, np.int64)
-    for _, a, b, counts in _each(batches, 0):
+    for _, a, b, counts in _each(batches, 0, term_counts):
         texts += b - a
         seen += (counts > 0).sum(axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TERMS)), pa.array(np.concatenate(([texts], seen)))], ["term", "n"])
@@ -60,10 +113,9 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted terms of length 1, and the shapes beside them."""
+    return np.concatenate((_unit(np.log1p(x[:, :TERMS]) * idf), GAIN * x[:, TERMS:]), axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -73,7 +125,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Size is fixed: TERMS x (DIMENSIONS + 1) and at most 2 x PER_CLASS x (DIMENSIONS + 2) numbers."""
+    """Size is bounded: (TERMS + SHAPES) x (DIMENSIONS + 1) and at most 2 x PER_CLASS x (DIMENSIONS + 2) numbers."""
 
     idf: np.ndarray
     basis: np.ndarray
@@ -117,11 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if not rows:
-        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
+        return Model(idf, np.zeros((TERMS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
     y = np.array([r.y for r in rows])
     x = _weigh(np.stack([np.frombuffer(r.counts, np.float32) for r in rows]), idf)
     # the leading right singular vectors, by subspace iteration
-    q = np.random.default_rng(7).standard_normal((TERMS, min(DIMENSIONS, len(rows), TERMS))).astype(np.float32)
+    q = np.random.default_rng(7).standard_normal((TERMS + SHAPES, min(DIMENSIONS, len(rows), TERMS))).astype(np.float32)
     for _ in range(8):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     basis = q.astype(np.float32)

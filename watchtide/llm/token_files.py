@@ -28,7 +28,7 @@ from .common import arrow, stash
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # Text bytes that one file should hold.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 # Distinct cuts of text whose ids a worker remembers in each of two generations.
 MEMORY = 300_000
 _MASK = 0xA282EAD8
