@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_piece_sampling")
+def _piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_checked(table(spark, sf_dir, "documents"))
