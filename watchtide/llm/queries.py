@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, neighbours, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_piece_sampling")
 def _piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode_checked(table(spark, sf_dir, "documents"))
+
+
+@query("op7_neighbours")
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
