@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,13 @@ def stash(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner waits for the driver's garbage
+    collector, which on a quiet driver may not run before the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and its n + 1 offsets; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

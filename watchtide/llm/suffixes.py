@@ -22,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, arrow, mixed, pieces, stash, text_bytes
+from .common import arrow, mixed, pieces, release, stash, text_bytes
 
 WINDOW = 200
 GRAM = 64
 # Windows per block in the later rounds; each round names strings of WINDOW + 1 - block bytes and longer.
-BLOCKS = (32, 8, 1)
+BLOCKS = (16, 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -92,26 +92,24 @@ def positions(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
 
 
 def _survey(batches, window: int):
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=4)
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for a, b in pieces(offsets):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             row, p, low, high, core, hull = positions(part, own, window)
             raw = part.tobytes()
-            texts = [raw[s:e] for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+            packed = [packer.compress(raw[s:e]) for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
             lists = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))).astype(np.int32)
             where = (p << 16) | (low << 8) | high
             as_list = lambda x: pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([packer.compress(t) for t in texts], pa.binary()),
-                 as_list(where), as_list(core), as_list(hull)],
-                ["doc_id", "n_bytes", "digest", "packed", "at", "core", "hull"],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(own)), pa.array(packed, pa.binary()), as_list(where), as_list(core), as_list(hull)],
+                ["doc_id", "n_bytes", "packed", "at", "core", "hull"],
             )
 
 
-_SURVEY = "doc_id bigint, n_bytes bigint, digest binary, packed binary, at array<bigint>, core array<bigint>, hull array<bigint>"
+_SURVEY = "doc_id bigint, n_bytes bigint, packed binary, at array<bigint>, core array<bigint>, hull array<bigint>"
 
 
 def _cut(batches, block: int, window: int):
@@ -150,43 +148,42 @@ _ROWS = "uid bigint, at bigint, query boolean, core bigint, hull bigint"
 def _round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(settled, open): positions whose whole hull occurs elsewhere, and those that need a longer name,
     with one witness for each hull that they may share a part with."""
-    hulls = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "query")).alias("one"))
-    hulls = stash(hulls if not last else hulls.filter("n > 1"), "hulls")
-    twice = hulls.filter("n > 1").select("core", "hull")
-    settled = rows.filter("query").join(twice, ["core", "hull"], "left_semi").select("uid", "at")
+    hulls = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.max("query").alias("asked"))
     if last:
-        return settled, None
-    cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.max(F.expr("n = 1 and one.query")).alias("wanting")).filter("hulls > 1 and wanting")
-    more = hulls.join(cores.select("core"), "core", "left_semi").select("one.uid", "one.at", F.expr("n = 1 and one.query").alias("query"))
+        return rows.filter("query").join(hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("uid", "at"), None
+    hulls = stash(hulls, "hulls")
+    cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.max(F.expr("n = 1 and asked")).alias("wanting"))
+    cores = cores.filter("hulls > 1 and wanting").select("core", F.lit(True).alias("open"))
+    keys = hulls.join(cores, "core", "left").select("core", "hull", "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
+    known = stash(rows.join(keys, ["core", "hull"]), "known")
+    settled = known.filter("query and n > 1").select("uid", "at")
+    witness = known.filter("open and n > 1").groupBy("core", "hull").agg(F.min(F.struct("uid", "at")).alias("one"))
+    more = known.filter("open and n = 1").select("uid", "at", "query").unionByName(witness.select("one.uid", "one.at", F.lit(False).alias("query")))
     return settled, more
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(survey, spans): every row of ``docs`` with a ``uid``, its size, digest, compressed text and whether
-    the same text occurs again (``copied``); and per ``uid`` the starts (``at``) of repeated windows.
-
-    Copied texts are settled whole; one of them stands for all when others are compared.
-    """
+    """(survey, settled): every row of ``docs`` with a ``uid``, its size and compressed text; and ``uid`` and
+    ``at`` of the positions whose windows occur again."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     survey = stash(arrow(rows, partial(_survey, window=window), _SURVEY).withColumn("uid", F.monotonically_increasing_id()), "survey")
-    texts = survey.groupBy("digest").agg(F.count("*").alias("copies"), F.min("uid").alias("uid"))
-    single = stash(texts.select("uid", (F.col("copies") == 1).alias("query")), "texts")
-    found = (
-        survey.join(single, "uid").select("uid", "query", F.explode(F.arrays_zip("at", "core", "hull")).alias("x"))
-        .select("uid", "x.at", "query", "x.core", "x.hull")
-    )
+    found = survey.select("uid", F.explode(F.arrays_zip("at", "core", "hull")).alias("x")).select("uid", "x.at", F.lit(True).alias("query"), "x.core", "x.hull")
+    common = found.groupBy("core").count().filter("count > 1").select("core")
+    found = stash(found.join(common, "core", "left_semi"), "positions")
     parts = []
     for k, block in enumerate((0, *blocks)):
         if block:
             wanted = more.groupBy("uid").agg(F.collect_list("at").alias("at"), F.collect_list("query").alias("query"))
             cut = wanted.join(survey.select("uid", "n_bytes", "packed"), "uid").select("uid", "n_bytes", "packed", "at", "query")
             found = stash(arrow(cut, partial(_cut, block=block, window=window), _ROWS), "blocks")
+        release(spark)
         settled, more = _round(found, k == len(blocks))
         parts.append(settled)
     settled = parts[0]
     for p in parts[1:]:
         settled = settled.unionByName(p)
-    return survey.join(texts.select("digest", "copies"), "digest").withColumn("copied", F.expr("copies > 1")), settled
+    return survey, settled
 
 
 def _runs(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +201,9 @@ def _kept(batches, window: int, digest: bool):
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for doc_id, n, packed, copied, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "packed", "copied", "at")), strict=True):
+        for doc_id, n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "packed", "at")), strict=True):
             text = unpacker.decompress(packed, max_output_size=n) if n else b""
-            if copied and n >= window:
-                starts, ends = np.array([0]), np.array([n])
-            elif at:
+            if at:
                 starts, ends = _runs(np.array(at, np.int64), window)
             else:
                 starts = ends = np.zeros(0, np.int64)
@@ -232,7 +227,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     read.
     """
     survey, settled = repeats(docs, window)
-    at = settled.groupBy("uid").agg(F.collect_list("at").alias("at"))
-    rows = survey.select("uid", "doc_id", "n_bytes", "packed", "copied").join(at, "uid", "left").drop("uid")
+    at = stash(settled.groupBy("uid").agg(F.collect_list("at").alias("at")), "settled")
+    release(docs.sparkSession)
+    rows = survey.select("uid", "doc_id", "n_bytes", "packed").join(at, "uid", "left").drop("uid")
     done = arrow(rows, partial(_kept, window=window, digest=digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return done.drop("kept" if digest else "kept_sha256")
