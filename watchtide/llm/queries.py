@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neighbours, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, licences, neighbours, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def _piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op1_licences")
+def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
