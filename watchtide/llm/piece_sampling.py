@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -233,8 +233,14 @@ class Lattice:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode()
 
 
+@lru_cache(maxsize=1)
+def _lattice(path: str, alpha: float) -> Lattice:
+    """One per worker process, so that later tasks find what earlier ones have summed."""
+    return Lattice(path, alpha)
+
+
 def _encoded(batches, path: str, alpha: float, seed: int, check: bool):
-    lattice = Lattice(path, alpha)
+    lattice = _lattice(path, alpha)
     for batch in batches:
         ids = batch.column(0)
         keys = mixed(np.array([0 if i is None else i + 1 for i in ids.to_pylist()], np.int64).view(np.uint64))
@@ -280,7 +286,7 @@ def encode_checked(docs: DataFrame, seed: int = 1, alpha: float = ALPHA, vocabul
 
 
 def _decoded(batches, path: str):
-    lattice = Lattice(path, 1.0)
+    lattice = _lattice(path, ALPHA)
     for batch in batches:
         texts = [lattice.decode(np.array(p or [], np.int32)) for p in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
