@@ -15,7 +15,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -103,8 +103,14 @@ class Encoder:
         return [b"".join(map(recent.__getitem__, parts)) + end for parts in cut]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per worker process, so that later tasks find what earlier ones have learned."""
+    return Encoder(path)
+
+
 def _frame(batches, vocabulary: str):
-    encoder = Encoder(vocabulary)
+    encoder = _encoder(vocabulary)
     for batch in batches:
         ids = batch.column(0).to_pylist()
         texts = [t or "" for t in batch.column(1).to_pylist()]
