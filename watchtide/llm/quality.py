@@ -200,3 +200,17 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thresh
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = arrow(rows, partial(_scored, model=model), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(MODULUS, REST).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _passing(batches, model, text: int, threshold: float):
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(text))
+        good = np.concatenate([model.value.score(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in pieces(offsets)] or [np.zeros(0)]) >= threshold
+        yield batch.filter(pa.array(good))
+
+
+def keep(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score reaches ``threshold``; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
+    step = partial(_passing, model=model, text=docs.columns.index("text"), threshold=threshold)
+    return arrow(docs, step, docs.schema)

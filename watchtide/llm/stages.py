@@ -1,18 +1,48 @@
-"""The operators as pipeline stages: (spark, docs, sf_dir) to the documents that stay, with their columns."""
+"""The operators as pipeline stages: (spark, docs, sf_dir) to the documents that stay, with their columns.
+
+Decisions on whole documents go by id: rows without an id cannot be named and stay. Other columns of
+``docs`` are carried along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontamination, piece_sampling, quality, simhash, suffixes
+from .common import table
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold stay, scored where the text lies."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
 
-    Rows that repeat an id are one document. Rows without an id cannot be told apart and stay.
-    """
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id. Rows that repeat
+    an id are one document, of which one row stays."""
     found = simhash.near_duplicates(docs, radius=4, size=4)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    nth = "_nth" + "_" * max(map(len, docs.columns), default=0)  # no column has this name
+    single = named.withColumn(nth, again).filter(F.col(nth) == 1).drop(nth)
+    return single.unionByName(docs.filter("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte within a string of 200 bytes that occurs again is cut; ``n_chars`` is counted anew."""
+    cut = suffixes.cut_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or most words of a window of one, go."""
+    found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.filter("doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` and the sampled ``pieces`` of every text that is left."""
+    return piece_sampling.encode(docs)

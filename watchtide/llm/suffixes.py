@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, mixed, pieces, release, stash, text_bytes
 
@@ -94,7 +95,7 @@ def positions(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
 def _survey(batches, window: int):
     packer = zstandard.ZstdCompressor(level=4)
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = text_bytes(batch.column(0))
         for a, b in pieces(offsets):
             part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             row, p, low, high, core, hull = positions(part, own, window)
@@ -104,12 +105,16 @@ def _survey(batches, window: int):
             where = (p << 16) | (low << 8) | high
             as_list = lambda x: pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(own)), pa.array(packed, pa.binary()), as_list(where), as_list(core), as_list(hull)],
-                ["doc_id", "n_bytes", "packed", "at", "core", "hull"],
+                [batch.column(1).slice(a, b - a), pa.array(np.diff(own)), pa.array(packed, pa.binary()), as_list(where), as_list(core), as_list(hull)],
+                ["row", "n_bytes", "packed", "at", "core", "hull"],
             )
 
 
-_SURVEY = "doc_id bigint, n_bytes bigint, packed binary, at array<bigint>, core array<bigint>, hull array<bigint>"
+def _schema(row: T.DataType, **columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("row", row), *[T.StructField(n, k) for n, k in columns.items()]])
+
+
+_LONG, _LONGS, _BYTES, _STRING = T.LongType(), T.ArrayType(T.LongType()), T.BinaryType(), T.StringType()
 
 
 def _cut(batches, block: int, window: int):
@@ -163,11 +168,13 @@ def _round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, blocks: tuple[int, ...] = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(survey, settled): every row of ``docs`` with a ``uid``, its size and compressed text; and ``uid`` and
-    ``at`` of the positions whose windows occur again."""
+    """(survey, settled): every row of ``docs`` with a ``uid``, its size, compressed text and other columns
+    (in ``row``); and ``uid`` and ``at`` of the positions whose windows occur again."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    survey = stash(arrow(rows, partial(_survey, window=window), _SURVEY).withColumn("uid", F.monotonically_increasing_id()), "survey")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("row"))
+    schema = _schema(rows.schema["row"].dataType, n_bytes=_LONG, packed=_BYTES, at=_LONGS, core=_LONGS, hull=_LONGS)
+    survey = stash(arrow(rows, partial(_survey, window=window), schema).withColumn("uid", F.monotonically_increasing_id()), "survey")
     found = survey.select("uid", F.explode(F.arrays_zip("at", "core", "hull")).alias("x")).select("uid", "x.at", F.lit(True).alias("query"), "x.core", "x.hull")
     common = found.groupBy("core").count().filter("count > 1").select("core")
     found = stash(found.join(common, "core", "left_semi"), "positions")
@@ -201,18 +208,24 @@ def _kept(batches, window: int, digest: bool):
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for doc_id, n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "packed", "at")), strict=True):
+        for n, packed, at in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "packed", "at")), strict=True):
             text = unpacker.decompress(packed, max_output_size=n) if n else b""
-            if at:
-                starts, ends = _runs(np.array(at, np.int64), window)
-            else:
-                starts = ends = np.zeros(0, np.int64)
+            starts, ends = _runs(np.array(at, np.int64), window) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             edges = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), n]
             kept = b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
-            out.append((doc_id, n, n - len(kept), len(starts), hashlib.sha256(kept).hexdigest() if digest else None, None if digest else kept))
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((n - len(kept), len(starts), hashlib.sha256(kept).hexdigest() if digest else None, None if digest else kept))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), *made], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def _judged(docs: DataFrame, window: int, digest: bool) -> DataFrame:
+    survey, settled = repeats(docs, window)
+    at = stash(settled.groupBy("uid").agg(F.collect_list("at").alias("at")), "settled")
+    release(docs.sparkSession)
+    rows = survey.select("uid", "row", "n_bytes", "packed").join(at, "uid", "left").drop("uid")
+    schema = _schema(rows.schema["row"].dataType, n_bytes=_LONG, n_removed=_LONG, n_spans=_LONG, kept_sha256=_STRING, kept=_BYTES)
+    return arrow(rows, partial(_kept, window=window, digest=digest), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -226,9 +239,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     repeated rows are copies of each other; an empty table gives no row. Only ``doc_id`` and ``text`` are
     read.
     """
-    survey, settled = repeats(docs, window)
-    at = stash(settled.groupBy("uid").agg(F.collect_list("at").alias("at")), "settled")
-    release(docs.sparkSession)
-    rows = survey.select("uid", "doc_id", "n_bytes", "packed").join(at, "uid", "left").drop("uid")
-    done = arrow(rows, partial(_kept, window=window, digest=digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return done.drop("kept" if digest else "kept_sha256")
+    done = _judged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), window, digest)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept")
+
+
+def _text(batches):
+    for batch in batches:
+        texts = [None if k is None else k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the bytes that :func:`remove_repeats` removes cut from ``text``; all columns stay.
+
+    Where a cut falls within a character, the rest of the character goes too. A null text becomes empty.
+    """
+    done = _judged(docs, window, False).select("row", "kept")
+    cut = arrow(done, _text, _schema(done.schema["row"].dataType, text=_STRING))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
