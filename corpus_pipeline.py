@@ -8,10 +8,14 @@ from watchtide.llm import stages
 from watchtide.llm.common import stash, table
 
 STAGES = [
+    ("quality_classifier", stages.keep_good),
     ("simhash_near_dedup", stages.near_dedup),
+    ("suffix_array_dedup", stages.cut_repeats),
+    ("benchmark_decontamination", stages.decontaminate),
+    ("sentencepiece_encoding", stages.encode),
 ]
 
-# No SQL form: fingerprints need a 64-bit hash that DuckDB lacks; tests compare with a brute-force run.
+# No SQL form: the stages need trained models and 64-bit hashes; tests compare with brute-force versions.
 ORACLE_SQL = None
 
 
