@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontamination, licences, neighbours, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, licences, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +23,7 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
-@query("op2_sharding")
+@query("op2_sharding", oracles.SHARDING)
 def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
 
@@ -41,7 +40,7 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.index(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-@query("op6_suffix_repeats")
+@query("op6_suffix_repeats", oracles.REPEATS)
 def _suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=200, digest=True)
 
