@@ -343,7 +343,11 @@ def test_series_key(spark):
 def test_limits():
     from watchtide.functions.basics import bounded_limit
 
-    assert bounded_limit(999999, 100, 1000) == 1000 and bounded_limit(0, 100, 1000) == 100 and bounded_limit(None, 100, 1000) == 100
+    assert bounded_limit(1000, 100, 1000) == 1000 and bounded_limit(None, 100, 1000) == 100
+    assert bounded_limit(None) is None and bounded_limit(999999) == 999999
+    for refused in (0, -1, 1001):
+        with pytest.raises(ValueError):
+            bounded_limit(refused, 100, 1000)
 
 
 def test_rate_windows(spark):

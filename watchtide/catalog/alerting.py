@@ -169,8 +169,7 @@ def merged(spark, sf):
     "list_incidents",
     f"""WITH {_ISLANDS}, f AS (SELECT tenant_id, service, island, count(*) AS signal_count, max("timestamp") AS last_seen FROM c GROUP BY ALL),
         e AS (SELECT f.*, (SELECT min(r."timestamp") FROM {{resolves}} r WHERE r.tenant_id = f.tenant_id AND r.service = f.service AND r."timestamp" >= f.last_seen) AS resolved FROM f)
-        SELECT service, signal_count, epoch_us(last_seen) AS last_seen FROM e WHERE tenant_id = '{TENANT}' AND resolved IS NOT NULL
-        ORDER BY last_seen DESC, sha1(concat(tenant_id, '|', service)) DESC LIMIT 200""",
+        SELECT service, signal_count, epoch_us(last_seen) AS last_seen FROM e WHERE tenant_id = '{TENANT}' AND resolved IS NOT NULL""",
 )
 def incident_list(spark, sf):
     from ..operators.logs import list_incidents
@@ -184,9 +183,9 @@ def incident_list(spark, sf):
     f"""WITH {_ISLANDS}, f AS (SELECT tenant_id, service, island, min("timestamp") AS a, max("timestamp") AS b FROM c GROUP BY ALL)
         SELECT marker_type, service, title, a AS start, b AS end FROM (
           SELECT * FROM (SELECT 'deploy' AS marker_type, service, title, epoch_us("timestamp") AS a, epoch_us("timestamp") AS b FROM {{changes}}
-            WHERE tenant_id = '{TENANT}' AND "timestamp" > {NOW} - INTERVAL 5 DAY ORDER BY a DESC, title DESC LIMIT 200)
+            WHERE tenant_id = '{TENANT}' AND "timestamp" > {NOW} - INTERVAL 5 DAY)
           UNION ALL SELECT * FROM (SELECT 'incident', service, concat(service, ' degraded'), epoch_us(a), epoch_us(b) FROM f
-            WHERE tenant_id = '{TENANT}' AND b > {NOW} - INTERVAL 5 DAY ORDER BY b DESC, 3 DESC LIMIT 200))""",
+            WHERE tenant_id = '{TENANT}' AND b > {NOW} - INTERVAL 5 DAY))""",
 )
 def overlays(spark, sf):
     from ..operators.logs import overlays as markers

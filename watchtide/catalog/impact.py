@@ -69,7 +69,7 @@ _PRIOR = """SELECT c.tenant_id, c.service, c.id, arg_max(struct_pack(g := d.git_
 )
 def culprits(spark, sf):
     """Likely culprit changes per service with rollback targets."""
-    ranked = D.rank_deploy_culprits(A.change_events(spark, sf), A.logs(spark, sf), AS_OF, WINDOW)
+    ranked = D.rank_deploy_culprits(A.change_events(spark, sf), A.logs(spark, sf), AS_OF, WINDOW, limit=15)
     return ranked.select(
         "tenant_id", "service", "id", "kind", "age_seconds", "score", "position", "degraded", "rollback_git_sha", "rollback_deploy_id"
     )
@@ -112,7 +112,7 @@ _CANDIDATES = f"""top AS ({_NEWEST % (NOW, WINDOW, NOW, 10)}),
     f"WITH {_CANDIDATES} SELECT tenant_id, service, type, subject, score, age_seconds, calls, errors FROM cand",
 )
 def candidates(spark, sf):
-    found = D.rca_candidates(A.change_events(spark, sf), edges_of(spark, sf), AS_OF, WINDOW)
+    found = D.rca_candidates(A.change_events(spark, sf), edges_of(spark, sf), AS_OF, WINDOW, limit=10)
     return found.select("tenant_id", "service", "type", "subject", "score", "age_seconds", "calls", "errors")
 
 
@@ -130,7 +130,7 @@ _RANKED = f"""{_CANDIDATES}, scored AS (SELECT *, {rn('''least(greatest((0.35 *
 )
 def ranked(spark, sf):
     """The flagship chain: spans, logs and changes to ranked likely causes."""
-    found = D.rca_candidates(A.change_events(spark, sf), edges_of(spark, sf), AS_OF, WINDOW)
+    found = D.rca_candidates(A.change_events(spark, sf), edges_of(spark, sf), AS_OF, WINDOW, limit=10)
     return D.rca_rank(found, gate=0.3).select("tenant_id", "service", "type", "subject", "score", "rank_score", "position")
 
 
@@ -142,7 +142,7 @@ def ranked(spark, sf):
 )
 def judged(spark, sf):
     changes = A.change_events(spark, sf)
-    found = D.rca_rank(D.rca_candidates(changes, edges_of(spark, sf), AS_OF, WINDOW), gate=0.3)
+    found = D.rca_rank(D.rca_candidates(changes, edges_of(spark, sf), AS_OF, WINDOW, limit=10), gate=0.3)
     feedback = changes.select(
         "tenant_id", "service", F.lit("deploy").alias("type"), F.concat_ws(" ", "kind", "title").alias("subject"),
         (F.col("id").cast("bigint") % 2 == 1).alias("was_root_cause"),

@@ -39,7 +39,7 @@ def errors_by_service(spark, sf):
 )
 def aggregate(spark, sf):
     aggs = [("count", "*"), ("min", "timestamp"), ("max", "timestamp")]
-    return select_aggregate(A.logs(spark, sf), "logs", TENANT, aggs, ["service", "level"], limit=1000)
+    return select_aggregate(A.logs(spark, sf), "logs", TENANT, aggs, ["service", "level"])
 
 
 @register(
@@ -64,16 +64,16 @@ def at_least(spark, sf):
     "bool_expr",
     f"""SELECT id, level, service AS svc FROM {{logs}} WHERE tenant_id = '{TENANT}'
         AND ((level = 'error' AND service = 'svc_1') OR (level = 'warn' AND environment <> 'prod'))
-        ORDER BY "timestamp" DESC, id LIMIT 1000""",
+       """,
 )
 def boolean(spark, sf):
-    """AND, OR, comparisons, aliases and a bounded descending listing."""
+    """AND, OR, comparisons, aliases and a descending listing."""
     where = any_of(
         all_of(pred("logs", "level", "=", "error"), pred("logs", "service", "=", "svc_1")),
         all_of(pred("logs", "level", "=", "warn"), pred("logs", "environment", "!=", "prod")),
     )
     items = ["id", "level", ("service", "svc")]
-    return select_rows(A.logs(spark, sf), "logs", TENANT, items, where, "time", True, 5000)
+    return select_rows(A.logs(spark, sf), "logs", TENANT, items, where, "time", True)
 
 
 @register(
@@ -123,24 +123,24 @@ def search_counts(spark, sf):
 def search_newest(spark, sf):
     docs = A.documents(spark, sf)
     first = docs.agg(F.min("tenant_id")).first()[0]
-    return L.search_logs(docs, first, PHRASE).select("timestamp", "id", "service", "message")
+    return L.search_logs(docs, first, PHRASE, limit=100).select("timestamp", "id", "service", "message")
 
 
 @register(
     "stream_selector",
     f"""SELECT id, epoch_us("timestamp") AS timestamp, epoch_us("timestamp") * 1000 AS ts_ns, service, level, environment,
         trace_id, span_id, message FROM {{logs}} WHERE tenant_id = '{TENANT}' AND service = 'svc_1' AND level <> 'debug'
-        AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW} ORDER BY "timestamp" DESC, id DESC LIMIT 5000""",
+        AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW}""",
 )
 def selector(spark, sf):
     matchers = [("service", "=", "svc_1"), ("level", "!=", "debug")]
-    return L.stream_selector(A.logs(spark, sf), TENANT, matchers, AS_OF, END_NS - 7 * DAY_NS, END_NS, limit=99999)
+    return L.stream_selector(A.logs(spark, sf), TENANT, matchers, AS_OF, END_NS - 7 * DAY_NS, END_NS)
 
 
 @register(
     "log_streams",
     f"""WITH picked AS (SELECT * FROM {{logs}} WHERE tenant_id = '{TENANT}' AND service = 'svc_1'
-          AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW} ORDER BY "timestamp" DESC, id DESC LIMIT 1000)
+          AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW})
         SELECT concat(CASE WHEN environment <> '' THEN concat('environment=', environment, ';') ELSE '' END, 'level=', level, ';service=',
           service, ';span_id=', span_id, ';trace_id=', trace_id, ';') AS stream,
           string_agg(concat(epoch_us("timestamp") * 1000, ' ', message), ',' ORDER BY "timestamp", message) AS lines
@@ -193,13 +193,13 @@ def tail_batch(spark, sf):
     "timeline",
     f"""WITH l AS (SELECT 'log' AS type, "timestamp" AS ts, service, level AS severity, message AS title, trace_id, span_id, 0 AS o, id AS k
           FROM {{logs}} WHERE tenant_id = '{TENANT}' AND "timestamp" >= {NOW} - INTERVAL 3 DAY AND level IN ('warn', 'error', 'fatal')
-          ORDER BY ts DESC, k DESC LIMIT 200),
+         ),
         s AS (SELECT 'span' AS type, "timestamp" AS ts, service, status_code AS severity, '' AS title, trace_id, span_id, 1 AS o, span_id AS k
-          FROM {{traces}} WHERE tenant_id = '{TENANT}' AND "timestamp" >= {NOW} - INTERVAL 3 DAY AND "timestamp" <= {NOW} ORDER BY ts DESC, k DESC LIMIT 200),
+          FROM {{traces}} WHERE tenant_id = '{TENANT}' AND "timestamp" >= {NOW} - INTERVAL 3 DAY AND "timestamp" <= {NOW}),
         c AS (SELECT 'deploy' AS type, "timestamp" AS ts, service, kind AS severity, title, '' AS trace_id, '' AS span_id, 2 AS o, id AS k
-          FROM {{changes}} WHERE tenant_id = '{TENANT}' AND "timestamp" >= {NOW} - INTERVAL 3 DAY ORDER BY ts DESC, k DESC LIMIT 200)
+          FROM {{changes}} WHERE tenant_id = '{TENANT}' AND "timestamp" >= {NOW} - INTERVAL 3 DAY)
         SELECT type, epoch_us(ts) AS timestamp, service, severity, title, trace_id, span_id FROM
-          (SELECT * FROM l UNION ALL SELECT * FROM s UNION ALL SELECT * FROM c) ORDER BY ts DESC, o DESC, k DESC LIMIT 200""",
+          (SELECT * FROM l UNION ALL SELECT * FROM s UNION ALL SELECT * FROM c)""",
 )
 def feed(spark, sf):
     merged = L.timeline(A.logs(spark, sf), A.traces(spark, sf), A.change_events(spark, sf), TENANT, AS_OF, since=3 * 86400)
@@ -209,11 +209,11 @@ def feed(spark, sf):
 @register(
     "timeline_trace",
     f"""WITH l AS (SELECT 'log' AS type, "timestamp" AS ts, service, level AS severity, message AS title, trace_id, span_id, 0 AS o, id AS k
-          FROM {{logs}} WHERE tenant_id = '{TENANT}' AND trace_id = 't4' ORDER BY ts DESC, k DESC LIMIT 200),
+          FROM {{logs}} WHERE tenant_id = '{TENANT}' AND trace_id = 't4'),
         s AS (SELECT 'span' AS type, "timestamp" AS ts, service, status_code AS severity, '' AS title, trace_id, span_id, 1 AS o, span_id AS k
-          FROM {{traces}} WHERE tenant_id = '{TENANT}' AND trace_id = 't4' ORDER BY ts DESC, k DESC LIMIT 200)
+          FROM {{traces}} WHERE tenant_id = '{TENANT}' AND trace_id = 't4')
         SELECT type, epoch_us(ts) AS timestamp, service, severity, title, trace_id, span_id FROM
-          (SELECT * FROM l UNION ALL SELECT * FROM s) ORDER BY ts DESC, o DESC, k DESC LIMIT 200""",
+          (SELECT * FROM l UNION ALL SELECT * FROM s)""",
 )
 def trace_story(spark, sf):
     merged = L.timeline(A.logs(spark, sf), A.traces(spark, sf), A.change_events(spark, sf), TENANT, AS_OF, trace_id="t4")
@@ -223,7 +223,7 @@ def trace_story(spark, sf):
 @register(
     "list_changes",
     f"""SELECT epoch_us("timestamp") AS timestamp, service, kind, title, git_sha, deploy_id FROM {{changes}}
-        WHERE tenant_id = '{TENANT}' ORDER BY "timestamp" DESC, id DESC LIMIT 200""",
+        WHERE tenant_id = '{TENANT}'""",
 )
 def changes(spark, sf):
     return L.list_changes(A.change_events(spark, sf), TENANT)
@@ -231,18 +231,17 @@ def changes(spark, sf):
 
 @register(
     "list_auth_events",
-    f"""SELECT count(*) AS n, min(user_id) >= '' AS named FROM (SELECT 1 AS one, cast(user_id AS string) AS user_id FROM events
-        WHERE concat('ten_', cast(user_id % 3 AS string)) = '{TENANT}' LIMIT 100)""",
+    f"""SELECT cast(event_id AS string) AS id, epoch_us(ts) AS timestamp, event_type, cast(user_id AS string) AS user_id FROM events
+        WHERE concat('ten_', cast(user_id % 3 AS string)) = '{TENANT}'""",
 )
 def auth_events(spark, sf):
-    """An unordered page of identity events: only its size is determined."""
     events = A.load(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("id"), F.concat(F.lit("ten_"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"),
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type"), F.lit("password").alias("auth_method"),
         F.col("user_id").cast("string").alias("user_id"), F.lit("").alias("ip_country"), F.lit(0.0).cast("float").alias("risk_score"),
     )
-    page = L.list_auth_events(events, TENANT)
-    return page.agg(F.count("*").alias("n"), (F.min("user_id") >= "").alias("named"))
+    shown = L.list_auth_events(events, TENANT)
+    return shown.select("id", "timestamp", "event_type", "user_id") if "id" in shown.columns else shown
 
 
 @register(
@@ -258,10 +257,10 @@ def auth_values(spark, sf):
 @register(
     "select_fields",
     f"""SELECT id, epoch_us("timestamp") AS timestamp, service, level, message, trace_id, span_id, body FROM {{logs}}
-        WHERE tenant_id = 'ten_2' ORDER BY "timestamp", id LIMIT 100""",
+        WHERE tenant_id = 'ten_2'""",
 )
 def default_fields(spark, sf):
-    """The default projection, oldest first, with the default limit."""
+    """The default projection, oldest first, all rows."""
     return select_rows(A.logs(spark, sf), "logs", "ten_2", order_by="timestamp")
 
 
@@ -269,7 +268,7 @@ def default_fields(spark, sf):
     "audit_search",
     f"""WITH hit AS (SELECT * FROM {{audit_trail}} WHERE tenant_id = '{TENANT}' AND lower(actor) LIKE '%user_1%' AND lower(action) LIKE '%click%')
         SELECT tenant_id, epoch_us(created_at) AS created_at, actor, action, id, (SELECT count(*) FROM hit) AS total
-        FROM hit ORDER BY created_at DESC, id LIMIT 200""",
+        FROM hit""",
 )
 def audit(spark, sf):
     return L.audit_search(A.audit_trail(spark, sf), TENANT, "USER_1", "click")

@@ -250,4 +250,4 @@ _CAPACITY_SERIES = (
         FROM t JOIN (SELECT {_KEYS}, level FROM e WHERE i = m - 1) l USING ({_KEYS})""",
 )
 def capacity(spark, sf):
-    return FC.forecast_capacity(A.metrics(spark, sf), A.change_events(spark, sf), AS_OF, HOURS6, 12, 60.0)
+    return FC.forecast_capacity(A.metrics(spark, sf), A.change_events(spark, sf), AS_OF, HOURS6, 12, 60.0, buckets=288)

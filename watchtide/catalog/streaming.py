@@ -32,8 +32,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/watchtide-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, folder: str, order: str = "timestamp", files: int = FILES, per_trigger: int = 2) -> DataFrame:
-    """``df`` written as files, one after the other in time order, and read back as a stream."""
+def as_stream(df: DataFrame, folder: str, order: str = "timestamp", files: int = FILES, per_trigger: int = 2, shuffled: bool = False) -> DataFrame:
+    """``df`` written as files and read back as a stream: one after the other in time order, or ``shuffled`` by a hash of the row."""
+    if shuffled:
+        at = [F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+        df.repartition(2 * files, F.xxhash64(*at)).write.parquet(folder)
+        return read_files(df.sparkSession, folder, df.schema, per_trigger)
     cuts = df.select(F.unix_micros(order).alias("_at") if order != "event_id" else F.col(order).alias("_at"))
     edges = cuts.agg(F.percentile_approx("_at", [i / files for i in range(1, files)])).first()[0]
     at = F.unix_micros(order) if order != "event_id" else F.col(order)
@@ -71,11 +75,11 @@ def tail(spark, sf):
 
 @register("stream_dedup", "SELECT tenant_id, count(*) AS n FROM {logs} GROUP BY tenant_id")
 def dedup(spark, sf):
-    """Every record delivered twice, kept once."""
+    """Every record delivered twice, in no order, kept once."""
     folder = scratch(spark)
     logs = A.logs(spark, sf)
-    stream = as_stream(logs.unionByName(logs), f"{folder}/in")
-    return drained(SI.dedup_stream(stream, "30 days"), folder, "append").groupBy("tenant_id").agg(F.count("*").alias("n"))
+    stream = as_stream(logs.unionByName(logs), f"{folder}/in", shuffled=True)
+    return drained(SI.dedup_stream(stream), folder, "append").groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -86,10 +90,12 @@ def dedup(spark, sf):
         FROM {{metrics}} GROUP BY tenant_id, service, environment, metric_name, metric_type, label_k, bucket""",
 )
 def rollups(spark, sf):
+    """Rows come in no order at all, so most are days late."""
     folder = scratch(spark)
-    stream = as_stream(A.metrics(spark, sf), f"{folder}/in")
-    out = drained(SR.stream_rollups(stream, "1 hour"), folder, "update").withColumn("series_key", series_key(F.col("attributes"))).drop("attributes")
-    return latest(out, ["tenant_id", "service", "environment", "metric_name", "metric_type", "series_key", "bucket"])
+    stream = as_stream(A.metrics(spark, sf), f"{folder}/in", shuffled=True)
+    SR.stream_rollups(stream, f"{folder}/out", f"{folder}/checkpoint", "1 hour", available_now=True).awaitTermination()
+    out = SR.read_rollups(spark.read.parquet(f"{folder}/out").drop("batch_id"), "1 hour")
+    return out.withColumn("series_key", series_key(F.col("attributes"))).drop("attributes")
 
 
 @register(
@@ -98,9 +104,11 @@ def rollups(spark, sf):
        (SELECT tenant_id, epoch_us("timestamp") // 60000000 * 60 AS w, count(*) AS n FROM {logs} GROUP BY ALL)""",
 )
 def rates(spark, sf):
+    """Rows come in no order at all, so most are days late."""
     folder = scratch(spark)
-    stream = as_stream(A.logs(spark, sf).select("tenant_id", "timestamp"), f"{folder}/in")
-    return latest(drained(SR.stream_rate_windows(stream, 2), folder, "update"), ["tenant_id", "window_start"])
+    stream = as_stream(A.logs(spark, sf).select("tenant_id", "timestamp"), f"{folder}/in", shuffled=True)
+    SR.stream_rate_windows(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return SR.read_rate_windows(spark.read.parquet(f"{folder}/out"), 2)
 
 
 CYCLE = 21600

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,15 +58,21 @@ def clamp01(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
-def count_if(predicate: Column) -> Column:
-    return F.count_if(predicate)
+def bounded_limit(limit: int | None, default: int | None = None, maximum: int | None = None) -> int | None:
+    """The rows to keep: a missing limit takes the default, and no default means all.
+
+    A limit is honoured exactly or refused: one below 1 or above the maximum is an error.
+    """
+    limit = default if limit is None else limit
+    if limit is not None and (limit < 1 or (maximum is not None and limit > maximum)):
+        raise ValueError(f"limit {limit} is not between 1 and {maximum or 'any number'}")
+    return limit
 
 
-def bounded_limit(limit: int | None, default: int, maximum: int) -> int:
-    """A missing or non-positive limit takes the default; nothing exceeds the maximum."""
-    if limit is None or limit <= 0:
-        limit = default
-    return min(limit, maximum)
+def limited(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows, or all."""
+    limit = bounded_limit(limit)
+    return df if limit is None else df.limit(limit)
 
 
 def settled(value: Column) -> Column:

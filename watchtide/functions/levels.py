@@ -48,15 +48,21 @@ def level_cmp(op: str, level: str, column="level") -> Column:
     """Compare a stored level with ``level``: ordering by severity, equality by text."""
     if op in ("=", "!="):
         return ORDERINGS[op](as_col(column), F.lit(level))
-    rank = LEVELS.index(level) + 1 if level in LEVELS else 0
-    return ORDERINGS[op](level_rank(column), F.lit(rank))
+    return by_rank(lambda rank: ORDERINGS[op](rank, LEVELS.index(level) + 1 if level in LEVELS else 0), column)
+
+
+def by_rank(holds, column="level") -> Column:
+    """Whether ``holds`` of the level's rank (0 for unknown levels and NULL), as a list of levels that a
+    Parquet scan can use."""
+    stored = as_col(column)
+    if holds(0):
+        return stored.isNull() | ~stored.isin([v for i, v in enumerate(LEVELS, 1) if not holds(i)])
+    return stored.isNotNull() & stored.isin([v for i, v in enumerate(LEVELS, 1) if holds(i)])
 
 
 def level_at_least(level: str, column="level") -> Column:
-    """Severity at or above ``level``, written as a membership test a Parquet scan can use."""
-    if level not in LEVELS:
-        return F.lit(True)
-    return as_col(column).isin(LEVELS[LEVELS.index(level):])
+    """Severity at or above ``level``; an unknown level is below all."""
+    return level_cmp(">=", level, column)
 
 
 def tail_level_rank(column) -> Column:

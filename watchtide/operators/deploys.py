@@ -13,8 +13,6 @@ from ..plans.sweep import asof_join, running_totals
 # Weights and limits of the culprit and cause scores.
 CHANGE_WEIGHTS = {"deploy": 1.0, "rollback": 0.95, "config": 0.75, "flag": 0.65}
 OTHER_CHANGE_WEIGHT = 0.70
-MAX_CULPRITS = 15
-MAX_CAUSES = 10
 DEGRADED_DELTA = 0.02
 RCA_WEIGHTS = {"type": 0.35, "recency": 0.30, "error_rate": 0.25, "blast": 0.10}
 TYPE_FEATURE = {"deploy": 1.0, "dependency": 0.6}
@@ -115,15 +113,15 @@ def culprit_score(kind: Column, age: Column, window: int, after_total: Column, d
     return round_n(F.when(F.coalesce(after_total, F.lit(0)) == 0, structural).otherwise(correlated), 2)
 
 
-def rank_deploy_culprits(changes: DataFrame, logs: DataFrame, as_of, window: int = 3600) -> DataFrame:
-    """The newest 15 changes per service in the window, most likely culprit first.
+def rank_deploy_culprits(changes: DataFrame, logs: DataFrame, as_of, window: int = 3600, limit: int | None = None) -> DataFrame:
+    """The changes per service in the window, or the newest ``limit``, most likely culprit first.
 
     ``position`` ranks within a service. The top culprit carries a rollback target when it is a
     degraded deploy with an earlier deploy to return to.
     """
     window = window if window > 0 else 3600
     recent = changes.filter(trailing("timestamp", as_of, window))
-    newest = top_n_per_group(recent, BY_SERVICE, [F.col("timestamp").desc(), F.col("id").desc()], MAX_CULPRITS)
+    newest = top_n_per_group(recent, BY_SERVICE, [F.col("timestamp").desc(), F.col("id").desc()], limit)
     reach = window + max(window // 4, 300)
     near = logs.filter(
         (F.col("timestamp") >= as_of_col(as_of) - F.make_dt_interval(secs=F.lit(reach + 1)))
@@ -189,11 +187,14 @@ def nearby_deploy(signals: DataFrame, changes: DataFrame, ts: str = "timestamp")
     ).drop("_deployed")
 
 
-def rca_candidates(changes: DataFrame, edges: DataFrame, as_of, window: int = 3600) -> DataFrame:
-    """Suspects per service: its newest changes and the erring services it calls, the best ten."""
+def rca_candidates(changes: DataFrame, edges: DataFrame, as_of, window: int = 3600, limit: int | None = None) -> DataFrame:
+    """Suspects per service: its changes and the erring services it calls, best first.
+
+    ``limit`` keeps that many of the newest changes and of the best suspects.
+    """
     window = window if window > 0 else 3600
     recent = changes.filter(trailing("timestamp", as_of, window))
-    newest = top_n_per_group(recent, BY_SERVICE, [F.col("timestamp").desc(), F.col("id").desc()], MAX_CAUSES)
+    newest = top_n_per_group(recent, BY_SERVICE, [F.col("timestamp").desc(), F.col("id").desc()], limit)
     deploys = newest.withColumn("age_seconds", _age(as_of)).select(
         *BY_SERVICE,
         F.lit("deploy").alias("type"),
@@ -219,7 +220,7 @@ def rca_candidates(changes: DataFrame, edges: DataFrame, as_of, window: int = 36
     both = deploys.unionByName(dependencies, allowMissingColumns=True)
     # deploys come first among equals, newer before older
     order = [F.col("score").desc(), F.col("type").desc(), F.col("_us").desc(), F.col("_tie")]
-    return top_n_per_group(both, BY_SERVICE, order, MAX_CAUSES).drop("_tie", "_us")
+    return top_n_per_group(both, BY_SERVICE, order, limit).drop("_tie", "_us")
 
 
 def rca_rank(candidates: DataFrame, weights: dict[str, float] | None = None, gate: float | None = None, use_age: bool = False) -> DataFrame:

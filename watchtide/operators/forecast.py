@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.basics import round_n
+from ..functions.basics import as_of_col, round_n
 from ..functions.times import bucket_seconds, trailing
 
-# Series length, smoothing and season of the capacity report.
-MAX_BUCKETS = 288
+# Smoothing and season of the capacity report.
 EWMA_ALPHA = 0.3
 DAY_SECONDS = 86400
 SERIES = ["tenant_id", "service", "metric_name"]
@@ -17,9 +16,9 @@ WITHHELD = "insufficient history for a trend (need >= 2 windows)"
 
 
 def bucketed_series(metrics: DataFrame, as_of, window: int = 300, lookback: int | None = None) -> DataFrame:
-    """Average per series and bucket with the bucket's index; at most ``lookback / window`` buckets each."""
-    lookback = lookback or window * MAX_BUCKETS
-    points = metrics.filter(trailing("timestamp", as_of, lookback)).groupBy(
+    """Average per series and bucket with the bucket's index, over ``lookback`` seconds or all that came before."""
+    before = trailing("timestamp", as_of, lookback) if lookback else F.col("timestamp") <= as_of_col(as_of)
+    points = metrics.filter(before).groupBy(
         *SERIES, bucket_seconds("timestamp", window).alias("bucket")
     ).agg(F.avg("value").alias("v"))
     index = F.row_number().over(Window.partitionBy(*SERIES).orderBy("bucket")) - 1
@@ -118,14 +117,14 @@ def deviation(actual: Column, baseline: Column) -> Column:
 
 def forecast_capacity(
     metrics: DataFrame, changes: DataFrame, as_of, window: int = 300, horizon: int = 12,
-    thresholds: dict[str, float] | float | None = None,
+    thresholds: dict[str, float] | float | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Capacity report of every (tenant, service, metric) series.
 
     The trend and the smoothed level use points since the latest deploy. Index, reset and report share
-    one partitioning by series, and a series is at most 288 buckets (and one cut by the reference time).
+    one partitioning by series. ``buckets`` cuts the history to that many windows before the reference time.
     """
-    lookback = window * MAX_BUCKETS
+    lookback = window * buckets if buckets else None
     series = deploy_reset(bucketed_series(metrics, as_of, window, lookback), changes, as_of, lookback)
     points = series.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
     since = F.col("idx") - F.greatest(F.col("reset"), F.lit(0))

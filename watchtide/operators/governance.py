@@ -133,6 +133,11 @@ def ingest_rate_windows(requests: DataFrame, limit: int = REQUESTS_PER_MINUTE, t
     counted = requests.groupBy("tenant_id", bucket_seconds(ts, WINDOW_SECONDS).alias("window_start")).agg(
         F.count(F.lit(1)).alias("requests")
     )
+    return rate_windows(counted, limit)
+
+
+def rate_windows(counted: DataFrame, limit: int = REQUESTS_PER_MINUTE) -> DataFrame:
+    """Counts per tenant and window against the quota."""
     return counted.select(
         "tenant_id", "window_start", "requests", (F.col("requests") > limit).alias("exceeded"),
         F.greatest(F.lit(limit) - F.col("requests"), F.lit(0)).cast("bigint").alias("remaining"),

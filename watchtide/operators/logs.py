@@ -5,32 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import as_of_col, bounded_limit, epoch_seconds, text_or_empty
+from ..functions.basics import as_of_col, epoch_seconds, limited, text_or_empty
 from ..functions.fields import canonical_labels, json_field, json_has
 from ..functions.levels import ORDERINGS, tail_level_rank, LEVELS
 from ..functions.masking import has_all_tokens
 from ..functions.times import trailing
 from ..plans.ranking import keep_last_n
-from .scope import QUERY_LIMITS, select_fields, tenant_scope
+from .scope import select_fields, tenant_scope
 
-# Browsable log labels, the labels of a stream, and limits.
+# Browsable log labels and the labels of a stream.
 LOG_LABELS = ["service", "level", "environment", "trace_id", "span_id", "ingested_by"]
 STREAM_LABELS = ["service", "level", "environment", "trace_id", "span_id"]
-STREAM_LIMITS = (1000, 5000)
-VALUES_LIMIT = 1000
-LISTING_LIMIT = 200
-AUTH_LISTING_LIMIT = 100
 NS = 10**9
 
 
 def search_logs(df: DataFrame, tenant: str, phrase: str, where: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Full-text search over ``message``, newest first."""
+    """Full-text search over ``message``, newest first; the newest ``limit`` if given."""
     hits = tenant_scope(df, tenant)
     if where is not None:
         hits = hits.filter(where)
     hits = hits.filter(has_all_tokens("message", phrase))
-    top = hits.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(bounded_limit(limit, *QUERY_LIMITS))
-    return select_fields(top, "logs")
+    return select_fields(limited(hits.orderBy(F.col("timestamp").desc(), F.col("id").desc()), limit), "logs")
 
 
 def _ns(df: DataFrame) -> Column:
@@ -83,13 +78,13 @@ def stream_selector(
     ).withColumn("ts_ns", _ns(df))
     order = [F.col("ts_ns").asc(), F.col("id").asc()] if forward else [F.col("ts_ns").desc(), F.col("id").desc()]
     shown = ["id", "timestamp", "ts_ns", *[c for c in STREAM_LABELS if c in df.columns], "message"]
-    return rows.orderBy(*order).limit(bounded_limit(limit, *STREAM_LIMITS)).select(*shown)
+    return limited(rows.orderBy(*order), limit).select(*shown)
 
 
 def to_streams(df: DataFrame) -> DataFrame:
     """Selected lines grouped by their non-empty labels into ordered ``[ns, line]`` pairs.
 
-    The input is a selector result, so its size is bounded by the selector's limit.
+    A stream is one row, so a selector's window or limit decides how long its list gets.
     """
     pairs = [x for c in STREAM_LABELS if c in df.columns for x in (F.lit(c), text_or_empty(c))]
     labelled = df.withColumn("labels", canonical_labels(F.create_map(*pairs)))
@@ -107,18 +102,18 @@ def _ns_bounds(df: DataFrame, start_ns, end_ns) -> DataFrame:
 
 
 def label_values(df: DataFrame, tenant: str, label: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-    """Sorted distinct non-empty values of one label, at most 1000."""
+    """Sorted distinct non-empty values of one label."""
     label_predicate([(label, "=", "")])
     column = label.lower()
     rows = _ns_bounds(tenant_scope(df, tenant), start_ns, end_ns).filter(F.col(column) != "")
-    return rows.select(F.col(column).alias("value")).distinct().orderBy("value").limit(VALUES_LIMIT)
+    return rows.select(F.col(column).alias("value")).distinct().orderBy("value")
 
 
 def label_sets(df: DataFrame, tenant: str, matchers=(), start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-    """Sorted distinct (service, level, environment) under matchers, at most 1000."""
+    """Sorted distinct (service, level, environment) under matchers."""
     rows = _ns_bounds(tenant_scope(df, tenant), start_ns, end_ns).filter(label_predicate(matchers))
     keys = ["service", "level", "environment"]
-    return rows.select(*keys).distinct().orderBy(*keys).limit(VALUES_LIMIT)
+    return rows.select(*keys).distinct().orderBy(*keys)
 
 
 def tail_predicate(field: str, op: str, value, as_of=None) -> Column:
@@ -154,13 +149,12 @@ def timeline(
     logs: DataFrame, traces: DataFrame, changes: DataFrame, tenant: str, as_of, trace_id: str | None = None,
     service: str | None = None, since: int = 3600, limit: int | None = None, include_info: bool = False,
 ) -> DataFrame:
-    """One feed of log lines, spans and changes, oldest first, the newest ``limit`` events.
+    """One feed of log lines, spans and changes, oldest first, or its newest ``limit`` events.
 
-    The scope is one trace, or a trailing window with an optional service. Each signal is trimmed to
-    its newest ``limit`` rows before the feeds are merged. Logs below ``warn`` show only in a trace or
+    The scope is one trace, or a trailing window with an optional service. With a limit each signal is
+    trimmed to its newest rows before the feeds are merged. Logs below ``warn`` show only in a trace or
     on request; changes are left out of a trace.
     """
-    limit = limit if limit and 0 < limit <= 1000 else 200
     since = since if since > 0 else 3600
     end = as_of_col(as_of)
 
@@ -183,7 +177,7 @@ def timeline(
             (F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")).alias("fields"),
             F.lit(order).alias("_order"), col(key).alias("_key"),
         )
-        return shaped.orderBy(F.col("timestamp").desc(), F.col("_key").desc()).limit(limit)
+        return shaped if limit is None else limited(shaped.orderBy(F.col("timestamp").desc(), F.col("_key").desc()), limit)
 
     log_rows = scoped(logs)
     if not (include_info or trace_id):
@@ -199,13 +193,15 @@ def timeline(
     return kept.drop("_order", "_key")
 
 
-def overlays(changes: DataFrame, incidents: DataFrame, tenant: str, as_of, window: int = 3600, service: str | None = None) -> DataFrame:
-    """Chart markers: the newest 200 changes and the newest 200 incidents seen in the window."""
+def overlays(
+    changes: DataFrame, incidents: DataFrame, tenant: str, as_of, window: int = 3600, service: str | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Chart markers: the changes and the incidents seen in the window, or the newest ``limit`` of each."""
 
     def recent(df: DataFrame, column: str) -> DataFrame:
         df = tenant_scope(df, tenant).filter(trailing(column, as_of, window))
         df = df.filter(F.col("service") == service) if service else df
-        return df.orderBy(F.col(column).desc(), F.col("title").desc()).limit(LISTING_LIMIT)
+        return df if limit is None else limited(df.orderBy(F.col(column).desc(), F.col("title").desc()), limit)
 
     deploys = recent(changes, "timestamp").select(
         F.lit("deploy").alias("marker_type"), "service", "title", F.col("kind"), F.lit("").alias("severity"),
@@ -220,26 +216,30 @@ def overlays(changes: DataFrame, incidents: DataFrame, tenant: str, as_of, windo
     return deploys.unionByName(seen)
 
 
-def list_changes(df: DataFrame, tenant: str, service: str | None = None, limit: int = LISTING_LIMIT) -> DataFrame:
+def list_changes(df: DataFrame, tenant: str, service: str | None = None, limit: int | None = None) -> DataFrame:
+    """Changes of a tenant, newest first."""
     rows = tenant_scope(df, tenant)
     rows = rows.filter(F.col("service") == service) if service else rows
-    return select_fields(rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit), "change_events")
+    return select_fields(limited(rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()), limit), "change_events")
 
 
-def list_auth_events(df: DataFrame, tenant: str, limit: int = AUTH_LISTING_LIMIT) -> DataFrame:
-    return select_fields(tenant_scope(df, tenant).limit(limit), "auth_events")
+def list_auth_events(df: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
+    """Identity events of a tenant, newest first."""
+    newest = tenant_scope(df, tenant).orderBy(F.col("timestamp").desc(), F.col("id").desc())
+    return select_fields(limited(newest, limit), "auth_events")
 
 
-def list_incidents(df: DataFrame, tenant: str, status: str | None = None, limit: int = LISTING_LIMIT) -> DataFrame:
+def list_incidents(df: DataFrame, tenant: str, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Incidents of a tenant, latest activity first."""
     rows = tenant_scope(df, tenant)
     rows = rows.filter(F.col("status") == status) if status in ("open", "resolved") else rows
-    return rows.orderBy(F.col("last_seen").desc(), F.col("fingerprint").desc()).limit(limit)
+    return limited(rows.orderBy(F.col("last_seen").desc(), F.col("fingerprint").desc()), limit)
 
 
-def audit_search(df: DataFrame, tenant: str, actor: str = "", action: str = "", limit: int = LISTING_LIMIT) -> DataFrame:
+def audit_search(df: DataFrame, tenant: str, actor: str = "", action: str = "", limit: int | None = None) -> DataFrame:
     """Audit rows whose actor and action contain the given texts, newest first, with the total.
 
-    The total is a scalar subquery, so listing stays a bounded top-n instead of one global window.
+    The total is a scalar subquery, so a limited listing stays a top-n instead of one global window.
     """
 
     def contains(column: str, text: str) -> Column:
@@ -247,5 +247,5 @@ def audit_search(df: DataFrame, tenant: str, actor: str = "", action: str = "",
 
     hits = tenant_scope(df, tenant).filter(contains("actor", actor) & contains("action", action))
     total = hits.agg(F.count(F.lit(1)).alias("total"))
-    newest = hits.orderBy(F.col("created_at").desc(), *[F.col(c) for c in df.columns if c != "created_at"]).limit(limit)
+    newest = limited(hits.orderBy(F.col("created_at").desc(), *[F.col(c) for c in df.columns if c != "created_at"]), limit)
     return newest.withColumn("total", total.scalar())

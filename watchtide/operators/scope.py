@@ -8,12 +8,11 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import bounded_limit
+from ..functions.basics import limited
 from ..functions.fields import json_field, label
 from ..functions.levels import ORDERINGS, level_cmp
 from ..schemas import DEFAULT_PROJECTION, check_table, signal_schema
 
-QUERY_LIMITS = (100, 1000)
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
@@ -106,8 +105,8 @@ def select_aggregate(
     """Grouped aggregates of one table for one tenant.
 
     ``aggs`` holds ``(function, field)`` or ``(function, field, alias)``; only ``count`` takes ``*``.
-    ``group_by`` holds fields or ``(field, alias)``. ``order_by`` names an output column. The result
-    is bounded like every interactive query.
+    ``group_by`` holds fields or ``(field, alias)``. ``order_by`` names an output column. All groups
+    come back unless ``limit`` asks for the first few.
     """
     scoped = tenant_scope(df, tenant)
     if where is not None:
@@ -132,28 +131,32 @@ def select_aggregate(
     return bounded_order(grouped, order_by, descending, limit)
 
 
-def bounded_order(
-    df: DataFrame, order_by=None, descending: bool = False, limit: int | None = None, limits=QUERY_LIMITS
-) -> DataFrame:
-    """Order by one column, ties by the remaining columns, and keep at most the allowed rows."""
-    n = bounded_limit(limit, *limits)
+def bounded_order(df: DataFrame, order_by=None, descending: bool = False, limit: int | None = None) -> DataFrame:
+    """Order by one column, ties by the remaining columns, and keep the first ``limit`` rows, or all.
+
+    With a limit and no column, all columns in turn decide which rows those are.
+    """
     if order_by is None:
-        return df.limit(n)
+        if limit is None:
+            return df
+        order_by = next(f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant"))
     first = F.col(order_by).desc() if descending else F.col(order_by).asc()
     ties = [F.col(f.name) for f in df.schema.fields if f.name != order_by and f.dataType.typeName() not in ("map", "variant")]
-    return df.orderBy(first, *ties).limit(n)
+    return limited(df.orderBy(first, *ties), limit)
 
 
 def select_rows(
     df: DataFrame, table: str, tenant: str, items=("*",), where: Column | None = None,
     order_by=None, descending: bool = False, limit: int | None = None,
 ) -> DataFrame:
-    """Plain listing of one table for one tenant."""
+    """Plain listing of one table for one tenant; all rows unless ``limit`` is given."""
     scoped = tenant_scope(df, tenant)
     if where is not None:
         scoped = scoped.filter(where)
+    if order_by is None and limit is not None:
+        order_by = "id" if "id" in df.columns else "timestamp"
     if order_by is not None:
         first = resolve_field(table, order_by)
         ties = [F.col("id")] if "id" in df.columns else []
         scoped = scoped.orderBy(first.desc() if descending else first.asc(), *ties)
-    return select_fields(scoped.limit(bounded_limit(limit, *QUERY_LIMITS)), table, items)
+    return select_fields(limited(scoped, limit), table, items)

@@ -28,7 +28,8 @@ def exact_quantile(
 ) -> DataFrame:
     """``by`` and the linearly interpolated ``p`` quantile of a non-negative whole-number column.
 
-    ``count`` adds the number of values and ``flags`` how many rows meet a condition, out of the same pass.
+    ``count`` adds the number of rows and ``flags`` how many rows meet a condition, out of the same pass.
+    Rows without a value count but have no rank; a key without any value has a NULL quantile.
 
     Rows are first counted per (key, value), which spreads a heavy key by its values. The bin
     holding the wanted rank comes from the bin counts; only that bin's values are then ranked.
@@ -36,14 +37,16 @@ def exact_quantile(
     flags = flags or {}
     # flags are grouping keys, so both uses of the counts below share one shuffle
     keys = [*by, F.col(value).cast("bigint").alias("_v"), *[F.coalesce(test, F.lit(False)).alias(c) for c, test in flags.items()]]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bins = counts.groupBy(*by, _bin(F.col("_v")).alias("_bin")).agg(
-        F.sum("_n").alias("_n"), *[F.coalesce(F.sum(F.when(F.col(c), F.col("_n"))), F.lit(0)).alias(c) for c in flags]
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_n"), F.sum("_n").alias("_all"),
+        *[F.coalesce(F.sum(F.when(F.col(c), F.col("_n"))), F.lit(0)).alias(c) for c in flags],
     )
-    in_order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the rows without a value are the first bin, which holds no rank
+    in_order = Window.partitionBy(*by).orderBy(F.col("_bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     rank = (F.sum("_n").over(whole) - 1) * F.lit(float(p))
-    totals = {count: F.sum("_n").over(whole)} if count else {}
+    totals = {count: F.sum("_all").over(whole)} if count else {}
     totals |= {c: F.sum(c).over(whole) for c in flags}
     placed = bins.select(
         *by, "_bin", F.sum("_n").over(in_order).alias("_upto"), "_n", rank.alias("_rank"), *[t.alias(c) for c, t in totals.items()]
@@ -66,8 +69,10 @@ def exact_quantile(
     picked = ranked.groupBy(*by).agg(
         at(low).alias("_lo"), at(high).alias("_hi"), F.max("_rank").alias("_rank"), *[F.max(c).alias(c) for c in totals]
     )
-    return picked.select(
+    ranked_keys = picked.select(
         *by,
         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))).alias(name),
         *totals,
     )
+    valueless = placed.filter(F.col("_bin").isNull() & (F.col("_rank") == F.lit(-float(p)))).select(*by, F.lit(None).cast("double").alias(name), *totals)
+    return ranked_keys.unionByName(valueless)

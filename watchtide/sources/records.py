@@ -103,6 +103,15 @@ def _masked_tokens() -> Column:
     return F.zip_with("_tokens", changed, lambda token, new: F.coalesce(new, token))
 
 
+def _identity(df: DataFrame) -> Column:
+    """The given id, or a hash of all that the input row holds: a repeated task makes the same id again, and
+    rows that agree in everything are one record."""
+    if "id" in df.columns:
+        return F.col("id")
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if df.schema[c].dataType.typeName() != "map" else F.to_json(F.array_sort(F.map_entries(f"`{c}`"))) for c in df.columns]
+    return F.sha2(F.concat_ws("|", *plain), 256)
+
+
 def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http") -> DataFrame:
     """Rows of the ``logs`` schema plus ``drop_record``.
 
@@ -127,7 +136,7 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
     gated = gate_texts(listed.withColumn("_texts", F.col("_plain")), "_texts", cfg.masking_actions)
     staged = gated.withColumn("_body", put_json_strings("_harvest.body", _masked_tokens()))
     days = F.lit(cfg.retention_days) if cfg.retention_days is not None else F.lit(None).cast("int")
-    identity = F.col("id") if "id" in df.columns else F.expr("uuid()")
+    identity = _identity(df)
     columns = {
         "id": identity,
         "timestamp": ns_to_timestamp("_ns"),
@@ -171,7 +180,7 @@ def build_metric_points(df: DataFrame, cfg: IngestConfig) -> DataFrame:
     if "start_timestamp" in df.columns:
         start = ns_to_timestamp(normalize_timestamp_ns(F.col("start_timestamp"), cfg.as_of))
         columns["start_timestamp"] = F.when(F.col("start_timestamp").isNotNull(), start)
-    columns["id"] = F.col("id") if "id" in df.columns else F.expr("uuid()")
+    columns["id"] = _identity(df)
     if cfg.retention_days is not None:
         columns["_retention_days"] = F.lit(cfg.retention_days)
     return conform(df.filter(text_or_empty("metric_name") != "").withColumns(columns), "metrics")
@@ -191,7 +200,7 @@ def build_spans(df: DataFrame, cfg: IngestConfig) -> DataFrame:
         "tenant_id": _tenant(df, cfg), "ts_ns": ns, "timestamp": start, "start_time": start,
         "end_time": F.when(F.col("end_time").isNotNull(), end).otherwise(start),
         "received_at": as_of_col(cfg.as_of),
-        "id": F.col("id") if "id" in df.columns else F.expr("uuid()"),
+        "id": _identity(df),
     }
     if cfg.retention_days is not None:
         columns["_retention_days"] = F.lit(cfg.retention_days)
@@ -206,7 +215,7 @@ def build_change_events(df: DataFrame, as_of, cfg: IngestConfig | None = None) -
     given = F.col("timestamp").cast("timestamp") if "timestamp" in df.columns else F.lit(None).cast("timestamp")
     columns["timestamp"] = F.coalesce(given, as_of_col(as_of))
     columns["received_at"] = as_of_col(as_of)
-    columns["id"] = F.col("id") if "id" in df.columns else F.expr("uuid()")
+    columns["id"] = _identity(df)
     if cfg is not None and cfg.tenant_id is not None:
         columns["tenant_id"] = F.lit(cfg.tenant_id)
     return conform(df.withColumns(columns), "change_events")

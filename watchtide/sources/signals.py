@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from ..functions.basics import bounded_limit, epoch_seconds
+from ..functions.basics import epoch_seconds, limited
 from ..operators.scope import tenant_scope
 from ..schemas import PARTITION_COLUMNS, SORT_KEYS, check_table, signal_schema
 
-# Limits of exports and dead-letter listings.
-EXPORT_LIMITS = (100_000, 1_000_000)
-DLQ_LIMIT = 100
-
-
 def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{check_table(table)}"
 
@@ -51,11 +47,23 @@ def write_signal(df: DataFrame, base: str, table: str) -> None:
     partition folder, which splits a heavy tenant over several files, and sorted for row-group skipping.
     """
     spark, path = df.sparkSession, _path(base, table)
-    rows = df.dropDuplicates(["tenant_id", "id"]).withColumn("yyyymm", month_of())
-    if _exists(spark, path):
-        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tenant_id", T.StringType()), T.StructField("yyyymm", T.StringType())])
-        stored = spark.read.schema(schema).parquet(path)
-        rows = rows.join(stored, [*PARTITION_COLUMNS, "id"], "left_anti")
+    rows = df.dropDuplicates(["tenant_id", "id"]).withColumn("yyyymm", month_of()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        new = rows.join(stored_ids(spark, path, rows), [*PARTITION_COLUMNS, "id"], "left_anti") if _exists(spark, path) else rows
+        _append(new, path, table)
+    finally:
+        rows.unpersist()
+
+
+def stored_ids(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Ids stored for the tenants and months of ``rows``: an inner join with those prunes the other folders,
+    which an anti join by itself does not. Two writers at once can both miss each other's rows."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tenant_id", T.StringType()), T.StructField("yyyymm", T.StringType())])
+    touched = rows.select(*PARTITION_COLUMNS).filter(F.col("yyyymm").isNotNull()).distinct()
+    return spark.read.schema(schema).parquet(path).join(touched, PARTITION_COLUMNS, "left_semi")
+
+
+def _append(rows: DataFrame, path: str, table: str) -> None:
     (
         rows.hint("rebalance", *[F.col(c) for c in PARTITION_COLUMNS])
         .sortWithinPartitions(*PARTITION_COLUMNS, *[k for k in SORT_KEYS[table] if k not in PARTITION_COLUMNS])
@@ -82,12 +90,12 @@ def split_dead_letters(df: DataFrame, error: str = "error", payload: str = "payl
     return good, dead
 
 
-def dlq_list(df: DataFrame, tenant: str, status: str | None = None) -> DataFrame:
-    """The newest dead letters of a tenant with the total number that match."""
+def dlq_list(df: DataFrame, tenant: str, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Dead letters of a tenant, newest first, with the total number that match."""
     rows = tenant_scope(df, tenant)
     rows = rows.filter(F.col("status") == status) if status else rows
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    newest = rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(DLQ_LIMIT)
+    newest = limited(rows.orderBy(F.col("created_at").desc(), F.col("id").desc()), limit)
     return newest.withColumn("total", total.scalar())
 
 
@@ -131,8 +139,13 @@ def _cells(df: DataFrame) -> list[Column]:
 
 
 def export_result(df: DataFrame, path: str, fmt: str = "csv", limit: int | None = None) -> None:
-    """Write a bounded result as ``csv`` with a header, ``ndjson`` or one ``json`` array."""
-    rows = df.limit(bounded_limit(limit, *EXPORT_LIMITS))
+    """Write a result as ``csv`` with a header, ``ndjson`` or one ``json`` array.
+
+    All rows go out, or the first ``limit`` in the order of the columns. One array is one file, written by
+    one task; ``ndjson`` has no such bound.
+    """
+    order = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    rows = df if limit is None else limited(df.orderBy(*order), limit)
     if fmt == "csv":
         rows.select(*_cells(rows)).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     elif fmt == "ndjson":

@@ -19,8 +19,13 @@ DEDUP_DELAY = "10 minutes"
 
 
 def dedup_stream(df: DataFrame, delay: str = DEDUP_DELAY) -> DataFrame:
-    """Drop redelivered records: a (tenant, id) seen within the watermark passes once."""
-    return df.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["tenant_id", "id"])
+    """Drop redelivered records: a (tenant, id) that arrives again within ``delay`` passes once.
+
+    The delay runs by arrival, not by the record's own time, so a record that is days late passes like any
+    other. What is redelivered after the delay is left to the idempotent writer.
+    """
+    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark(["tenant_id", "id"]).drop("_arrived")
 
 
 def live_tail(stream: DataFrame, tenant: str, predicate: Column) -> DataFrame:
@@ -52,11 +57,15 @@ def _records(rows: DataFrame, table: str, cfg: IngestConfig) -> DataFrame:
 def ingest_batch(lines: DataFrame, base: str, cfg: IngestConfig, steps: list[dict], number: int, tables) -> None:
     """Parse, transform, route and store one micro-batch of ``tenant_id``, ``value`` lines.
 
-    Record ids come from the batch number and the line's place in the batch. A replayed batch reads the
-    same files and so gives the same ids, which the idempotent writer drops.
+    A record's id is a hash of the batch number, its tenant, its text and which of the batch's equal lines it
+    is. However a replayed batch is packed into partitions, it gives the same ids, which the idempotent
+    writer drops. Equal lines are counted before they move, so a line that fills a batch does no harm.
     """
-    placed = lines.withColumn("id", F.concat_ws("-", F.lit(str(number)), F.monotonically_increasing_id()))
-    placed = placed.filter(F.trim("value") != "").withColumn("payload", F.trim("value")).drop("value")
+    payload = F.trim("value").alias("payload")
+    equal = lines.filter(F.trim("value") != "").groupBy("tenant_id", payload).agg(F.count("*").alias("_n"))
+    placed = equal.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    line = F.concat_ws("|", F.lit(str(number)), F.coalesce("tenant_id", F.lit("")), F.col("_nth").cast("string"), F.col("payload"))
+    placed = placed.withColumn("id", F.sha2(line, 256)).drop("_n", "_nth")
     readable = json_entries("payload").isNotNull()
     marked = placed.withColumn("error", F.when(~readable, "not a JSON object")).withColumn("created_at", as_of_col(cfg.as_of))
     good, dead = split_dead_letters(marked)

@@ -1,45 +1,48 @@
-"""Windowed counts and metric states over streams."""
+"""Windowed counts and metric states over streams.
+
+A stream keeps no state here: every micro-batch is reduced to mergeable states of its own, written to its own
+folder, and readers merge them. A row counts however late it comes, a repeated batch overwrites its
+folder, and nothing grows inside the query.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.times import bucket_seconds
+from ..operators.governance import REQUESTS_PER_MINUTE, WINDOW_SECONDS, rate_windows
+from ..operators.metrics import merge_rollup, rollup_metrics
+from .files import TRIGGER, for_each_batch
+
+
+def stream_rollups(
+    metrics: DataFrame, out: str, checkpoint: str, grain: str | int = "5 minutes", available_now: bool = False, trigger: str = TRIGGER,
+) -> StreamingQuery:
+    """Write the rollup states of each micro-batch under ``out``; :func:`read_rollups` merges them."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rollup_metrics(batch, grain).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+
+    return for_each_batch(metrics, write, checkpoint, "append", available_now, trigger)
+
+
+def read_rollups(states: DataFrame, grain: str | int = "5 minutes") -> DataFrame:
+    """One state per series and bucket out of the states of all batches."""
+    return merge_rollup(states, grain)
+
+
+def stream_rate_windows(requests: DataFrame, out: str, checkpoint: str, available_now: bool = False, trigger: str = TRIGGER) -> StreamingQuery:
+    """Write the requests per tenant and minute of each micro-batch under ``out``; :func:`read_rate_windows` adds them up."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        start = bucket_seconds("timestamp", WINDOW_SECONDS).alias("window_start")
+        batch.groupBy("tenant_id", start).agg(F.count(F.lit(1)).alias("requests")).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+
+    return for_each_batch(requests, write, checkpoint, "append", available_now, trigger)
+
 
-from ..operators.governance import REQUESTS_PER_MINUTE, WINDOW_SECONDS
-from ..operators.metrics import ROLLUP_KEYS
-
-LATENESS = "1 hour"
-
-
-def stream_rollups(metrics: DataFrame, grain: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Rollup states per series and bucket, for update mode.
-
-    Rows later than ``lateness`` are left to a batch recompute. Labels are carried as sorted entries, so
-    equal label sets meet whatever their order.
-    """
-    columns = metrics.columns
-    keyed = metrics.withWatermark("timestamp", lateness).withColumn("labels", F.array_sort(F.map_entries("attributes")))
-    total = lambda name, kind: F.sum(F.col(name) if name in columns else F.lit(0).cast(kind))
-    states = keyed.groupBy(F.window("timestamp", grain), *ROLLUP_KEYS[:-1], "labels").agg(
-        F.sum("value").alias("value_sum"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
-        F.count(F.lit(1)).alias("sample_count"), total("count", "bigint").alias("histo_count"), total("sum", "double").alias("histo_sum"),
-    )
-    return states.select(
-        *ROLLUP_KEYS[:-1], F.map_from_entries("labels").alias("attributes"), F.col("window.start").alias("bucket"),
-        "value_sum", "value_min", "value_max", "sample_count", "histo_count", "histo_sum",
-    )
-
-
-def stream_rate_windows(requests: DataFrame, limit: int = REQUESTS_PER_MINUTE, lateness: str = "2 minutes") -> DataFrame:
-    """Requests per tenant and minute against the quota, for update mode."""
-    counted = (
-        requests.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", f"{WINDOW_SECONDS} seconds"), "tenant_id")
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-    start = F.unix_seconds("window.start")
-    return counted.select(
-        "tenant_id", start.alias("window_start"), "requests", (F.col("requests") > limit).alias("exceeded"),
-        F.greatest(F.lit(limit) - F.col("requests"), F.lit(0)).cast("bigint").alias("remaining"),
-        (start + WINDOW_SECONDS).alias("reset_at"),
-    )
+def read_rate_windows(counts: DataFrame, limit: int = REQUESTS_PER_MINUTE) -> DataFrame:
+    """Requests per tenant and minute against the quota, out of the counts of all batches."""
+    return rate_windows(counts.groupBy("tenant_id", "window_start").agg(F.sum("requests").alias("requests")), limit)
