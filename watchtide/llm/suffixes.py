@@ -153,13 +153,16 @@ _ROWS = "uid bigint, at bigint, query boolean, core bigint, hull bigint"
 def _round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """(settled, open): positions whose whole hull occurs elsewhere, and those that need a longer name,
     with one witness for each hull that they may share a part with."""
+    # counts are tables of their own before rows meet them: Spark splits a heavy key in a plain join only
     hulls = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.max("query").alias("asked"))
     if last:
-        return rows.filter("query").join(hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("uid", "at"), None
+        twice = stash(hulls.filter("n > 1").select("core", "hull"), "hulls")
+        return rows.filter("query").join(twice, ["core", "hull"], "left_semi").select("uid", "at"), None
     hulls = stash(hulls, "hulls")
     cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.max(F.expr("n = 1 and asked")).alias("wanting"))
-    cores = cores.filter("hulls > 1 and wanting").select("core", F.lit(True).alias("open"))
+    cores = stash(cores.filter("hulls > 1 and wanting").select("core", F.lit(True).alias("open")), "cores")
     keys = hulls.join(cores, "core", "left").select("core", "hull", "n", F.coalesce("open", F.lit(False)).alias("open")).filter("n > 1 or open")
+    keys = stash(keys, "keys")
     known = stash(rows.join(keys, ["core", "hull"]), "known")
     settled = known.filter("query and n > 1").select("uid", "at")
     witness = known.filter("open and n > 1").groupBy("core", "hull").agg(F.min(F.struct("uid", "at")).alias("one"))
@@ -176,7 +179,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, blocks: tuple[int, ...] = BLO
     schema = _schema(rows.schema["row"].dataType, n_bytes=_LONG, packed=_BYTES, at=_LONGS, core=_LONGS, hull=_LONGS)
     survey = stash(arrow(rows, partial(_survey, window=window), schema).withColumn("uid", F.monotonically_increasing_id()), "survey")
     found = survey.select("uid", F.explode(F.arrays_zip("at", "core", "hull")).alias("x")).select("uid", "x.at", F.lit(True).alias("query"), "x.core", "x.hull")
-    common = found.groupBy("core").count().filter("count > 1").select("core")
+    common = stash(found.groupBy("core").count().filter("count > 1").select("core"), "cores")
     found = stash(found.join(common, "core", "left_semi"), "positions")
     parts = []
     for k, block in enumerate((0, *blocks)):
