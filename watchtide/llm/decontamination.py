@@ -19,8 +19,10 @@ SPAN, SHARE, LEAST = 13, 0.8, 5
 # others, so two substitutions anywhere leave one seed at least untouched.
 GROUPS = [tuple(range(g, SPAN, 4)) for g in range(4)]
 SEEDS = list(combinations(range(4), 2))
-# The table of bits that sorts out hashes which no item has: bits per hash, and its largest size (32 MB).
-BITS_EACH, MOST_BITS = 64, 1 << 28
+# The table of bits that sorts out hashes which no item has: two bits of it are set for each hash. Bits per
+# hash, and its largest size (32 MB).
+BITS_EACH, MOST_BITS = 256, 1 << 28
+_LOW = 36  # low bits of a hash, which the second bit's place comes from
 _WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _TURN = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**64) for j in range(SPAN)]
 
@@ -96,22 +98,28 @@ def _item_windows(batches):
 
 
 def _suspects(batches, table, spans: list[int]):
-    shift = np.uint64(64 - int(math.log2(len(table.value) * 8)))
     bits = table.value
+    size = int(math.log2(len(bits) * 8))
+
+    def is_set(slot: np.ndarray) -> np.ndarray:
+        return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
     for ids, row, names, first, _ in _parts(batches):
         for span in spans:
             r, at, hashes = _windows(row, names, span)
-            slot = hashes >> shift
-            hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            keep = hit.any(axis=0)
-            for s in range(0, int(keep.sum()), 4096):
-                chosen = np.nonzero(keep)[0][s : s + 4096]
+            seed, place = np.nonzero(is_set(hashes >> np.uint64(64 - size)))
+            low = hashes[seed, place] & np.uint64((1 << _LOW) - 1)
+            keep = np.unique(place[is_set(low >> np.uint64(_LOW - size))])
+            for s in range(0, len(keep), 4096):
+                chosen = keep[s : s + 4096]
                 yield _as_rows(ids, r[chosen], at[chosen], first, span, names, hashes[:, chosen])
 
 
 def _bit_table(hashes: DataFrame, count: int) -> np.ndarray:
     bits = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(max(1, count) * BITS_EACH))))
-    slots = hashes.select(F.shiftrightunsigned("hash", 64 - int(math.log2(bits))).alias("slot"))
+    size = int(math.log2(bits))
+    low = F.col("hash").bitwiseAND(F.lit((1 << _LOW) - 1))
+    slots = hashes.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - size), F.shiftrightunsigned(low, _LOW - size))).alias("slot"))
     words = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
     out = np.zeros(bits // 64, np.int64)
     for r in words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toLocalIterator():
