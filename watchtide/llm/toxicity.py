@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     sample = rows.unionByName(empty).orderBy("doc_id").collect()
     known = np.unique(np.array([r.name for r in names.collect()], np.int64).view(np.uint64))
     if not sample or len({r.y for r in sample}) < 2:
-        share = counts.get(1, 0) / max(sum(counts.values()), 1)
+        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         return Model(known, np.zeros(len(known)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
 
     y = np.array([r.y for r in sample], float)
