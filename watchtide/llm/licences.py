@@ -147,8 +147,11 @@ def fit(docs: DataFrame, unknown_sample: int = UNKNOWN_SAMPLE) -> Model:
     cut = lambda first, last: F.slice("words", F.floor(size * first).cast("int") + 1, F.greatest(F.floor(size * (last - first)).cast("int"), F.lit(1)))
     shapes = [F.col("words"), cut(0, 0.5), cut(0.5, 1), cut(0.0, 0.7), cut(0.3, 1), cut(0.15, 0.85), F.concat(F.array(F.lit("copyright"), F.lit("2020")), "words"), F.concat("words", F.array(F.lit("see"), F.lit("notice")))]
     known = templates.select("family", F.explode(F.array(*shapes)).alias("words"))
-    plain = _paragraphs(docs).filter(F.size("words") >= 3).select(F.slice("words", 1, 60).alias("words"), F.xxhash64("words").alias("draw")).dropDuplicates(["draw"]).orderBy("draw").limit(unknown_sample)
-    plain = stash(plain, "plain")
+    # the lines of the smallest hashes, found by hash alone, are then fetched
+    lines = docs.select(F.explode(F.split("text", "\\R")).alias("line")).select("line", F.xxhash64("line").alias("draw"))
+    draws = stash(lines.select("draw").distinct().orderBy("draw").limit(unknown_sample), "draws")
+    plain = lines.join(F.broadcast(draws), "draw").dropDuplicates(["draw"]).select("draw", F.slice(_words(F.col("line")), 1, 60).alias("words"))
+    plain = stash(plain.filter(F.size("words") >= 3), "plain")
     near = plain.select("draw", F.explode(_grams(F.col("words"), (3,))).alias("gram")).join(triples, "gram").select("draw").distinct()
     unknown = plain.join(near, "draw", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
     rows = known.unionByName(unknown).withColumn("grams", F.array_distinct(_grams(F.col("words"))))
