@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows one sorting task should hold; the number of hash slices follows from it.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5_000
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: str = "mix", slice_rows: int = SLICE_ROWS) -> DataFrame:
