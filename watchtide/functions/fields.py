@@ -49,7 +49,8 @@ def json_entries(column) -> Column:
 
 def quote_json(text: Column) -> Column:
     """A string as a JSON literal."""
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    # inside the brackets stands a quoted text or null, so no other bracket is at an end
+    return F.trim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def unquote_json(token: Column) -> Column:

@@ -42,18 +42,15 @@ def parse_gelf(lines: DataFrame, column: str = "value") -> DataFrame:
     """GELF lines as payload fields; lines that are no JSON object are skipped."""
     entries = _nonblank(lines, column).withColumn("_e", json_entries(column)).filter(F.col("_e").isNotNull())
     field = lambda name: json_text_or_null(F.col("_e")[name])
-    extra = F.map_filter("_e", lambda k, _: ~k.isin(GELF_FIELDS))
     bare = lambda key: F.when(key.startswith("_"), F.substring(key, 2, 2**30)).otherwise(key)
-    items = F.map_entries(extra)
-    # "_x" and "x" may both be present; the later one in key order wins
-    winners = F.filter(
-        items,
-        lambda e: (bare(e["key"]) != GELF_RESERVED)
-        & ~F.exists(items, lambda o: (o["key"] > e["key"]) & (bare(o["key"]) == bare(e["key"]))),
-    )
-    renamed = F.map_from_entries(
-        F.transform(winners, lambda e: F.struct(bare(e["key"]).alias("key"), e["value"].alias("value")))
-    )
+
+    def beaten(key: Column) -> Column:
+        """Whether "x" stands beside this "_x", or the reverse, and comes later in key order."""
+        other = F.when(key.startswith("__"), F.lit(None)).when(key.startswith("_"), bare(key)).otherwise(F.concat(F.lit("_"), key))
+        return F.coalesce((other > key) & ~other.isin(GELF_FIELDS) & F.map_contains_key("_e", other), F.lit(False))
+
+    extra = F.map_filter("_e", lambda k, _: ~k.isin(GELF_FIELDS) & (bare(k) != GELF_RESERVED) & ~beaten(k))
+    renamed = F.transform_keys(extra, lambda k, _: bare(k))
     level = field("level").try_cast("int")
     return entries.select(
         *[c for c in lines.columns if c != column],

@@ -90,25 +90,30 @@ def kept_slice(items: Column, index: Column) -> Column:
     return F.slice(items, index + 2, F.greatest(F.size(items) - index - 1, F.lit(0)))
 
 
-def _resource_attr(resource: Column, *keys: str) -> Column:
-    """First string value among the keys, NULL when there is none."""
+def _resource_columns(df: DataFrame, kept: list[str]) -> DataFrame:
+    """``kept`` and, under names of their own, what the resource ``_r`` says, worked out once per resource."""
+    attributes = F.col("_r.resource.attributes")
+    listed = df.select(*kept, "_r", F.transform(attributes, lambda a: a["key"]).alias("_keys"), F.transform(attributes, lambda a: a["value"]["stringValue"]).alias("_strings"))
+
+    def named(*keys: str) -> Column:
+        """First string value among the keys, NULL when there is none."""
+        values = [F.get("_strings", F.nullif(F.array_position("_keys", k), F.lit(0)).cast("int") - 1) for k in keys]
+        return F.coalesce(*values) if len(values) > 1 else values[0]
+
+    fields = {
+        "service": named(SERVICE_KEY),
+        "environment": named(ENVIRONMENT_KEY),
+        "resource": build_json(F.coalesce(_map(attributes, _any_json), F.create_map().cast("map<string,string>"))),
+        **{n: named(*keys) for n, keys in RESOURCE_ENRICHMENT.items()},
+    }
+    return listed.select(*kept, "_r", *[fields[n].alias(c) for n, c in _RESOURCE.items()])
 
-    def named(key: str) -> Column:
-        hits = F.filter(resource["attributes"], lambda a: a["key"] == key)
-        return F.try_element_at(F.transform(hits, lambda a: a["value"]["stringValue"]), F.lit(1))
 
-    values = [named(k) for k in keys]
-    return F.coalesce(*values) if len(values) > 1 else values[0]
+_RESOURCE = {n: f"_res_{n}" for n in ("service", "environment", "resource", *RESOURCE_ENRICHMENT)}
 
 
-def _resource_columns(resource: Column) -> dict[str, Column]:
-    attributes = F.coalesce(_map(resource["attributes"], _any_json), F.create_map().cast("map<string,string>"))
-    return {
-        "service": _resource_attr(resource, SERVICE_KEY),
-        "environment": _resource_attr(resource, ENVIRONMENT_KEY),
-        "resource": build_json(attributes),
-        **{n: _resource_attr(resource, *keys) for n, keys in RESOURCE_ENRICHMENT.items()},
-    }
+def _resource() -> dict[str, Column]:
+    return {n: F.col(c) for n, c in _RESOURCE.items()}
 
 
 def _unnest(df: DataFrame, column: str, schema: str, path: list[tuple[str, str]]) -> DataFrame:
@@ -117,6 +122,9 @@ def _unnest(df: DataFrame, column: str, schema: str, path: list[tuple[str, str]]
     kept = [c for c in df.columns if c != column]
     for expression, name in path:
         out = out.select(*kept, F.explode(F.col(expression)).alias(name))
+        if name == "_r":
+            out = _resource_columns(out, kept)
+            kept += _RESOURCE.values()
         kept.append(name)
     return out
 
@@ -133,7 +141,7 @@ def flatten_otlp_logs(df: DataFrame, column: str = "value") -> DataFrame:
         record["body"]["stringValue"].alias("message"),
         record["traceId"].alias("trace_id"),
         record["spanId"].alias("span_id"),
-        *[c.alias(n) for n, c in _resource_columns(F.col("_r.resource")).items()],
+        *[c.alias(n) for n, c in _resource().items()],
         _map(record["attributes"], _any_json).alias("extra"),
     )
 
@@ -178,13 +186,13 @@ def flatten_otlp_metrics(df: DataFrame, column: str = "value") -> DataFrame:
 
     # a metric has one kind set, the other lists are NULL
     point_list = F.flatten(F.array_compact(F.array(*[points_of(key) for key in _KINDS])))
-    points = rows.select(*kept, "_r", "_m", F.explode(point_list).alias("_k"))
+    points = rows.select(*kept, *_RESOURCE.values(), "_m", F.explode(point_list).alias("_k"))
     p, kind = F.col("_k.p"), F.col("_k.kind")
     scalar = kind.isin("gauge", "sum")
     spread = kind.isin("histogram", "exp_histogram")
     exponential = kind == "exp_histogram"
     zero = F.lit(0.0)
-    resource = _resource_columns(F.col("_r.resource"))
+    resource = _resource()
     return points.select(
         *kept,
         p["timeUnixNano"].alias("timestamp"),
@@ -226,7 +234,7 @@ def flatten_otlp_traces(df: DataFrame, column: str = "value") -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit(""))
     resource = {
         n: c if n in ("service", "environment", "resource") else blank(c)
-        for n, c in _resource_columns(F.col("_r.resource")).items()
+        for n, c in _resource().items()
     }
     return rows.select(
         *[c for c in df.columns if c != column],
