@@ -73,13 +73,10 @@ def test_closure_and_components(spark):
     assert all(v == min(n for n in label if label[n] == v) for v in label.values())
 
 
-def test_attach_beyond_broadcast(spark, monkeypatch):
-    import watchtide.plans.lookups as lookups
-
+def test_attach_spread_or_not(spark):
     left = spark.createDataFrame([("hot" if i % 3 else None if i % 2 else f"k{i}", i) for i in range(300)], "k string, i bigint")
     lookup = spark.createDataFrame([("hot", 1), ("k6", 2)], "k string, v int")
     small = {tuple(r) for r in attach(left, lookup, ["k"], ["v"]).select("k", "i", "v").collect()}
-    monkeypatch.setattr(lookups, "is_small", lambda df, rows=0: False)
     large = {tuple(r) for r in attach(left, lookup, ["k"], ["v"], spread_by="i").select("k", "i", "v").collect()}
     assert small == large and len(small) == 300
 

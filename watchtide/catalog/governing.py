@@ -180,14 +180,12 @@ def hashed(spark, sf):
 
 @register(
     "mask_pii_json",
-    f"""SELECT doc_id, CASE WHEN regexp_matches(e, '{MK.DETECTORS["email"]}') THEN 'email' ELSE '' END AS types,
-        json_object('keep@key.io', doc_id, 'nested', json_array(regexp_replace(e, '{MK.DETECTORS["email"]}', '[redacted:email]', 'g')))::VARCHAR AS text
-        FROM (SELECT doc_id, regexp_extract(text, '[^ ]+@[^ ]+') AS e FROM documents)""",
+    f"""SELECT doc_id, types, json_object('keep@key.io', doc_id, 'nested', json_array(text))::VARCHAR AS text FROM ({_mask_sql(True)})""",
 )
 def masked_json(spark, sf):
-    """String values of a JSON text are masked, its keys stay."""
-    docs = A.load(spark, sf, "documents").withColumn("e", F.regexp_extract("text", "[^ ]+@[^ ]+", 0))
-    text = F.concat(F.lit('{"keep@key.io":'), F.col("doc_id").cast("string"), F.lit(',"nested":'), F.to_json(F.array("e")), F.lit("}"))
+    """Whole documents as string values of a JSON text: the values are masked, its keys stay."""
+    docs = A.load(spark, sf, "documents")
+    text = F.concat(F.lit('{"keep@key.io":'), F.col("doc_id").cast("string"), F.lit(',"nested":'), F.to_json(F.array("text")), F.lit("}"))
     return docs.select("doc_id", MK.mask_pii_json(text).alias("m")).select("doc_id", "m.text", "m.types")
 
 

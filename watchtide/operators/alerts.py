@@ -113,12 +113,18 @@ def evaluate_alert_rules(logs: DataFrame, rules: list[AlertRule], as_of) -> Data
     )
 
 
+def _check_windows(windows: int) -> None:
+    if windows < MIN_BUCKETS:
+        raise ValueError(f"a baseline needs {MIN_BUCKETS} windows at least, not {windows}")
+
+
 def rolling_baseline(logs: DataFrame, rules: list[AlertRule], as_of, windows: int = BASELINE_WINDOWS) -> DataFrame:
     """Mean and deviation of each threshold rule's count over the windows before the current one.
 
     Buckets are epoch-aligned and only those with rows count; fewer than four withhold the rule.
     """
-    rules = [r for r in rules if r.enabled and r.kind == "threshold" and windows >= MIN_BUCKETS]
+    _check_windows(windows)
+    rules = [r for r in rules if r.enabled and r.kind == "threshold"]
     rules_df, probes = _compile(logs.sparkSession, rules)
     longest = max((w for _, w in probes), default=0)
     end = epoch_seconds(as_of)
@@ -183,7 +189,7 @@ def anomaly_sweep(
 ) -> DataFrame:
     """Services whose error count in the current window stands out from the windows before it."""
     window = window if window > 0 else 300
-    windows = windows if windows >= MIN_BUCKETS else BASELINE_WINDOWS
+    _check_windows(windows)
     current = F.col("timestamp") > as_of_col(as_of) - F.make_dt_interval(secs=F.lit(window))
     errors = logs.filter(F.col("level").isin("error", "fatal") & trailing("timestamp", as_of, window * (windows + 1)))
     buckets = errors.groupBy(

@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def attach(left: DataFrame, lookup: DataFrame, on: list[str], values: list[str], spread_by: str | None = None) -> DataFrame:
     """Left join of a lookup with one row per key.
 
-    The lookup is counted first: a small one is broadcast, so the large side never moves. Beyond that
-    both sides are shuffled; rows without a key skip the shuffle, and ``spread_by`` spreads a heavy key
-    over several tasks by repeating its single lookup row.
+    Whether the lookup is small enough to broadcast is left to Spark, which knows its bytes, and so is
+    splitting heavy keys of the large side. ``spread_by`` spreads them beforehand, by repeating each lookup
+    row ``SALTS`` times.
     """
-    lookup = lookup.select(*on, *values)
-    if is_small(lookup):
-        return left.join(F.broadcast(lookup), on, "left")
-    keyed = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in on])
-    bare = left.filter(~keyed)
-    for field in lookup.schema.fields:
-        if field.name in values:
-            bare = bare.withColumn(field.name, F.lit(None).cast(field.dataType))
-    wanted, keys = left.filter(keyed), list(on)
+    lookup, keys = lookup.select(*on, *values), list(on)
     if spread_by:
-        wanted = wanted.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
         lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keys.append("_salt")
-    return wanted.join(lookup, keys, "left").drop("_salt").unionByName(bare)
+    return left.join(lookup, keys, "left").drop("_salt")

@@ -100,8 +100,12 @@ def stream_anomalies(
 ) -> StreamingQuery:
     """Store each batch of logs, then sweep for anomalies as of its newest line."""
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.date_trunc("second", F.max("timestamp")).alias("at")).first()["at"]
-        write_signal(conform(batch, "logs"), base, "logs")
+        batch = batch.persist()
+        try:
+            newest = batch.agg(F.date_trunc("second", F.max("timestamp")).alias("at")).first()["at"]
+            write_signal(conform(batch, "logs"), base, "logs")
+        finally:
+            batch.unpersist()
         if newest is None:
             return
         as_of = newest.strftime("%Y-%m-%d %H:%M:%S")
