@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.times import trailing
 from ..operators import traces as T
 from ..sources import adapters as A
-from .base import ALL_TIME, TENANT, r6, register
+from .base import ALL_TIME, NOW, TENANT, r6, register
 
 AS_OF = A.AS_OF
 
@@ -66,17 +67,25 @@ def neighbourhood(spark, sf):
     return near.select("caller", "callee", "calls")
 
 
+# The services in focus are those that changed in the last five days.
+_IN_FOCUS = f""" AND (tenant_id, service) IN (SELECT (tenant_id, service) FROM {{changes}} WHERE "timestamp" > {NOW} - INTERVAL 5 DAY)"""
+
+
+def _focus(spark, sf):
+    return A.change_events(spark, sf).filter(trailing("timestamp", A.AS_OF, 5 * 86400))
+
+
 @register(
     "blast_radius",
     """WITH RECURSIVE g AS (SELECT DISTINCT tenant_id, caller, callee FROM {calls} WHERE abs(ord) <= 1),
        r AS (SELECT tenant_id, callee AS service, caller AS affected FROM g UNION
              SELECT r.tenant_id, r.service, g.caller FROM r JOIN g ON r.tenant_id = g.tenant_id AND r.affected = g.callee)
        SELECT tenant_id, service, affected FROM r WHERE service <> affected"""
-    .replace(" WHERE abs(ord) <= 1", ""),
+    .replace(" WHERE abs(ord) <= 1", "") + _IN_FOCUS,
 )
 def blast_radius(spark, sf):
-    """Every service with everything that calls it, directly or not."""
-    return T.blast_radius(links_of(spark, sf))
+    """Recently changed services with everything that calls them, directly or not."""
+    return T.blast_radius(links_of(spark, sf), _focus(spark, sf))
 
 
 @register(
@@ -85,13 +94,13 @@ def blast_radius(spark, sf):
        g AS (SELECT * FROM n WHERE (cast(substr(caller, 5) AS int) + 1) % 7 = cast(substr(callee, 5) AS int)),
        r AS (SELECT tenant_id, callee AS service, caller AS affected FROM g UNION
              SELECT r.tenant_id, r.service, g.caller FROM r JOIN g ON r.tenant_id = g.tenant_id AND r.affected = g.callee)
-       SELECT tenant_id, service, affected FROM r WHERE service <> affected""",
+       SELECT tenant_id, service, affected FROM r WHERE service <> affected""" + _IN_FOCUS,
 )
 def blast_ring(spark, sf):
     """The same over the ring inside the graph, where the closure takes several rounds through a cycle."""
     number = lambda c: F.substring(c, 5, 10).cast("int")
     ring = links_of(spark, sf).filter((number("caller") + 1) % 7 == number("callee"))
-    return T.blast_radius(ring)
+    return T.blast_radius(ring, _focus(spark, sf))
 
 
 @register(

@@ -76,14 +76,17 @@ def service_topology(traces: DataFrame, logs: DataFrame, as_of, window: int = 36
     return service_nodes(traces, logs, links, as_of, window), edges
 
 
-def blast_radius(edges: DataFrame, focus: str | None = None) -> DataFrame:
-    """Services that call a service directly or through others.
+def blast_radius(edges: DataFrame, focus) -> DataFrame:
+    """Services that call a service in focus directly or through others.
 
-    Without a focus every (service, affected) pair of every tenant.
+    ``focus`` is a name or a list of names, looked at in every tenant, or a DataFrame of (tenant_id, service);
+    only what can be reached from them is followed.
     """
-    starts = None
-    if focus is not None:
-        starts = edges.select("tenant_id").distinct().withColumn("origin", F.lit(focus))
+    if isinstance(focus, DataFrame):
+        starts = focus.select("tenant_id", F.col("service").alias("origin")).distinct()
+    else:
+        names = [focus] if isinstance(focus, str) else list(focus)
+        starts = edges.select("tenant_id").distinct().withColumn("origin", F.explode(F.array(*map(F.lit, names))))
     pairs = reachable(edges, ["tenant_id"], "callee", "caller", starts)
     return pairs.select("tenant_id", F.col("origin").alias("service"), F.col("reached").alias("affected"))
 
