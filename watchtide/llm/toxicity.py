@@ -24,7 +24,7 @@ MODULUS, REST, THRESHOLD = 5, 0, 0.5
 
 # A plain lexicon of English insults.
 INSULTS = (
-    "ass asshole bastard bitch bullshit cockroach coward creep cretin crap damn dickhead disgusting dumb dumbass fool freak fuck fucking "
+    "ass asshole bastard bitch bullshit clown cockroach coward creep cretin crap damn dickhead disgusting dumb dumbass fool freak fuck fucking "
     "garbage hate hideous idiot idiotic ignorant imbecile jerk kill liar loser lunatic moron moronic nasty nazi parasite pathetic pig "
     "psycho racist rat retard scum shit shitty sick slut stupid subhuman sucks trash ugly vermin vile whore worthless"
 ).split()
