@@ -32,6 +32,7 @@ FILE_BYTES = 8 << 20
 # Distinct cuts of text whose ids a worker remembers in each of two generations.
 MEMORY = 300_000
 _MASK = 0xA282EAD8
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 _OWN = struct.Struct("<Bq")
@@ -162,8 +163,10 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def index(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """Read the files back, check every record, and write the index: where each record lies, its length,
     token count and checksum, and ``start``, the tokens of all records before it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "1")  # a row is a whole file
     found = stash(_files(spark, folder).mapInArrow(partial(_scan, width=width), _INDEX), "offsets")
+    spark.conf.set(_BATCH, usual)
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("earlier"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("offset")) - F.col("n_tokens")
@@ -189,7 +192,7 @@ def _fetch(batches, width: int):
 
 def read_shuffled(spark: SparkSession, folder: str, seed: int = 0, width: int = 2) -> DataFrame:
     """All records in a seeded random order, found by their offsets: ``place`` orders them, ``ids`` holds the tokens."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    spark.conf.set(_BATCH, "1")
     order = spark.read.parquet(f"{folder}/index").select("file", "offset", F.xxhash64(F.lit(seed), "file", "offset").alias("place"))
     wanted = order.groupBy("file").agg(F.collect_list("offset").alias("offsets"), F.collect_list("place").alias("places"))
     joined = _files(spark, folder).join(wanted, "file").select("content", "offsets", "places")
