@@ -17,7 +17,7 @@ PER_CLASS = 3000
 # Features that classifier and lexicons may hold, texts a feature must occur in, and its least log-odds.
 VOCABULARY = 4000
 SUPPORT = 5
-ODDS = 2.0
+ODDS = 3.0
 # Learned lexicons of each kind of feature.
 SPLITS = 3
 MODULUS, REST, THRESHOLD = 5, 0, 0.5
