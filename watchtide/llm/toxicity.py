@@ -106,19 +106,22 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     """Posterior of the positive class per row, and the weight of each voter.
 
     ``votes`` holds 1 and 0. Each voter's accuracy on either class is estimated by expectation
-    maximization; voters that still agree once the class is accounted for share their weight, by the
-    correlation of their residuals.
+    maximization, first as if voters were independent. Voters that still agree once that class is accounted
+    for then share their weight, by the correlation of their residuals beyond what chance makes of as many
+    rows, and the estimate goes on.
     """
     q = np.clip(start.astype(float), 0.05, 0.95)
     weight = np.ones(votes.shape[1])
-    for _ in range(rounds):
+    for k in range(rounds):
         total = q.sum(), (1 - q).sum()
         hit = (q @ votes + 1) / (total[0] + 2)
         false = ((1 - q) @ votes + 1) / (total[1] + 2)
-        residual = votes - (q[:, None] * hit + (1 - q)[:, None] * false)
-        spread = residual.std(axis=0) + 1e-9
-        alike = np.abs((residual / spread).T @ (residual / spread)) / max(len(votes), 1)
-        weight = 1 / np.maximum(alike.sum(axis=1), 1)
+        if k == rounds // 2:
+            residual = votes - (q[:, None] * hit + (1 - q)[:, None] * false)
+            spread = residual.std(axis=0) + 1e-9
+            alike = np.abs((residual / spread).T @ (residual / spread)) / max(len(votes), 1)
+            chance = 3 / np.sqrt(max(len(votes), 1))
+            weight = 1 / (1 + np.maximum(alike - chance, 0).sum(axis=1) - np.maximum(np.diag(alike) - chance, 0))
         gain = np.log(hit / false), np.log((1 - hit) / (1 - false))
         prior = (total[0] + 1) / (len(q) + 2)
         logit = np.log(prior / (1 - prior)) + votes @ (weight * gain[0]) + (1 - votes) @ (weight * gain[1])
