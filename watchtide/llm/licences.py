@@ -98,7 +98,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 # Paragraphs of documents that teach the unknown class; hashed features; n-gram sizes.
-UNKNOWN_SAMPLE, FEATURES, SIZES = 4000, 1 << 14, (2, 3)
+UNKNOWN_SAMPLE, FEATURES, SIZES = 4000, 1 << 13, (2, 3)
 # Least calibrated probability of a family, and least share of a template or of the paragraph that must agree.
 CERTAIN, AGREE = 0.5, 0.6
 _SCALES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, unknown_sample: int = UNKNOWN_SAMPLE) -> Model:
     """Logistic regression over templates, their halves and thirds, and ``unknown_sample`` paragraphs of
     ``docs`` that share no three words with a template; a fifth of the rows calibrates the scale."""
     spark = docs.sparkSession
-    templates = stash(_templates(spark), "templates")
+    templates = stash(_templates(spark).coalesce(1), "templates")
     triples = templates.select(F.explode(_grams(F.col("words"), (3,))).alias("gram")).distinct()
     size = F.size("words")
     cut = lambda first, last: F.slice("words", F.floor(size * first).cast("int") + 1, F.greatest(F.floor(size * (last - first)).cast("int"), F.lit(1)))
@@ -151,28 +151,28 @@ def fit(docs: DataFrame, unknown_sample: int = UNKNOWN_SAMPLE) -> Model:
     lines = docs.select(F.explode(F.split("text", "\\R")).alias("line")).select("line", F.xxhash64("line").alias("draw"))
     draws = stash(lines.select("draw").distinct().orderBy("draw").limit(unknown_sample), "draws")
     plain = lines.join(F.broadcast(draws), "draw").dropDuplicates(["draw"]).select("draw", F.slice(_words(F.col("line")), 1, 60).alias("words"))
-    plain = stash(plain.filter(F.size("words") >= 3), "plain")
+    plain = stash(plain.filter(F.size("words") >= 3).coalesce(2), "plain")
     near = plain.select("draw", F.explode(_grams(F.col("words"), (3,))).alias("gram")).join(triples, "gram").select("draw").distinct()
     unknown = plain.join(near, "draw", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
     rows = known.unionByName(unknown).withColumn("grams", F.array_distinct(_grams(F.col("words"))))
-    vocabulary = stash(templates.select(F.explode(_grams(F.col("words"))).alias("gram")).distinct(), "grams")
+    vocabulary = stash(templates.select(F.explode(_grams(F.col("words"))).alias("gram")).distinct().coalesce(1), "grams")  # bounded by the templates
     names = sorted(TEMPLATES) + [UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
     # only n-grams of templates are features
     kept = rows.select(F.xxhash64("family", "words").alias("row"), "family", F.explode_outer("grams").alias("gram")).join(vocabulary.withColumn("own", F.lit(True)), "gram", "left")
     lists = kept.groupBy("row", "family").agg(F.collect_set(F.when(F.col("own"), F.col("gram").cast("string"))).alias("terms"))
     hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="terms", outputCol="features")
-    table = stash(lists.select("row", "family", "terms", label.alias("label")), "examples")
+    table = stash(lists.select("row", "family", "terms", label.alias("label")).coalesce(2), "examples")  # bounded by the sample
     weight = F.when(F.col("family") == UNKNOWN, F.lit(1.0)).otherwise(F.lit(4.0))
     learn = hashing.transform(table.filter("pmod(row, 5) <> 0")).withColumn("weight", weight)
-    fitted = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60, weightCol="weight", standardization=False).fit(learn)
+    fitted = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=40, weightCol="weight", standardization=False).fit(learn)
     w, b = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     grams = [r.gram for r in vocabulary.orderBy("gram").collect()]
     spots = [hashing.indexOf(str(g)) for g in grams]
     present = int(max(r.label for r in table.select("label").distinct().collect())) + 1
     weights = spark.createDataFrame([(g, [float(w[k, s]) if k < len(w) else 0.0 for k in range(present)]) for g, s in zip(grams, spots, strict=True)], "gram bigint, w array<double>")
     biases = {names[k]: float(b[k]) for k in range(present)}
-    weights = stash(weights, "weights")
+    weights = stash(weights.coalesce(1), "weights")
 
     # the scale under which held-back rows are likeliest
     held = table.filter("pmod(row, 5) = 0").select("row", "label", F.explode_outer("terms").alias("term"))
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, unknown_sample: int = UNKNOWN_SAMPLE) -> Model:
     losses = sums.agg(*[F.sum(F.log(sum(F.exp(z * t) for z in logits)) - F.element_at(F.array(*logits), F.col("label").cast("int") + 1) * t).alias(f"l{i}") for i, t in enumerate(_SCALES)]).first()
     scale = min(zip((x if x is not None else 0.0 for x in losses), _SCALES, strict=True))[1]
     sets = templates.select("family", "template", F.array_distinct(_grams(F.col("words"), (2, 3))).alias("grams"))
-    parts = stash(sets.select("family", "template", F.size("grams").alias("of"), F.explode("grams").alias("gram")), "parts")
+    parts = stash(sets.select("family", "template", F.size("grams").alias("of"), F.explode("grams").alias("gram")).coalesce(1), "parts")
     return Model(weights, biases, scale, parts)
 
 
