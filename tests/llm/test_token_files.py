@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -24,6 +25,19 @@ def test_cuts_do_not_change_ids():
         assert np.frombuffer(packed, "<u2").tolist() == [*model.encode(t, add_special_tokens=False).ids, token_files.END_ID], t
 
 
+def test_white_space_before_words_keeps_its_ids():
+    model = Tokenizer.from_file(PATH)
+    encoder = token_files.Encoder(PATH)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    common = [" ", "\n", "\r", "\t", "\xa0", "\x1c", "\u2003"]
+    runs = ["".join(r) for r in [*itertools.product(spaces, repeat=1), *itertools.product(spaces, repeat=2), *itertools.product(common, repeat=3), *itertools.product(common[:4], repeat=4)]]
+    texts = [f"{before}{run}word{after}" for run in runs for before in ("", "a", "One.", "12", "x'", "é") for after in ("", run + "Two one")]
+    assert "a\n\nword" in texts and "a \n\nword" in texts
+    whole = model.encode_batch_fast(texts, add_special_tokens=False)
+    for t, packed, e in zip(texts, encoder.encode(texts), whole, strict=True):
+        assert np.frombuffer(packed, "<u2").tolist() == [*e.ids, token_files.END_ID], repr(t)
+
+
 def test_memory_may_turn_over(monkeypatch):
     monkeypatch.setattr(token_files, "MEMORY", 5)
     texts = [sentence(random.Random(k), 20) for k in range(30)]

@@ -62,8 +62,10 @@ def records(content: bytes) -> Iterator[tuple[int, bytes]]:
         at += 12 + length + 5
 
 
-# Latin words with at most one space before them, where nothing around belongs to the same unit.
-_WORD = re.compile(r"((?: |(?<![\w']))[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:|*%$&#()\"]|$))")
+# Latin words with at most one space before them, where nothing around belongs to the same unit. A word
+# without a space of its own is left with the white space before it if that is longer than one character:
+# the vocabulary ends such a run one character before the word, which only the word's presence tells.
+_WORD = re.compile(r"((?: |(?<![\w'])(?<!\s\s))[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:|*%$&#()\"]|$))")
 
 
 class Encoder:
