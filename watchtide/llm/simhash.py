@@ -22,18 +22,19 @@ _BLOCKS = [[(0, 32), (32, 32)], [(i, 16) for i in range(0, 64, 16)], [(i, 8) for
 _DIRECT = 1 << 18
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """Bits set in over half the hashes of the text's ``size``-word shingles, repeats included."""
-    words = words_of(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of every ``size`` words in a row, repeats included; fewer words are one shingle."""
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def bits_in_half(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[first : first + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -42,6 +43,11 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(chosen[0])
 
 
+def fingerprint(text: bytes, size: int) -> int:
+    """Bits set in over half the hashes of the text's ``size``-word shingles, repeats included."""
+    return bits_in_half(shingle_hashes(words_of(text), size))
+
+
 def _fingerprints(batches, size: int):
     for batch in batches:
         prints = np.array([fingerprint(t.as_py() or b"", size) for t in batch.column(1).cast(pa.binary())], dtype=np.uint64)

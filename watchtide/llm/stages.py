@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, piece_sampling, quality, simhash, suffixes
+from . import decontamination, near_copies, piece_sampling, quality, suffixes
 from .common import table
 
 
@@ -19,9 +19,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id. Rows that repeat
-    an id are one document, of which one row stays."""
-    found = simhash.near_duplicates(docs, radius=4, size=4)
+    """One document of each group of near copies (five-word shingles with a similarity of 0.8 or more) stays:
+    the one with the smallest id. Rows that repeat an id are one document, of which one row stays."""
+    found = near_copies.near_copies(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
