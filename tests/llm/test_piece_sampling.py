@@ -40,6 +40,29 @@ def test_draws_follow_the_product_of_weights(word, monkeypatch):
         assert abs(drawn[s] / n - share) < 5 * math.sqrt(share / n) + 1e-4
 
 
+@pytest.mark.parametrize("text", ["a\n   b", "so.\u201d I", "a);\r\n", "    x", "b\u00bb, c"])
+def test_draws_cover_the_whole_lattice_of_the_vocabulary(text):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    flat = piece_sampling.Lattice(PATH, 0.2)
+    plain = {model.id_to_piece(i).replace("\u2581", " ") for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    assert plain == set(flat.vocabulary)
+    spelled = dict(flat.vocabulary)
+    for c in set(" " + text) - plain:
+        assert len(c.encode()) == 1
+        spelled[c] = (flat.byte_ids[ord(c)], -20.0)
+    all_of = {s: math.exp(w) for s, w in segmentations(spelled, " " + text)}
+    total, n = sum(all_of.values()), 30_000
+    ids, offsets = flat.sample([text] * n, piece_sampling.mixed(np.arange(n).astype(np.uint64)), 3)
+    drawn = Counter(tuple(ids[offsets[i] : offsets[i + 1]].tolist()) for i in range(n))
+    assert set(drawn) <= set(all_of)
+    for s, w in all_of.items():
+        share = w / total
+        assert abs(drawn[s] / n - share) < 5 * math.sqrt(share / n) + 2e-4
+    assert flat.decode(ids[offsets[0] : offsets[1]]) == text
+
+
 def test_both_ways_to_sum_agree(lattice):
     words = [" being", "Teré", " two", "."]
     slow = piece_sampling.Lattice(PATH, 1.0)

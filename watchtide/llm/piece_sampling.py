@@ -5,16 +5,16 @@ the lattice, and pieces are then drawn backwards from the end, each in proportio
 The draws come from a hash of the row's key, the place and the seed, so a row gives the same pieces
 wherever and whenever it is encoded.
 
-No piece spans a space or a line feed except at its start, so the lattice of a text is that of its words
-in a row; a word's sums are kept while it recurs.
+A text is cut between two characters that no piece holds next to each other, so its lattice is that of the
+units in a row; a unit's sums are kept while it recurs.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from functools import lru_cache, partial
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -63,13 +63,10 @@ class Lattice:
                 text = piece.replace("\u2581", " ")
                 self.bytes.append(text.encode())
                 rank = min(-model.get_score(i), model.get_piece_size())  # a lone space has no rank of its own
-                if " " not in text[1:] and "\n" not in text:
-                    self.vocabulary[text] = (i, -alpha * math.log((rank + 3) * total))
+                self.vocabulary[text] = (i, -alpha * math.log((rank + 3) * total))
         self.longest = max(map(len, self.vocabulary), default=1)
-        # characters that no piece joins to a letter end a unit
-        joined = {c for t in self.vocabulary if any(map(str.isalpha, t)) for c in t if not c.isalpha() and c != " "}
-        loose = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c not in joined)
-        self.unit = re.compile(rf" ?[^ \n{re.escape(loose)}]+| ?[{re.escape(loose)}]+|[ \n]" if loose else r" ?[^ \n]+|[ \n]")
+        # neighbours within a piece, as numbers; the last one is larger than all
+        self.inside = np.array(sorted({ord(x) << 21 | ord(y) for t in self.vocabulary for x, y in pairwise(t)} | {1 << 62}), np.int64)
         self.by_length = {}
         for size in range(1, self.longest + 1):
             some = [(t, *v) for t, v in self.vocabulary.items() if len(t) == size]
@@ -193,12 +190,26 @@ class Lattice:
         held[used : used + len(new)] = new
         return held
 
+    def units(self, texts: list[str]) -> list[list[str]]:
+        """Every text, with the space that it starts with, cut wherever no piece spans; an empty text has no unit."""
+        full = [" " + t if t else "" for t in texts]
+        codes = np.frombuffer("".join(full).encode("utf-32-le"), "<u4").astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        cuts = np.nonzero(self.inside[np.searchsorted(self.inside, pairs)] != pairs)[0] + 1
+        out, first = [], 0
+        for t in full:
+            low, high = np.searchsorted(cuts, (first + 1, first + len(t)))
+            edges = [0, *(cuts[low:high] - first).tolist(), len(t)]
+            out.append([t[a:b] for a, b in pairwise(edges)] if t else [])
+            first += len(t)
+        return out
+
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts in a row, n + 1 offsets). A text starts with a space of its own; an empty
         text has no pieces."""
         if self.n > MEMORY:
             self.clear()
-        units = [self.unit.findall(" " + t) if t else [] for t in texts]
+        units = self.units(texts)
         flat = [u for us in units for u in us]
         if new := set(flat) - self.ends.keys():
             self.add(sorted(new))
