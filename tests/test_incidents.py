@@ -46,3 +46,24 @@ def test_merge(spark, seed):
     edf = spark.createDataFrame([("t", a, b) for a, b in links], "tenant_id string, caller string, callee string")
     got = sorted((r["service"], r["signal_count"]) for r in correlate_incidents(sdf, rdf, edf).collect())
     assert got == replay(signals, resolves, near)
+
+
+def test_the_query_merges_over_all_edges(spark):
+    from watchtide.catalog import QUERIES
+    from watchtide.catalog.tracing import links_of
+    from watchtide.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    near = {}
+    for r in links_of(spark, sf).collect():
+        near.setdefault((r.tenant_id, r.caller), set()).add(r.callee)
+        near.setdefault((r.tenant_id, r.callee), set()).add(r.caller)
+    signals = [(r.tenant_id, r.service, r.timestamp) for r in adapters.signals(spark, sf).collect()]
+    resolves = [(r.tenant_id, r.service, r.timestamp) for r in adapters.resolves(spark, sf).collect()]
+    want = []
+    for tenant in {t for t, _, _ in signals}:
+        own = {s: found for (t, s), found in near.items() if t == tenant}
+        found = replay([(s, at) for t, s, at in signals if t == tenant], [(s, at) for t, s, at in resolves if t == tenant], own)
+        want += [(tenant, *x) for x in found]
+    got = sorted((r.tenant_id, r.service, r.signal_count) for r in QUERIES["merge_neighbor_incidents"](spark, sf).collect())
+    assert got == sorted(want)

@@ -160,9 +160,7 @@ def incidents(spark, sf):
 @register("merge_neighbor_incidents")
 def merged(spark, sf):
     """Order-dependent: tested against a plain model instead of SQL."""
-    number = lambda c: F.substring(c, 5, 10).cast("int")
-    near = links_of(spark, sf).filter(number("caller") + 1 == number("callee"))
-    return IN.correlate_incidents(A.signals(spark, sf), A.resolves(spark, sf), near)
+    return IN.correlate_incidents(A.signals(spark, sf), A.resolves(spark, sf), links_of(spark, sf))
 
 
 @register(
