@@ -40,3 +40,58 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_
     sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+MANIFEST = """
+WITH RECURSIVE steps AS (
+    SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+    UNION ALL
+    SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+d AS (
+    SELECT doc_id, source, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bs,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS body,
+        coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low
+    FROM documents
+),
+h AS (
+    SELECT doc_id, coalesce('=' || source, '') AS s, sha256(head || body) AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) % 5 = 0
+            THEN sha256(head || low) ELSE sha256(head || body) END AS claim
+    FROM d, crc_table
+),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY s) AS n, dense_rank() OVER (ORDER BY s) - 1 AS tree
+    FROM h
+),
+lv AS (
+    SELECT tree, 0 AS lvl, pos, n, leaf AS dig FROM leaves
+    UNION ALL
+    SELECT tree, lvl + 1, pos // 16, max(n + 15) // 16, sha256(string_agg(dig, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY tree, lvl, pos // 16
+),
+sub AS (SELECT tree, lvl AS height, dig AS subroot, count(*) OVER () AS trees FROM lv WHERE n = 1),
+top AS (
+    SELECT 0 AS lvl, tree AS pos, trees AS n, subroot AS dig FROM sub
+    UNION ALL
+    SELECT lvl + 1, pos // 16, max(n + 15) // 16, sha256(string_agg(dig, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16
+),
+runs AS (
+    SELECT tree, lvl, pos, coalesce(string_agg(dig, '') OVER (PARTITION BY tree, lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+        coalesce(string_agg(dig, '') OVER (PARTITION BY tree, lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM (SELECT tree, lvl, pos, dig FROM lv WHERE n > 1 UNION ALL SELECT -1, lvl, pos, dig FROM top WHERE n > 1)
+),
+walk AS (
+    SELECT tree, tree AS here, 0 AS lvl, pos, n, pos AS own, '' AS proof, claim AS acc FROM leaves
+    UNION ALL
+    SELECT w.tree, CASE WHEN w.n = 1 THEN -1 ELSE w.here END, CASE WHEN w.n = 1 THEN 0 ELSE w.lvl + 1 END, CASE WHEN w.n = 1 THEN w.tree ELSE w.pos // 16 END,
+        CASE WHEN w.n = 1 THEN sub.trees ELSE (w.n + 15) // 16 END, w.own, w.proof || coalesce(r.before || r.after, ''),
+        CASE WHEN w.n = 1 THEN w.acc ELSE sha256(r.before || w.acc || r.after) END
+    FROM walk w JOIN sub ON sub.tree = w.tree LEFT JOIN runs r ON r.tree = w.here AND r.lvl = w.lvl AND r.pos = w.pos WHERE w.n > 1 OR w.here >= 0
+),
+done AS (SELECT tree, own, sha256(proof) AS proof_sha256, acc AS folded_root FROM walk WHERE here = -1 AND n = 1),
+root AS (SELECT dig AS root FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, sub.subroot, root.root, done.proof_sha256, done.folded_root, done.folded_root = root.root AS verified
+FROM leaves l JOIN sub USING (tree) JOIN done ON done.tree = l.tree AND done.own = l.pos CROSS JOIN root
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, licences, merkle, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_licences")
 def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_manifest", oracles.MANIFEST)
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
