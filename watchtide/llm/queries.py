@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, merkle, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity
+from . import decontamination, licences, merkle, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity, word_bpe
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_manifest", oracles.MANIFEST)
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_word_bpe")
+def _word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"))
