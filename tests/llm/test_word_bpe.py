@@ -35,16 +35,17 @@ def same(codec, library, texts):
 
 
 def test_every_character_as_the_library(codec, library):
-    same(codec, library, (f"A{chr(k)}b1{chr(k)}" for k in range(0x110000) if not 0xD800 <= k < 0xE000))
+    codes = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    same(codec, library, (" ".join(f"A{chr(k)}b1{chr(k)}" for k in codes[a : a + 4096]) for a in range(0, len(codes), 4096)))
 
 
 def test_random_texts_as_the_library(codec, library):
     rng = random.Random(1)
     codes = [*range(32, 127), 9, 10, 0x1C, 0x1F, 0x85, 0xA0, 0x130, 0x301, 0x327, 0x344, 0x3A3, 0x5B0, 0x5BC, 0x5D0, 0xF71, 0xF72, 0x1100, 0x1161, 0x11A8, 0x1E9E, 0x200D, 0x2028, 0x4E00, 0xFB01, 0x1D400, 0x1F600]
     letters = [chr(k) for k in codes]
-    same(codec, library, ("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(20000)))
+    same(codec, library, ("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)))
     parts = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "́", "'s", "'LL", "'ve", "!'re", " ", "x", "É", "\n\n"]
-    same(codec, library, ("".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000)))
+    same(codec, library, ("".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(1000)))
 
 
 def test_long_words_as_the_library(codec, library):
@@ -55,7 +56,7 @@ def test_long_words_as_the_library(codec, library):
 
 def test_scans_and_heap_agree(codec):
     rng = random.Random(3)
-    for _ in range(3000):
+    for _ in range(1000):
         word = "".join(rng.choice("theinganrouéß") for _ in range(rng.randint(1, 40))).encode()
         parts = [*map(codec.inner.__getitem__, word[:-1]), codec.last[word[-1]]]
         assert codec._scanned(list(parts)) == codec._heaped(list(parts))

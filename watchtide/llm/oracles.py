@@ -95,3 +95,24 @@ root AS (SELECT dig AS root FROM top WHERE n = 1)
 SELECT l.doc_id, l.leaf, sub.subroot, root.root, done.proof_sha256, done.folded_root, done.folded_root = root.root AS verified
 FROM leaves l JOIN sub USING (tree) JOIN done ON done.tree = l.tree AND done.own = l.pos CROSS JOIN root
 """
+
+RANKED = r"""
+WITH lowered AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+items AS (
+    SELECT DISTINCT item_id, t FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark
+    )
+),
+d AS (SELECT row_number() OVER () AS r, doc_id, ts, len(ts) AS n FROM (SELECT doc_id, regexp_extract_all(x, '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts FROM lowered) WHERE len(ts) > 0),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM items) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, size),
+m AS (SELECT r, doc_id, n, 100 - 50 + (50 * n * docs) // len AS m FROM d, size),
+s AS (
+    SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM items JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r
+),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, n) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, merkle, neighbours, oracles, piece_sampling, quality, sharding, simhash, suffixes, token_files, toxicity, word_bpe
+from . import decontamination, licences, merkle, neighbours, oracles, piece_sampling, quality, ranked_search, sharding, simhash, suffixes, token_files, toxicity, word_bpe
 from .common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_word_bpe")
 def _word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search", oracles.RANKED)
+def _ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
