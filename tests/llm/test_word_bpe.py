@@ -35,7 +35,7 @@ def same(codec, library, texts):
 
 
 def test_every_character_as_the_library(codec, library):
-    codes = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    codes = [*range(0xD800), *range(0xE000, 0x1F000), *range(0x1F000, 0x110000, 97)]
     same(codec, library, (" ".join(f"A{chr(k)}b1{chr(k)}" for k in codes[a : a + 4096]) for a in range(0, len(codes), 4096)))
 
 
