@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import as_of_col, clamp01, epoch_seconds, text_or_empty
-from ..functions.levels import ORDERINGS, routing_rank
+from ..functions.basics import as_of_col, clamp01, epoch_seconds
 from ..functions.times import bucket_seconds, trailing
 from ..plans.sweep import asof_join
-from .scope import all_of, pred
+from .rules import ANY_SERVICE, as_rule_table, longest_window, matching, route, route_table
 
 # Baseline length, minimum history, sensitivity, gates and calibration.
 BASELINE_WINDOWS = 12
@@ -27,7 +25,6 @@ ANOMALY_MIN_SCORE = 0.5
 CALIBRATION_DAYS = 90
 CALIBRATION_MIN_SAMPLES = 5
 CALIBRATION_FLOOR, CALIBRATION_SPAN = 0.5, 0.65
-ANY_SERVICE = "*"
 
 
 @dataclass(frozen=True)
@@ -45,62 +42,19 @@ class AlertRule:
     enabled: bool = True
     channels: tuple = ()
 
-    @property
-    def probe(self) -> tuple:
-        return self.condition, self.window_seconds
 
-
-RULE_COLUMNS = (
-    "rule_id string, tenant_id string, rule_name string, kind string, service string, "
-    "threshold double, window_seconds int, probe int"
-)
-
-
-def _compile(spark: SparkSession, rules: list[AlertRule]) -> tuple[DataFrame, list[tuple]]:
-    """Enabled rules as rows, and the distinct (condition, window) pairs they ask about."""
-    active = [r for r in rules if r.enabled]
-    probes = list(dict.fromkeys(r.probe for r in active))
-    index = {probe: i for i, probe in enumerate(probes)}
-    rows = [
-        (r.id, r.tenant_id, r.name, r.kind, r.service or ANY_SERVICE,
-         None if r.threshold is None else float(r.threshold), r.window_seconds, index[r.probe])
-        for r in active
-    ]
-    return spark.createDataFrame(rows, RULE_COLUMNS), probes
-
-
-def _with_totals(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Counts per service plus one ``*`` row over all services of the tenant."""
-    keys = [c for c in by if c != "service"]
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("service", F.lit(ANY_SERVICE))
-    return counts.unionByName(total)
-
-
-def _probe_hits(probes: list[tuple], bounds) -> Column:
-    """Indexes of the probes a log row answers to; ``bounds`` gives a probe's time predicate."""
-    tests = [
-        F.when(bounds(window) & all_of(*[pred("logs", *clause) for clause in condition]), F.lit(i))
-        for i, (condition, window) in enumerate(probes)
-    ]
-    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
-
-
-def _of_rule_tenants(logs: DataFrame, rules: list[AlertRule]) -> DataFrame:
-    return logs.filter(F.col("tenant_id").isin(sorted({r.tenant_id for r in rules if r.enabled})))
-
-
-def evaluate_alert_rules(logs: DataFrame, rules: list[AlertRule], as_of) -> DataFrame:
+def evaluate_alert_rules(logs: DataFrame, rules, as_of) -> DataFrame:
     """Count and static firing state of every enabled rule, in one pass over the logs.
 
-    Rows are counted per (tenant, service, probe) before the rules join, so the join sees one row per
-    service, not per log line. Rules that match nothing stay with a count of zero.
+    ``rules`` is a table (:data:`.rules.RULES_SCHEMA`) or a list of :class:`AlertRule`. Hits are counted per rule before
+    they move. Rules that match nothing stay with a count of zero.
     """
-    rules_df, probes = _compile(logs.sparkSession, rules)
-    longest = max((w for _, w in probes), default=0)
-    rows = _of_rule_tenants(logs, rules).filter(trailing("timestamp", as_of, longest))
-    hits = rows.select("tenant_id", "service", F.explode(_probe_hits(probes, lambda w: trailing("timestamp", as_of, w))).alias("probe"))
-    counts = hits.groupBy("tenant_id", "service", "probe").agg(F.count(F.lit(1)).alias("n"))
-    counted = rules_df.join(_with_totals(counts, ["tenant_id", "service", "probe"]), ["tenant_id", "service", "probe"], "left")
+    table = as_rule_table(logs.sparkSession, rules)
+    rows = logs.filter(trailing("timestamp", as_of, longest_window(table)))
+    end = epoch_seconds(as_of)
+    hits = matching(rows, table, lambda w: F.col("timestamp") > F.timestamp_seconds(F.lit(end) - w), ("timestamp",))
+    counts = hits.groupBy("tenant_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = table.drop("condition").join(counts, ["tenant_id", "rule_id"], "left")
     count = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     firing = (
         F.when(F.col("kind") == "threshold", F.coalesce(count > F.col("threshold"), F.lit(False)))
@@ -118,34 +72,27 @@ def _check_windows(windows: int) -> None:
         raise ValueError(f"a baseline needs {MIN_BUCKETS} windows at least, not {windows}")
 
 
-def rolling_baseline(logs: DataFrame, rules: list[AlertRule], as_of, windows: int = BASELINE_WINDOWS) -> DataFrame:
+def rolling_baseline(logs: DataFrame, rules, as_of, windows: int = BASELINE_WINDOWS) -> DataFrame:
     """Mean and deviation of each threshold rule's count over the windows before the current one.
 
-    Buckets are epoch-aligned and only those with rows count; fewer than four withhold the rule.
+    Buckets are epoch-aligned and only those with rows count; fewer than four withhold the rule. ``rules`` as for
+    :func:`evaluate_alert_rules`.
     """
     _check_windows(windows)
-    rules = [r for r in rules if r.enabled and r.kind == "threshold"]
-    rules_df, probes = _compile(logs.sparkSession, rules)
-    longest = max((w for _, w in probes), default=0)
+    table = as_rule_table(logs.sparkSession, rules).filter("kind = 'threshold'")
     end = epoch_seconds(as_of)
 
-    def bounds(w: int) -> Column:
-        start, stop = F.timestamp_seconds(F.lit(end - (windows + 1) * w)), F.timestamp_seconds(F.lit(end - w))
-        return (F.col("timestamp") > start) & (F.col("timestamp") <= stop)
+    def before(w: Column) -> Column:
+        at = F.col("timestamp")
+        return (at > F.timestamp_seconds(F.lit(end) - (windows + 1) * w.cast("bigint"))) & (at <= F.timestamp_seconds(F.lit(end) - w))
 
-    rows = _of_rule_tenants(logs, rules).filter(trailing("timestamp", as_of, longest * (windows + 1)))
-    hits = rows.select("tenant_id", "service", "timestamp", F.explode(_probe_hits(probes, bounds)).alias("probe"))
-    width = F.element_at(F.array(*[F.lit(w) for _, w in probes]), F.col("probe") + 1) if probes else F.lit(1)
+    rows = logs.filter(trailing("timestamp", as_of, longest_window(table) * (windows + 1)))
+    hits = matching(rows, table, before, ("timestamp",))
     epoch = F.unix_seconds("timestamp")
-    buckets = hits.groupBy("tenant_id", "service", "probe", (epoch - F.pmod(epoch, width)).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    by = ["tenant_id", "service", "probe", "bucket"]
-    stats = _with_totals(buckets, by).groupBy("tenant_id", "service", "probe").agg(
-        F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.count(F.lit(1)).alias("windows")
-    )
-    kept = stats.filter(F.col("windows") >= MIN_BUCKETS)
-    return rules_df.join(kept, ["tenant_id", "service", "probe"]).select("rule_id", "tenant_id", "mean", "std", "windows")
+    bucket = (epoch - F.pmod(epoch, F.col("window_seconds").cast("bigint"))).alias("bucket")
+    buckets = hits.groupBy("tenant_id", "rule_id", bucket).agg(F.count(F.lit(1)).alias("n"))
+    stats = buckets.groupBy("rule_id", "tenant_id").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.count(F.lit(1)).alias("windows"))
+    return stats.filter(F.col("windows") >= MIN_BUCKETS)
 
 
 def adaptive_firing(evals: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -247,10 +194,6 @@ def calibrate(signals: DataFrame, factors: DataFrame) -> DataFrame:
 
 # ---- routing -------------------------------------------------------------------------------
 
-CLAUSE = re.compile(r"^([\w.]+)\s*(>=|<=|!=|=~|==|=|>|<)\s*(.+)$", re.S | re.A)
-LABEL_PREFIXES = ("labels.", "label.")
-
-
 @dataclass(frozen=True)
 class RoutingRule:
     """Where alerts go. ``condition`` holds AND-separated clauses such as ``level >= error and env = prod``."""
@@ -263,80 +206,13 @@ class RoutingRule:
     tenant_id: str | None = None
 
 
-def _unquoted(text: str) -> str:
-    text = text.strip()
-    quoted = len(text) >= 2 and text[0] == text[-1] and text[0] in "'\""
-    return text[1:-1] if quoted else text
-
-
-def _routing_field(name: str) -> tuple[Column, Column]:
-    """(value, is present) of an event field; names outside service and severity are labels."""
-    lowered = name.lower()
-    if lowered == "service":
-        return F.col("service"), text_or_empty("service") != ""
-    if lowered in ("level", "severity"):
-        return F.col("severity"), text_or_empty("severity") != ""
-    for prefix in LABEL_PREFIXES:
-        if lowered.startswith(prefix):
-            name = name[len(prefix):]
-            break
-    value = F.try_element_at(F.col("labels"), F.lit(name))
-    return value, value.isNotNull()
-
-
-def _routing_clause(text: str) -> Column:
-    match = CLAUSE.match(text)
-    if not match:
-        return F.lit(False)
-    name, op, wanted = match[1], match[2], _unquoted(match[3])
-    value, present = _routing_field(name)
-    folded, target = F.lower(value), wanted.lower()
-    if op in ("=", "=="):
-        test = folded == target
-    elif op == "!=":
-        test = folded != target
-    elif op == "=~":
-        test = F.contains(folded, F.lit(target))
-    elif name.lower() in ("level", "severity"):
-        test = ORDERINGS[op](routing_rank(value), routing_rank(F.lit(wanted)))
-    else:
-        return F.lit(False)
-    return present & F.coalesce(test, F.lit(False))
-
-
-def routing_predicate(rule: RoutingRule) -> Column:
-    if not rule.enabled:
-        return F.lit(False)
-    test = F.lit(True)
-    if rule.tenant_id is not None:
-        test = test & (F.col("tenant_id") == rule.tenant_id)
-    if rule.service.strip():
-        test = test & (F.lower(F.trim("service")) == rule.service.strip().lower())
-    for part in re.split(r"(?i)\s+and\s+", rule.condition.strip()):
-        clause = part.strip().strip("()").strip()
-        if clause:
-            test = test & _routing_clause(clause)
-    return F.coalesce(test, F.lit(False))
-
-
-def route_alerts(events: DataFrame, rules: list[RoutingRule]) -> DataFrame:
+def route_alerts(events: DataFrame, rules) -> DataFrame:
     """Events with the rules they match and the distinct channels those rules deliver to.
 
-    Events need ``service``, ``severity`` and a ``labels`` map. Rules become predicates, so routing is
-    one narrow pass with no join.
+    Events need ``tenant_id``, ``service``, ``severity`` and a ``labels`` map. ``rules`` is a table
+    (:data:`.rules.ROUTES_SCHEMA`) or a list of :class:`RoutingRule`.
     """
-    matched = F.array_compact(F.array(*[F.when(routing_predicate(r), F.lit(r.id)) for r in rules]))
-    channels = [
-        F.when(
-            routing_predicate(r),
-            F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(target).alias("target")) for kind, target in r.channels]),
-        )
-        for r in rules
-        if r.channels
-    ]
-    kind = "array<struct<type:string,target:string>>"
-    joined = F.array_distinct(F.flatten(F.array_compact(F.array(*channels)))) if channels else F.array().cast(kind)
-    return events.withColumn("matched_rules", matched).withColumn("channels", joined)
+    return route(events, rules if isinstance(rules, DataFrame) else route_table(events.sparkSession, rules))
 
 
 def webhook_subscribers(events: DataFrame, endpoints: DataFrame) -> DataFrame:
