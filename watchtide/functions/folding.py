@@ -36,48 +36,85 @@ def _stamp(us):
     return pd.NaT if us is None else pd.Timestamp(us * 1000)
 
 
-def fold_cycles(key, frames, state, settings, cycle):
-    """Firing changes of one rule over its evaluation cycles."""
-    tenant, rule = key
-    kind, threshold, window = settings[rule]
-    step = cycle * 1_000_000
-    known = json.loads(state.get[0]) if state.exists else {"recent": [], "last": None, "firing": False, "fired": None}
-    pdf = _joined(frames)
-    counts = {}
-    for at, n in zip(pdf["cycle"], pdf["n"]) if len(pdf) else ():
-        us = _micros(at)
-        counts[us] = counts.get(us, 0) + int(n)
-    recent = [tuple(r) for r in known["recent"]]
-    out = []
-
-    def evaluate(at: int) -> None:
-        nonlocal recent
-        recent = [r for r in recent if r[0] > at - window * 1_000_000]
-        total = sum(n for _, n in recent)
-        firing = total == 0 if kind == "absence" else kind == "threshold" and threshold is not None and total > threshold
-        if firing == known["firing"]:
+class RuleCycles:
+    """Firing of one rule over its evaluation cycles, corrected when counts come late.
+
+    Holds the counts of a stretch of cycles, the state before it, and the changes told so far. A rule is evaluated at the
+    end of each cycle over its trailing window; between the cycles where a count enters or leaves the window nothing can
+    change, so only those are looked at, however long a silence lasts. Times are microseconds.
+    """
+
+    def __init__(self, kind: str, threshold: float | None, window: int, cycle: int, known: dict | None = None):
+        self.kind, self.threshold, self.window, self.cycle = kind, threshold, window, cycle
+        known = known or {}
+        self.first, self.last = known.get("first"), known.get("last")
+        self.base: bool = known.get("base", False)
+        self.counts: dict[int, int] = {int(k): v for k, v in known.get("counts", {}).items()}
+        self.changes: dict[int, bool] = {int(k): v for k, v in known.get("changes", {}).items()}
+        self.base_fired, self.edge = known.get("base_fired"), known.get("edge")
+
+    def known(self) -> dict:
+        return {"first": self.first, "last": self.last, "base": self.base, "base_fired": self.base_fired, "edge": self.edge, "counts": self.counts, "changes": self.changes}
+
+    def _fires(self, total: int) -> bool:
+        if self.kind == "absence":
+            return total == 0
+        return self.kind == "threshold" and self.threshold is not None and total > self.threshold
+
+    def _leaves(self, at: int) -> int:
+        """The first cycle whose window no longer holds a count of ``at``."""
+        return -(-(at + self.window) // self.cycle) * self.cycle
+
+    def add(self, counts: dict[int, int], until: int | None = None) -> list[tuple[int, bool, int | None, bool]]:
+        """Take in counts by cycle and evaluate to the newest of them or ``until``; (cycle, firing, fired at, withdrawn)
+        of every change that is new, differs from what was told, or no longer holds."""
+        if self.edge is not None:
+            counts = {at: n for at, n in counts.items() if at >= self.edge}
+        for at, n in counts.items():
+            if n:
+                self.counts[at] = self.counts.get(at, 0) + n
+        seen = [*counts, *([until] if until is not None and self.first is not None else [])]
+        if not seen:
+            return []
+        self.first = min(seen) if self.first is None else min(self.first, *seen)
+        self.last = max(seen) if self.last is None else max(self.last, *seen)
+        moments = {self.first, *self.counts, *map(self._leaves, self.counts)}
+        told, now, fired, total, entered = self.changes, self.base, self.base_fired, 0, sorted(self.counts)
+        self.changes, out, low, high = {}, [], 0, 0
+        before = self._fired(told)
+        for at in sorted(m for m in moments if self.first <= m <= self.last):
+            while high < len(entered) and entered[high] <= at:
+                total += self.counts[entered[high]]
+                high += 1
+            while low < high and entered[low] <= at - self.window:
+                total -= self.counts[entered[low]]
+                low += 1
+            if (fires := self._fires(total)) != now:
+                now = fires
+                fired = at if fires else fired
+                self.changes[at] = fires
+                if (fires, fired) != before.get(at):
+                    out.append((at, fires, fired, False))
+        out += [(at, fires, fired_at, True) for at, (fires, fired_at) in before.items() if at not in self.changes]
+        return sorted(out)
+
+    def _fired(self, changes: dict[int, bool]) -> dict[int, tuple[bool, int | None]]:
+        fired, out = self.base_fired, {}
+        for at in sorted(changes):
+            fired = at if changes[at] else fired
+            out[at] = changes[at], fired
+        return out
+
+    def forget(self, keep: int) -> None:
+        """Settle what is older than ``keep`` before the last cycle; later counts of that time change nothing."""
+        if self.last is None or (edge := (self.last - keep) // self.cycle * self.cycle) <= self.first:
             return
-        known["firing"] = firing
-        if firing:
-            known["fired"] = at
-        out.append((tenant, rule, _stamp(at), firing, _stamp(known["fired"]), pd.NaT if firing else _stamp(at)))
-
-    for at in sorted(counts):
-        if known["last"] is not None:
-            # nothing changes any more once a whole window has been silent
-            silent = known["last"] + step
-            quiet_end = min(at, known["last"] + window * 1_000_000 + 2 * step)
-            while silent < quiet_end:
-                evaluate(silent)
-                silent += step
-        if counts[at]:
-            recent.append((at, counts[at]))
-        evaluate(at)
-        known["last"] = at
-    known["recent"] = recent
-    state.update((json.dumps(known),))
-    if out:
-        yield pd.DataFrame(out, columns=["tenant_id", "rule_id", "cycle", "firing", "fired_at", "resolved_at"])
+        for at, (fires, fired) in self._fired(self.changes).items():
+            if at < edge:
+                self.base, self.base_fired = fires, fired
+        self.changes = {at: fires for at, fires in self.changes.items() if at >= edge}
+        self.counts = {at: n for at, n in self.counts.items() if self._leaves(at) > edge}
+        self.first = self.edge = edge
 
 
 _INCIDENT = [
