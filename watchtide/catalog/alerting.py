@@ -138,9 +138,9 @@ _ISLANDS = """c AS (SELECT s.*, (SELECT max(r."timestamp") FROM {resolves} r WHE
       AND r."timestamp" < s."timestamp") AS island FROM {signals} s)"""
 
 
-@register(
-    "correlate_incidents",
-    f"""WITH {_ISLANDS}, f AS (SELECT tenant_id, service, island, count(*) AS signal_count, max(confidence) AS confidence, min("timestamp") AS first_seen,
+def _incident_sql(islands: str) -> str:
+    """Incidents out of signals ``c`` with the service and the ``island`` they belong to."""
+    return f"""WITH {islands}, f AS (SELECT tenant_id, service, island, count(*) AS signal_count, max(confidence) AS confidence, min("timestamp") AS first_seen,
           max("timestamp") AS last_seen, coalesce(arg_min(deploy_id, ("timestamp", deploy_id)) FILTER (deploy_id <> ''), '') AS deploy_id,
           min("timestamp") FILTER (confidence >= 0.6) AS paged_at FROM c GROUP BY ALL),
         r AS (SELECT tenant_id, service, island, string_agg(rule_id, ',' ORDER BY fired, rule_id) AS correlated_rules FROM
@@ -151,15 +151,35 @@ _ISLANDS = """c AS (SELECT s.*, (SELECT max(r."timestamp") FROM {resolves} r WHE
           {r6('confidence')} AS confidence, signal_count, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, deploy_id,
           correlated_rules, paged_at IS NOT NULL AS paged, epoch_us(paged_at) AS paged_at,
           CASE WHEN resolved IS NULL THEN 'open' ELSE 'resolved' END AS status, epoch_us(resolved) AS resolved_at
-        FROM e JOIN r ON e.tenant_id = r.tenant_id AND e.service = r.service AND e.island IS NOT DISTINCT FROM r.island""",
-)
+        FROM e JOIN r ON e.tenant_id = r.tenant_id AND e.service = r.service AND e.island IS NOT DISTINCT FROM r.island"""
+
+
+@register("correlate_incidents", _incident_sql(_ISLANDS))
 def incidents(spark, sf):
     return IN.correlate_incidents(A.signals(spark, sf), A.resolves(spark, sf))
 
 
-@register("merge_neighbor_incidents")
+# signals and resolves one after the other; ``held`` are the open services with the time they opened
+_MERGED = """RECURSIVE links AS (SELECT tenant_id, service, list(DISTINCT neighbor) AS near FROM
+      (SELECT tenant_id, caller AS service, callee AS neighbor FROM {calls} UNION ALL SELECT tenant_id, callee, caller FROM {calls}) GROUP BY ALL),
+    facts AS (SELECT tenant_id, service, "timestamp", id, rule_id, confidence, deploy_id, 0 AS kind FROM {signals}
+      UNION ALL SELECT tenant_id, service, "timestamp", '', '', 0.0::DOUBLE, '', 1 FROM {resolves}),
+    steps AS (SELECT f.*, coalesce(near, []) AS near, row_number() OVER (PARTITION BY f.tenant_id ORDER BY "timestamp", kind, f.service, id) AS k
+      FROM facts f LEFT JOIN links l ON l.tenant_id = f.tenant_id AND l.service = f.service),
+    walk AS (
+      SELECT DISTINCT tenant_id, 0::BIGINT AS k, ''::VARCHAR AS host, 0::BIGINT AS opened, []::STRUCT(since BIGINT, svc VARCHAR)[] AS held FROM facts
+      UNION ALL
+      SELECT tenant_id, k, h.svc, h.since, CASE WHEN kind = 1 THEN list_filter(held, lambda x: x.svc <> service)
+          WHEN list_contains(list_transform(held, lambda x: x.svc), h.svc) THEN held ELSE list_append(held, h) END
+      FROM (SELECT s.tenant_id, s.k, s.kind, s.service, w.held,
+            coalesce(list_sort(list_filter(w.held, lambda x: list_contains(s.near, x.svc)))[1], list_filter(w.held, lambda x: x.svc = s.service)[1], {'since': epoch_us(s."timestamp"), 'svc': s.service}) AS h
+            FROM walk w JOIN steps s ON s.tenant_id = w.tenant_id AND s.k = w.k + 1)),
+    c AS (SELECT s.tenant_id, w.host AS service, w.opened AS island, s.rule_id, s.confidence, s.deploy_id, s."timestamp"
+      FROM walk w JOIN steps s ON s.tenant_id = w.tenant_id AND s.k = w.k WHERE s.kind = 0)"""
+
+
+@register("merge_neighbor_incidents", _incident_sql(_MERGED))
 def merged(spark, sf):
-    """Order-dependent: tested against a plain model instead of SQL."""
     return IN.correlate_incidents(A.signals(spark, sf), A.resolves(spark, sf), links_of(spark, sf))
 
 

@@ -9,7 +9,7 @@ from ..functions.basics import blank_to_null
 from ..functions.fields import fingerprint
 from ..functions.folding import fold_part
 from ..plans.closure import components
-from ..plans.sweep import asof_join
+from ..plans.sweep import asof_join, running_totals
 from ..session import reliable_checkpoint
 from .alerts import ANY_SERVICE, severity_bucket
 from .traces import neighbors
@@ -84,8 +84,8 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
 
     Between two resolves anywhere in a connected part of the service graph a service keeps one target:
     an open service's neighbours cannot open, and of several open neighbours the first opened wins. So
-    signals shrink to one row per (service, stretch between resolves) before the order-dependent fold,
-    and the fold runs per connected part.
+    signals shrink to one row per (service, stretch between resolves) before the order-dependent fold.
+    A fold starts where nothing can be open in its part (:func:`_busy`) and holds what happens until that is so again.
     """
     near = reliable_checkpoint(neighbors(edges))
     parts = components(near, ["tenant_id"], "service", "neighbor").withColumnRenamed("component", "_part")
@@ -103,12 +103,14 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
         allowMissingColumns=True,
     )
     links = near.groupBy("tenant_id", "service").agg(F.array_sort(F.collect_set("neighbor")).alias("near"))
+    starts = _busy(marked, closing)
+    facts = asof_join(facts, starts, ["tenant_id", "_part"], "at", "_busy", ["_busy"]).filter(F.col("_busy").isNotNull())
     facts = facts.join(links, ["tenant_id", "service"], "left").select(
-        "tenant_id", F.col("_part").alias("part"), "service", F.col("_stretch").alias("stretch"), "at", "what",
+        "tenant_id", F.col("_part").alias("part"), "_busy", "service", F.col("_stretch").alias("stretch"), "at", "what",
         F.coalesce("near", F.array().cast("array<string>")).alias("near"),
     )
     schema = "tenant_id string, part string, service string, stretch timestamp, host string, opened timestamp"
-    placed = facts.groupBy("tenant_id", "part").applyInPandas(fold_part, schema)
+    placed = facts.groupBy("tenant_id", "part", "_busy").applyInPandas(fold_part, schema)
     target = placed.select(
         "tenant_id", F.col("part").alias("_part"), "service", F.col("stretch").alias("_stretch"),
         F.col("host").alias("host_service"), F.col("opened").alias("_closed"),
@@ -119,3 +121,21 @@ def _merge_neighbors(signals: DataFrame, resolves: DataFrame, edges: DataFrame)
     )
     joined = cut.alias("s").join(target.alias("t"), same).select("s.*", "t.host_service", "t._closed")
     return joined.withColumn("fingerprint", fingerprint("tenant_id", "host_service"))
+
+
+def _busy(signals: DataFrame, resolves: DataFrame) -> DataFrame:
+    """(tenant_id, _part, _busy): the instants at which something may open in a part where nothing could be open before.
+
+    A service can be open from its first signal after a resolve until its next resolve, whatever its neighbours do. The
+    number of such services is a running total, cut into time slices like all others.
+    """
+    by = ["tenant_id", "_part", "service"]
+    closes = resolves.select(*by, F.col("timestamp").alias("_end"))
+    since = asof_join(signals.select(*by, "timestamp"), closes, by, "timestamp", "_end", ["_end"], strict=True)
+    opened = since.groupBy(*by, "_end").agg(F.min("timestamp").alias("at")).drop("_end")
+    closed = asof_join(opened, closes, by, "at", "_end", ["_end"], forward=True).filter(F.col("_end").isNotNull())
+    steps = opened.select(*by, "at", F.lit(0).alias("order"), F.lit(1).alias("open")).unionByName(
+        closed.select(*by, F.col("_end").alias("at"), F.lit(1).alias("order"), F.lit(-1).alias("open"))
+    )
+    counted = running_totals(steps.withColumn("_at", F.unix_micros("at")), ["tenant_id", "_part"], "_at", ["order", "service"], ["open"])
+    return counted.filter((F.col("open") == 1) & (F.col("run_open") == 1)).select("tenant_id", "_part", F.col("at").alias("_busy"))
