@@ -47,3 +47,17 @@ def test_plan_has_no_python(spark):
 
 def test_empty_table(spark):
     assert licences.scan(empty(spark)).collect() == []
+
+
+def test_two_licences_on_a_line_and_rows_without_ids(spark):
+    dual = "Licensed under the Apache License, Version 2.0. Licensed under the MIT license."
+    mit, gpl = "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3"
+    long = "tavo miri lo " * 300
+    texts = [
+        (1, dual, ["apache", "mit"]), (2, f"{long} {mit} {long} {gpl}. {long}", ["gpl", "mit"]), (None, mit, ["mit"]), (None, "no notice", []), (4, f"{mit}\n{dual}", ["apache", "mit"]),
+        (5, "Licensed under CC BY-NC 4.0", ["cc-by-nc"]), (6, "Licensed under the GNU Lesser General Public License, version 2.1.", ["lgpl"]),
+        (7, licences.TEMPLATES["lgpl"][0], ["lgpl"]), (8, licences.TEMPLATES["agpl"][0] + " " + licences.TEMPLATES["mit"][0], ["agpl", "mit"]),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id bigint, text string")
+    found = licences.scan(rows, licences.fit(table(spark, SF, "documents"))).collect()
+    assert sorted((str(r.doc_id), r.families) for r in found) == sorted((str(i), f) for i, _, f in texts)

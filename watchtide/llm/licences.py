@@ -119,10 +119,15 @@ def _grams(words: Column, sizes=SIZES) -> Column:
     return F.concat(*map(of_size, sizes))
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """A text is named by its row's id, null being the least number, and its hash."""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("doc"), F.xxhash64("text").alias("digest")]
+
+
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, words) of the non-empty lines of every text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\\R")).alias("at", "line"))
-    return rows.select("doc_id", "digest", "at", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    """(doc, digest, at, words) of the non-empty lines of every text."""
+    rows = docs.select(*_row_key(docs), F.posexplode(F.split("text", "\\R")).alias("at", "line"))
+    return rows.select("doc", "digest", "at", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -150,7 +155,7 @@ def fit(docs: DataFrame, unknown_sample: int = UNKNOWN_SAMPLE) -> Model:
     # the lines of the smallest hashes, found by hash alone, are then fetched
     lines = docs.select(F.explode(F.split("text", "\\R")).alias("line")).select("line", F.xxhash64("line").alias("draw"))
     draws = stash(lines.select("draw").distinct().orderBy("draw").limit(unknown_sample), "draws")
-    plain = lines.join(F.broadcast(draws), "draw").dropDuplicates(["draw"]).select("draw", F.slice(_words(F.col("line")), 1, 60).alias("words"))
+    plain = lines.join(F.broadcast(draws), "draw").dropDuplicates(["draw"]).select("draw", _words(F.col("line")).alias("words"))
     plain = stash(plain.filter(F.size("words") >= 3).coalesce(2), "plain")
     near = plain.select("draw", F.explode(_grams(F.col("words"), (3,))).alias("gram")).join(triples, "gram").select("draw").distinct()
     unknown = plain.join(near, "draw", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
@@ -189,9 +194,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``licence`` (the likeliest confirmed family, else null), ``probability``,
     ``paragraphs`` (lines with a confirmed licence) and ``families`` (all confirmed, in order).
 
-    A line of text is a paragraph. A family is taken if its calibrated probability is ``CERTAIN`` and if
-    one of its templates confirms it: ``AGREE`` of the template's two- and three-word sequences occur in the
-    paragraph, or as much of the paragraph's occurs in the template.
+    A line of text is a paragraph and may name several licences. A family is taken if it is likelier than
+    no licence, at a calibrated probability of ``CERTAIN``, and if one of its templates confirms it: ``AGREE`` of the
+    template's two- and three-word sequences occur in the paragraph, or as much of the paragraph's occurs in the
+    template. A template whose sequences found there are all among those of a better confirmed template of
+    another family (more of them, then a larger share) is explained by that one and confirms nothing.
 
     Defined cases: null, empty and wordless texts have no licence; equal probabilities go to the family first
     by name; repeated rows get the same result; an empty table gives no row. Only ``doc_id`` and
@@ -199,22 +206,28 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs)
     names = list(model.biases)
-    key = ["doc_id", "digest", "at"]
+    key = ["doc", "digest", "at"]
     lines = _paragraphs(docs).select(*key, (F.greatest(2 * F.size("words") - 3, F.lit(1))).alias("of_line"), F.explode(_grams(F.col("words"))).alias("gram"))
     hits = stash(lines.join(F.broadcast(model.weights.select("gram")), "gram").distinct(), "hits")
     sums = hits.join(F.broadcast(model.weights), "gram").groupBy(*key).agg(F.max("of_line").alias("of_line"), *[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(names))])
-    odds = F.array(*[F.exp(F.least(F.lit(700.0), (F.col(f"s{k}") + F.lit(model.biases[n])) * model.scale)) for k, n in enumerate(names)])
-    best = F.array_max(F.transform(F.arrays_zip(odds.alias("o"), F.array(*map(F.lit, names)).alias("n")), lambda x: F.struct(x["o"].alias("o"), x["n"].alias("n"))))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    guessed = sums.select(*key, "of_line", (best["o"] / total).alias("probability"), best["n"].alias("family")).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= CERTAIN))
-    shared = hits.select(*key, "gram").join(guessed, key).join(F.broadcast(model.parts), ["family", "gram"]).groupBy(*key, "family", "probability", "template").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("of_line").alias("of_line"))
-    confirmed = shared.filter((F.col("n") >= AGREE * F.col("of")) | (F.col("n") >= AGREE * F.col("of_line"))).select(*key, "family", "probability").distinct()
-    found = confirmed.groupBy("doc_id", "digest").agg(
+    logit = {n: (F.col(f"s{k}") + F.lit(model.biases[n])) * model.scale for k, n in enumerate(names)}
+    against = logit.get(UNKNOWN, F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(n).alias("family"), (1 / (1 + F.exp(against - z))).alias("probability")) for n, z in logit.items() if n != UNKNOWN])
+    likely = F.filter(each, lambda x: x["probability"] >= CERTAIN)
+    guessed = sums.select(*key, "of_line", F.explode(likely).alias("guess")).select(*key, "of_line", "guess.*")
+    shared = hits.select(*key, "gram").join(guessed, key).join(F.broadcast(model.parts), ["family", "gram"]).groupBy(*key, "family", "probability", "template").agg(
+        F.count("*").alias("n"), F.max("of").alias("of"), F.max("of_line").alias("of_line"), F.collect_set("gram").alias("grams")
+    )
+    good = shared.filter((F.col("n") >= AGREE * F.col("of")) | (F.col("n") >= AGREE * F.col("of_line")))
+    # templates per line are few, and their sequences as many as the templates have
+    rank = F.struct("n", (F.col("n") / F.col("of")).alias("share"), "family", "template")
+    lists = good.groupBy(*key).agg(F.collect_list(F.struct(rank.alias("rank"), "family", "probability", "grams")).alias("all"))
+    explained = lambda t: F.exists("all", lambda u: (u["family"] != t["family"]) & (u["rank"] > t["rank"]) & (F.size(F.array_except(t["grams"], u["grams"])) == 0))
+    confirmed = lists.select(*key, F.explode(F.filter("all", lambda t: ~explained(t))).alias("t")).select(*key, "t.family", "t.probability").distinct()
+    found = confirmed.groupBy("doc", "digest").agg(
         F.min(F.struct((-F.round("probability", 6)).alias("p"), "family")).alias("top"), F.count_distinct("at").alias("paragraphs"), F.array_sort(F.collect_set("family")).alias("families")
     )
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"))
-    found = found.withColumnRenamed("doc_id", "id").withColumnRenamed("digest", "of")
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
-    return joined.select(
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_row_key(docs))
+    return rows.join(found, ["doc", "digest"], "left").select(
         "doc_id", F.col("top.family").alias("licence"), (-F.col("top.p")).alias("probability"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families")
     )
