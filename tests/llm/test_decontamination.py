@@ -73,3 +73,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert decontamination.overlaps(awkward(spark), none).collect() == []
     assert decontamination.overlaps(empty(spark), spark.createDataFrame([(1, "a b c d e f", "x")], ITEMS)).collect() == []
+
+
+def test_rows_without_ids_stay_apart(spark):
+    words = " ".join(f"w{k}" for k in range(15))
+    docs = spark.createDataFrame([(None, words), (None, "x " + words), (3, words)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    rows = decontamination.overlaps(docs, items).collect()
+    assert sorted((str(r.doc_id), r.words, r.agree) for r in rows) == [("3", 15, 1.0), ("None", 15, 1.0), ("None", 15, 1.0)]

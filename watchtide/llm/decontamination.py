@@ -140,8 +140,8 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
     items by hash, as distinct windows, so a passage that a third of all documents hold is compared once.
 
     Defined cases: null or wordless texts hold nothing; items under ``LEAST`` words are no evidence and
-    match nothing; null ids are reported as null; repeated rows of an id count once; empty tables give
-    no row. Only ``doc_id``, ``text`` and ``item_id``, ``text`` are read.
+    match nothing; null ids are reported as null, each row without an id being a document of its own (ids
+    lie above -2^62, below which such rows are numbered); repeated rows of an id count once; empty tables give no row. Only ``doc_id``, ``text`` and ``item_id``, ``text`` are read.
     """
     spark = docs.sparkSession
     single = items.groupBy("text").agg(F.min(F.col("item_id").cast("bigint")).alias("item_id")).select("item_id", "text")
@@ -151,7 +151,8 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
     theirs = theirs.select("span", F.col("window").alias("item_window"), "theirs", F.posexplode("hashes").alias("seed", "hash"))
     size = theirs.agg(F.count("*").alias("n"), F.collect_set("span").alias("spans")).first()
     table = spark.sparkContext.broadcast(_bit_table(theirs.select("hash"), size.n))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    nameless = F.lit(-(1 << 63)).cast("bigint") + F.monotonically_increasing_id()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), nameless).alias("doc_id"), "text")
     suspects = stash(arrow(rows, partial(_suspects, table=table, spans=sorted(size.spans)), _ROWS), "suspects")
 
     ours = suspects.groupBy("span", "window").agg(F.first("words").alias("ours"), F.first("hashes").alias("hashes"))
@@ -165,4 +166,5 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
     # words covered by overlapping windows of one document; a document and item are one small group
     following = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at"))
     covered = F.least(F.col("span").cast("bigint"), F.coalesce(following - F.col("at"), F.col("span").cast("bigint")))
-    return at.withColumn("covered", covered).groupBy("doc_id", "item_id").agg(F.sum("covered").alias("words"), F.max("agree").alias("agree"))
+    out = at.withColumn("covered", covered).groupBy("doc_id", "item_id").agg(F.sum("covered").alias("words"), F.max("agree").alias("agree"))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id")))
