@@ -56,3 +56,25 @@ def test_empty_tables(spark):
     assert neighbours.nearest(none, none).collect() == []
     some = frame(spark, [(1, [1.0, 2.0])])
     assert neighbours.nearest(some, some).collect() == []
+
+
+def test_ids_with_several_vectors_and_without_id(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k // 2 if k < 40 else k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(120)] + [(None, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, frame.filter("vec_id % 5 = 0"), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    for q in {d for d, _ in rows if d is not None and d % 5 == 0}:
+        least = {}
+        for a in (v for d, v in rows if d == q):
+            for d, b in rows:
+                if d is not None and d != q:
+                    least[d] = min(least.get(d, 9e9), sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5)
+        want = sorted((s, d) for d, s in least.items())[:7]
+        have = sorted(got[q])
+        assert [k for k, _, _ in have] == list(range(1, 8)) and len({d for _, d, _ in have}) == 7
+        assert sum(d in {d for _, d in want} for _, d, _ in have) >= 6
+        assert all(abs(s - least[d]) < 1e-6 for _, d, s in have)

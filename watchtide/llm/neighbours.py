@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = NEAREST, tables: in
 
     Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part; with fewer candidates than ``n`` all are returned; repeated rows of one id
-    and vector count once; empty tables give no row. Only ``vec_id`` and ``embedding`` are read.
+    and vector count once; of several vectors with one id, on either side, the least distance counts; empty tables give no row. Only ``vec_id`` and ``embedding`` are read.
     """
     spark = vectors.sparkSession
     keep = n + 1
@@ -157,6 +157,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = NEAREST, tables: in
     common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimensions = common.d if common else 1
     rows = rows.filter(F.size("embedding") == dimensions)
+    # an id with several vectors may stand in a ranking as often
+    keep *= rows.distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
     # the smallest ids of each distinct vector; Spark drops the others before the shuffle
     order = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = rows.distinct().withColumn("nth", order).filter(F.col("nth") <= keep)
@@ -192,5 +194,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = NEAREST, tables: in
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))
     spread = stash(spread.withColumn("nth", rank).filter(F.col("nth") <= keep).drop("nth"), "nearest")
     answers = asked.select("query_id", "qid").join(spread, "qid").filter("query_id <> vec_id")
+    answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return answers.withColumn("rank", place).filter(F.col("rank") <= n).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
