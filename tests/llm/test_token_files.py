@@ -80,3 +80,9 @@ def test_empty_table(spark):
     folder = shared_path(spark, "test")
     token_files.write(empty(spark), folder)
     assert token_files.index(spark, folder).collect() == []
+
+
+def test_files_follow_their_numbers(spark):
+    numbers = [0, 9, 10, 99_999, 100_000, 100_009, 1_000_000]
+    names = spark.createDataFrame([(f"part-{n:05d}-abc-c000.txt",) for n in reversed(numbers)], "file string")
+    assert [r[0] for r in names.orderBy(token_files._number("file")).select(token_files._number("file")).collect()] == numbers

@@ -162,6 +162,11 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
 
 
+def _number(file: str):
+    """Place of a file: names have five digits at least, so from 100 000 files on their order as text is another one."""
+    return F.regexp_extract(file, "part-([0-9]+)", 1).cast("bigint")
+
+
 def index(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """Read the files back, check every record, and write the index: where each record lies, its length,
     token count and checksum, and ``start``, the tokens of all records before it."""
@@ -170,7 +175,7 @@ def index(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     found = stash(_files(spark, folder).mapInArrow(partial(_scan, width=width), _INDEX), "offsets")
     spark.conf.set(_BATCH, usual)
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    earlier = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("earlier"))
+    earlier = totals.select("file", (F.sum("n").over(Window.orderBy(_number("file"))) - F.col("n")).alias("earlier"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("offset")) - F.col("n_tokens")
     full = found.withColumn("inside", inside).join(earlier, "file").withColumn("start", F.col("earlier") + F.col("inside"))
     full.select("file", "offset", "length", "doc_id", "start", "n_tokens", "ids_crc32").write.option("compression", "zstd").parquet(f"{folder}/index")
