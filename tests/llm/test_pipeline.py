@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.fixtures import awkward, empty, plain_words
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_near_copies import brute_parts
 from tests.llm.test_suffixes import brute
 from watchtide.llm import decontamination, quality, stages
 from watchtide.llm.common import stash, table
@@ -22,7 +22,7 @@ def test_every_stage_takes_effect_on_all_rows_of_the_one_before(spark):
             left = {d: t for d, t in left.items() if d in good}
         elif k == 1:
             ids = sorted(left)
-            parts = brute_components([brute_print(left[d], 4) for d in ids], 4)
+            parts = brute_parts([left[d] for d in ids])
             left = {ids[p]: left[ids[p]] for p in set(parts)}
         elif k == 2:
             ids = sorted(left)
@@ -65,3 +65,5 @@ def test_stages_take_awkward_and_empty_tables(spark):
         out.collect()
     one = {r.doc_id: r for r in stages.near_dedup(spark, docs, SF).collect()}
     assert 1 in one and 2 not in one and None in one
+    # two unrelated texts share this id: neither goes
+    assert len(stages.near_dedup(spark, docs, SF).filter("doc_id = 16").collect()) == 2

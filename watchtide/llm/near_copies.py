@@ -125,7 +125,8 @@ def _paired(df: DataFrame, part: str, parts: str, *columns: str) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``component_id``, the smallest id reachable over texts whose five-word shingles have a
-    similarity (shared ones among all of both) of 0.8 or more, for every row.
+    similarity (shared ones among all of both) of 0.8 or more, for every row, as well as the ``digest`` of its text and
+    the ``root`` of its component: rows that share an id may lie in several.
 
     Words are those of :func:`simhash.fingerprints`. Defined cases: texts equal in words are one text, wordless
     ones, too; fewer words than five are one shingle; a null id has no say in the smallest id.
@@ -149,4 +150,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     rooted = texts.join(same.withColumnRenamed("node", "name"), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return described.select("doc_id", "name").join(rooted.join(least, "root").select("name", "component_id"), "name").select("doc_id", "component_id")
+    named = rooted.join(least, "root").select("name", "component_id", "root")
+    return described.select("doc_id", "digest", "name").join(named, "name").select("doc_id", "component_id", "digest", "root")

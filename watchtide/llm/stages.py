@@ -19,14 +19,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles with a similarity of 0.8 or more) stays:
-    the one with the smallest id. Rows that repeat an id are one document, of which one row stays."""
-    found = near_copies.near_copies(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    nth = "_nth" + "_" * max(map(len, docs.columns), default=0)  # no column has this name
-    single = named.withColumn(nth, again).filter(F.col(nth) == 1).drop(nth)
+    """One document of each group of near copies (five-word shingles with a similarity of 0.8 or more) stays: the
+    one with the smallest id. A document is a row, named by its id and the hash of its text, so unrelated texts that share an
+    id all stay; of rows that repeat id and text one stays. Rows without an id stay.
+    """
+    found = near_copies.near_copies(docs).filter("doc_id is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept")).select("kept.*")
+    free = "_" * (1 + max(map(len, docs.columns), default=0))  # no column starts with this
+    named = docs.filter("doc_id is not null").withColumn(f"{free}d", F.xxhash64("text")).withColumn(f"{free}i", F.col("doc_id").cast("bigint"))
+    kept = first.select(F.col("doc_id").alias(f"{free}i"), F.col("digest").alias(f"{free}d"))
+    own = named.join(kept, [f"{free}i", f"{free}d"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(f"{free}i", f"{free}d").orderBy(F.lit(0)))
+    single = own.withColumn(f"{free}n", nth).filter(F.col(f"{free}n") == 1).select(*docs.columns)
     return single.unionByName(docs.filter("doc_id is null"))
 
 
