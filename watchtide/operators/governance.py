@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basics import as_of_col, blank_to_null
 from ..functions.fields import json_field, label, linkage_key
 from ..functions.times import bucket_seconds
 from ..plans.lookups import attach
+from ..plans.sweep import running_totals
 
 # Tier defaults, minute quota.
 HOT_DAYS, COLD_DAYS = 3, 30
 REQUESTS_PER_MINUTE = 1000
 WINDOW_SECONDS = 60
 
+REQUEST = ["request_id", "tenant_id", "user_id", "from_ts", "to_ts"]
+# Microseconds before and after all timestamps.
+_ENDLESS = 1 << 61
+
 
 def expire_rows(df: DataFrame, as_of, days: int | None = None) -> DataFrame:
     """Rows still inside their retention; ``days`` replaces the per-row column for rollups."""
@@ -32,58 +39,97 @@ def subject_key(table: str) -> Column:
     return F.col("user_linkage_key")
 
 
+def _has_user() -> Column:
+    return F.coalesce(F.col("user_id"), F.lit("")) != ""
+
+
+def _disjoint(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Closed spans (from_ts, to_ts) of each key as the fewest spans that cover the same instants."""
+    ordered = Window.partitionBy(*by).orderBy("from_ts", "to_ts")
+    reach = F.max("to_ts").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("_opens", (reach.isNull() | (F.col("from_ts") > reach)).cast("int"))
+    numbered = apart.withColumn("_nth", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*by, "_nth").agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts")).drop("_nth")
+
+
+def _tag(rows: DataFrame, asked: DataFrame, by: list[str], flag: str, spread_by: str | None = None) -> DataFrame:
+    """``rows`` with ``flag``: whether a request of the same key covers the row's instant.
+
+    Requests open on a side come down to two instants per key. Those with both bounds are merged to disjoint
+    spans, listed per key and day, so that a row looks only at spans of its own day, however many there are.
+    """
+    begin, end = F.col("from_ts"), F.col("to_ts")
+    rays = asked.groupBy(*by).agg(
+        F.max(F.when(begin.isNull() & end.isNotNull(), end)).alias("_until"),
+        F.min(F.when(begin.isNotNull() & end.isNull(), begin)).alias("_since"),
+        F.max(begin.isNull() & end.isNull()).alias("_always"),
+    )
+    closed = _disjoint(asked.filter(begin <= end).select(*by, begin, end), by)
+    days = closed.withColumn("_day", F.explode(F.sequence(F.to_date(begin), F.to_date(end))))
+    listed = days.groupBy(*by, "_day").agg(F.collect_list(F.struct("from_ts", "to_ts")).alias("_spans"))
+    tagged = attach(rows, rays, by, ["_until", "_since", "_always"], spread_by)
+    tagged = attach(tagged.withColumn("_day", F.to_date("timestamp")), listed, [*by, "_day"], ["_spans"], spread_by)
+    ts = F.col("timestamp")
+    hits = (ts <= F.col("_until"), ts >= F.col("_since"), F.col("_always"), F.exists("_spans", lambda r: ts.between(r["from_ts"], r["to_ts"])))
+    covered = F.lit(False)
+    for hit in hits:
+        covered = covered | F.coalesce(hit, F.lit(False))
+    return tagged.withColumn(flag, covered).drop("_until", "_since", "_always", "_day", "_spans")
+
+
+def _receipts(erased: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows that each request covers, as the difference of two running totals of its scope."""
+    probes = F.array(
+        F.struct(F.lit("start").alias("_probe"), F.coalesce(F.unix_micros("from_ts"), F.lit(-_ENDLESS)).alias("_us"), F.lit(0).alias("_order")),
+        F.struct(F.lit("end").alias("_probe"), F.coalesce(F.unix_micros("to_ts"), F.lit(_ENDLESS)).alias("_us"), F.lit(2).alias("_order")),
+    )
+    request = F.struct(*REQUEST).alias("_request")
+    questions = asked.select("tenant_id", "_scope", request, F.explode(probes).alias("_p")).select("*", "_p.*").drop("_p")
+    events = erased.withColumn("_order", F.lit(1)).unionByName(questions.withColumn("_rows", F.lit(0).cast("bigint")), allowMissingColumns=True)
+    totals = running_totals(events, ["tenant_id", "_scope"], "_us", ["_order"], ["_rows"]).filter(F.col("_probe").isNotNull())
+
+    def total(probe: str) -> Column:
+        return F.max(F.when(F.col("_probe") == probe, F.col("run__rows")))
+
+    counted = totals.groupBy("_request").agg(F.greatest(total("end") - total("start"), F.lit(0)).cast("bigint").alias("erased"))
+    return counted.select("_request.*", "erased")
+
+
 def erase_subject(tables: dict[str, DataFrame], requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables without the requested rows, and a receipt per request and table.
 
-    ``requests``: request_id, tenant_id, user_id (may be blank), from_ts, to_ts (may be NULL). A request
-    needs a user or a time bound; others erase nothing. Requests collapse to one row per (tenant, user)
-    and one per tenant, so each join is an equi-join that can only tag rows, never multiply them.
+    ``requests``: request_id, tenant_id, user_id (may be blank), from_ts, to_ts (may be NULL); both bounds are
+    inclusive. A request needs a user or a time bound; others erase nothing and have no receipt, and one that ends
+    before it starts erases nothing. A receipt counts every row its request covers, also those that others cover;
+    equal requests share one receipt, and ids may repeat between tenants. Rows are tagged, never multiplied, so
+    neither the number of requests nor their overlaps change what a row costs.
     """
-    usable = requests.filter(
-        (F.coalesce(F.col("user_id"), F.lit("")) != "") | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull()
-    )
-    span = F.struct("request_id", "from_ts", "to_ts")
-    named = usable.filter(F.coalesce(F.col("user_id"), F.lit("")) != "")
-    timed = usable.filter(F.coalesce(F.col("user_id"), F.lit("")) == "")
-    by_tenant = timed.groupBy("tenant_id").agg(F.collect_list(span).alias("_timed"))
+    usable = requests.select(*REQUEST).filter(_has_user() | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull())
+    timed = usable.filter(~_has_user()).withColumn("_scope", F.lit(""))
     kept, receipts = {}, []
     for table, df in tables.items():
         key = linkage_key("tenant_id", "user_id") if table == "logs" else F.col("user_id")
-        by_user = named.withColumn("_subject", key).groupBy("tenant_id", "_subject").agg(F.collect_list(span).alias("_named"))
-        ts = F.col("timestamp")
-
-        def hits(column: str, ts=ts) -> Column:
-            inside = F.filter(
-                F.col(column),
-                lambda r: (r["from_ts"].isNull() | (ts >= r["from_ts"])) & (r["to_ts"].isNull() | (ts <= r["to_ts"])),
-            )
-            return F.coalesce(F.transform(inside, lambda r: r["request_id"]), F.array().cast("array<string>"))
-
-        subjects = df.withColumn("_subject", blank_to_null(subject_key(table)))
-        tagged = attach(subjects, by_user, ["tenant_id", "_subject"], ["_named"])
-        tagged = attach(tagged, by_tenant, ["tenant_id"], ["_timed"], spread_by="timestamp").withColumn(
-            "_erased_by", F.concat(hits("_named"), hits("_timed"))
-        )
-        kept[table] = tagged.filter(F.size("_erased_by") == 0).select(*df.columns)
-        counted = tagged.select(F.explode("_erased_by").alias("request_id")).groupBy("request_id").agg(
-            F.count(F.lit(1)).alias("erased")
-        )
+        named = usable.filter(_has_user()).withColumn("_scope", key)
+        rows = df.withColumn("_scope", blank_to_null(subject_key(table)))
+        tagged = _tag(rows, named, ["tenant_id", "_scope"], "_by_subject")
+        tagged = _tag(tagged, timed, ["tenant_id"], "_by_tenant", spread_by="timestamp")
+        kept[table] = tagged.filter(~F.col("_by_subject") & ~F.col("_by_tenant")).select(*df.columns)
+        scopes = F.array_compact(F.array(F.when(F.col("_by_subject"), F.col("_scope")), F.when(F.col("_by_tenant"), F.lit(""))))
+        erased = tagged.select("tenant_id", F.explode(scopes).alias("_scope"), F.unix_micros("timestamp").alias("_us"))
+        erased = erased.groupBy("tenant_id", "_scope", "_us").agg(F.count(F.lit(1)).alias("_rows"))
         receipts.append(
-            usable.join(counted, "request_id", "left").select(
+            _receipts(erased, named.unionByName(timed)).select(
                 "request_id", "tenant_id", F.lit(table).alias("table"),
                 F.concat_ws(
                     " and ",
-                    F.when(F.coalesce(F.col("user_id"), F.lit("")) != "", "subject"),
+                    F.when(_has_user(), "subject"),
                     F.when(F.col("from_ts").isNotNull(), "from"),
                     F.when(F.col("to_ts").isNotNull(), "to"),
                 ).alias("filters"),
-                F.coalesce("erased", F.lit(0)).alias("erased"),
+                "erased",
             )
         )
-    receipt = receipts[0]
-    for more in receipts[1:]:
-        receipt = receipt.unionByName(more)
-    return kept, receipt
+    return kept, reduce(DataFrame.unionByName, receipts)
 
 
 def partition_ages(tables: dict[str, DataFrame], as_of) -> DataFrame:
