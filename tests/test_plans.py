@@ -9,7 +9,8 @@ from watchtide.plans.closure import components, reachable
 from watchtide.plans.lookups import attach
 from watchtide.plans.quantiles import exact_quantile
 from watchtide.plans.ranking import top_n_per_group
-from watchtide.plans.sweep import asof_join, running_totals
+from watchtide.operators import forecast, logs, metrics
+from watchtide.plans.sweep import asof_join, paged, running_totals
 
 
 def heavy(seed, n=600):
@@ -87,3 +88,51 @@ def test_top_n_is_trimmed_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert top.groupBy("k").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_pages_follow_each_other(spark):
+    rng = random.Random(11)
+    base = 1_700_000_000 * 10**9
+    lines = [("hot" if rng.random() < 0.5 else f"s{rng.randrange(3)}", base + rng.choice([0, 5, rng.randrange(3 * 3600)]) * 10**9 + rng.randrange(3), f"m{rng.randrange(50)}") for _ in range(700)]
+    df = spark.createDataFrame(lines, "service string, ts_ns bigint, message string").withColumn("level", F.lit("info"))
+    found = logs.to_streams(df, page_size=16).collect()
+    assert {len(r.values) for r in found if len(r.values) < 16} != set() and max(len(r.values) for r in found) == 16
+    for service in {s for s, _, _ in lines}:
+        pages = sorted((r for r in found if dict(r.labels)["service"] == service), key=lambda r: r.page)
+        assert [r.page for r in pages] == list(range(len(pages)))
+        assert all(len(r.values) == 16 for r in pages[:-1])
+        assert [tuple(v) for r in pages for v in r.values] == sorted((t, m) for s, t, m in lines if s == service)
+    with pytest.raises(ValueError):
+        paged(df, ["service"], "ts_ns", [], 0)
+    assert logs.to_streams(df.limit(0)).collect() == []
+
+
+def test_series_pages(spark):
+    points = [("hot", 60 * i, float(i)) for i in range(300)] + [("cold", 0, 1.0), ("cold", 60, float("nan"))]
+    df = spark.createDataFrame(points, "service string, bucket bigint, value double").withColumn("metric_name", F.lit("m"))
+    found = sorted(metrics.to_matrix(df, page_size=64).collect(), key=lambda r: (r.series_key, r.page))
+    assert [(r.metric["service"], r.page, len(r.values)) for r in found] == [("cold", 0, 1)] + [("hot", k, n) for k, n in enumerate((64, 64, 64, 64, 44))]
+    assert [tuple(v) for r in found[1:] for v in r.values] == [(b, v) for s, b, v in points if s == "hot"]
+
+
+def test_smoothing_without_lists_equals_the_loop(spark):
+    rng = random.Random(12)
+    for alpha in (0.01, 0.3, 0.999, 1, 5, 0):
+        rows = [(k, i, rng.uniform(-1e6, 1e6)) for k, n in (("a", 1), ("b", 2), ("c", 700)) for i in range(n)]
+        df = spark.createDataFrame(rows, "k string, idx int, v double")
+        got = {r.k: r.ewma for r in forecast.ewma(df, alpha, by=["k"]).collect()}
+        a = 0.3 if alpha <= 0 else min(alpha, 1)
+        for k in got:
+            level = None
+            for kk, _, v in rows:
+                if kk == k:
+                    level = v if level is None else a * v + (1 - a) * level
+            assert got[k] == pytest.approx(level, rel=1e-9, abs=1e-9)
+
+
+def test_a_series_of_a_million_buckets_is_smoothed(spark):
+    df = spark.range(1_000_000).select(F.lit("a").alias("k"), F.col("id").alias("idx"), (F.col("id") % 10).cast("double").alias("v"))
+    level = 0.0
+    for i in range(1_000_000 - 500, 1_000_000):  # what lies further back weighs less than 1e-70
+        level = 0.3 * (i % 10) + 0.7 * level
+    assert forecast.ewma(df, 0.3, by=["k"]).first().ewma == pytest.approx(level, abs=1e-9)

@@ -140,18 +140,19 @@ def selector(spark, sf):
 @register(
     "log_streams",
     f"""WITH picked AS (SELECT * FROM {{logs}} WHERE tenant_id = '{TENANT}' AND service = 'svc_1'
-          AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW})
-        SELECT concat(CASE WHEN environment <> '' THEN concat('environment=', environment, ';') ELSE '' END, 'level=', level, ';service=',
-          service, ';span_id=', span_id, ';trace_id=', trace_id, ';') AS stream,
-          string_agg(concat(epoch_us("timestamp") * 1000, ' ', message), ',' ORDER BY "timestamp", message) AS lines
-        FROM picked GROUP BY 1""",
+          AND "timestamp" >= {NOW} - INTERVAL 604800 SECOND AND "timestamp" <= {NOW}),
+        named AS (SELECT concat(CASE WHEN environment <> '' THEN concat('environment=', environment, ';') ELSE '' END, 'level=', level, ';service=',
+          service, ';span_id=', span_id, ';trace_id=', trace_id, ';') AS stream, "timestamp", message FROM picked),
+        paged AS (SELECT *, (row_number() OVER (PARTITION BY stream ORDER BY "timestamp", message) - 1) // 3 AS page FROM named)
+        SELECT stream, page, string_agg(concat(epoch_us("timestamp") * 1000, ' ', message), ',' ORDER BY "timestamp", message) AS lines
+        FROM paged GROUP BY stream, page""",
 )
 def streams(spark, sf):
     picked = L.stream_selector(A.logs(spark, sf), TENANT, [("service", "=", "svc_1")], AS_OF, END_NS - 7 * DAY_NS, END_NS)
-    grouped = L.to_streams(picked)
+    grouped = L.to_streams(picked, page_size=3)
     name = F.array_join(F.transform("labels", lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))), "")
     lines = F.array_join(F.transform("values", lambda v: F.concat(v["ns"].cast("string"), F.lit(" "), v["line"])), ",")
-    return grouped.select(name.alias("stream"), lines.alias("lines"))
+    return grouped.select(name.alias("stream"), "page", lines.alias("lines"))
 
 
 @register(

@@ -126,15 +126,17 @@ def rerolled(spark, sf):
 @register(
     "series_matrix",
     f"""WITH v AS (SELECT service, environment, label_k, {BUCKET} AS bucket, arg_max(value, (epoch_us("timestamp"), id)) AS v
-          FROM {{metrics}} WHERE {RANGE} GROUP BY service, environment, label_k, bucket)
-        SELECT concat('__name__={METRIC};', CASE WHEN environment <> '' THEN concat('environment=', environment, ';') ELSE '' END,
-          'k=', label_k, ';service=', service, ';') AS series_key,
-          string_agg(concat(bucket, ':', cast(round(v * 100) AS BIGINT)), ' ' ORDER BY bucket) AS points FROM v GROUP BY 1""",
+          FROM {{metrics}} WHERE {RANGE} GROUP BY service, environment, label_k, bucket),
+        named AS (SELECT bucket, v, concat('__name__={METRIC};', CASE WHEN environment <> '' THEN concat('environment=', environment, ';') ELSE '' END,
+          'k=', label_k, ';service=', service, ';') AS series_key FROM v),
+        paged AS (SELECT *, (row_number() OVER (PARTITION BY series_key ORDER BY bucket) - 1) // 4 AS page FROM named)
+        SELECT series_key, page, string_agg(concat(bucket, ':', cast(round(v * 100) AS BIGINT)), ' ' ORDER BY bucket) AS points
+        FROM paged GROUP BY series_key, page""",
 )
 def matrix(spark, sf):
     vector = M.range_vector(A.metrics(spark, sf), TENANT, METRIC, start=START, end=AS_OF, step=DAY)
     point = lambda p: F.concat(p["ts"].cast("string"), F.lit(":"), F.round(p["value"] * 100).cast("bigint").cast("string"))
-    return M.to_matrix(vector).select("series_key", F.array_join(F.transform("values", point), " ").alias("points"))
+    return M.to_matrix(vector, page_size=4).select("series_key", "page", F.array_join(F.transform("values", point), " ").alias("points"))
 
 
 @register(

@@ -57,7 +57,7 @@ def smoothing(alpha: float) -> float:
 
 
 def ewma_of(values: Column, alpha: float = EWMA_ALPHA) -> Column:
-    """Exponential smoothing of an ordered array of doubles; an empty array gives 0."""
+    """Exponential smoothing of a short ordered array of doubles; an empty array gives 0."""
     a = smoothing(alpha)
     smoothed = F.aggregate(
         F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))),
@@ -67,14 +67,22 @@ def ewma_of(values: Column, alpha: float = EWMA_ALPHA) -> Column:
     return F.coalesce(smoothed, F.lit(0.0))
 
 
-def _ordered_values(value: Column, index: Column) -> Column:
-    """A series as an array; its length is bounded by the lookback."""
-    points = F.array_sort(F.collect_list(F.when(index >= 0, F.struct(index.alias("i"), value.alias("v")))))
-    return F.transform(points, lambda p: p["v"])
+def ewma_total(value: Column, position: Column, count: Column, alpha: float = EWMA_ALPHA) -> Column:
+    """Aggregate: exponential smoothing of ``count`` values at ``position`` 0, 1, ...; no values give 0.
+
+    Every value has the weight that the recurrence leaves it with after the last one, so the smoothed level is a sum
+    that Spark combines in parts: no series is ever a list. Rows with a NULL position take no part; a NULL value adds nothing.
+    """
+    a = smoothing(alpha)
+    left = F.pow(F.lit(1.0 - a), count - 1 - position)
+    weight = F.when(position == 0, left).otherwise(F.lit(a) * left)
+    return F.coalesce(F.sum(F.when(position >= 0, value * weight)), F.lit(0.0))
 
 
 def ewma(series: DataFrame, alpha: float = EWMA_ALPHA, by=SERIES) -> DataFrame:
-    return series.groupBy(*by).agg(ewma_of(_ordered_values(F.col("v"), F.col("idx")), alpha).alias("ewma"))
+    """Smoothed level per series of ``(idx, v)`` rows, ``idx`` counting from 0."""
+    counted = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return counted.groupBy(*by).agg(ewma_total(F.col("v"), F.col("idx"), F.col("_n"), alpha).alias("ewma"))
 
 
 def deploy_reset(series: DataFrame, changes: DataFrame, as_of=None, lookback: int | None = None) -> DataFrame:
@@ -139,7 +147,7 @@ def forecast_capacity(
         F.count(used).alias("_used"),
         slope.alias("_slope"),
         intercept.alias("_intercept"),
-        ewma_of(_ordered_values(F.col("v"), since)).alias("_ewma"),
+        ewma_total(used, position, F.col("n") - F.greatest(F.col("reset"), F.lit(0))).alias("_ewma"),
         season.alias("_season"),
     )
     if isinstance(thresholds, dict):

@@ -11,12 +11,15 @@ from ..functions.levels import ORDERINGS, tail_level_rank, LEVELS
 from ..functions.masking import has_all_tokens
 from ..functions.times import trailing
 from ..plans.ranking import keep_last_n
+from ..plans.sweep import paged
 from .scope import select_fields, tenant_scope
 
 # Browsable log labels and the labels of a stream.
 LOG_LABELS = ["service", "level", "environment", "trace_id", "span_id", "ingested_by"]
 STREAM_LABELS = ["service", "level", "environment", "trace_id", "span_id"]
 NS = 10**9
+# Lines of one page of a stream.
+PAGE = 5000
 
 
 def search_logs(df: DataFrame, tenant: str, phrase: str, where: Column | None = None, limit: int | None = None) -> DataFrame:
@@ -81,15 +84,16 @@ def stream_selector(
     return limited(rows.orderBy(*order), limit).select(*shown)
 
 
-def to_streams(df: DataFrame) -> DataFrame:
-    """Selected lines grouped by their non-empty labels into ordered ``[ns, line]`` pairs.
+def to_streams(df: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Selected lines grouped by their non-empty labels into pages of ordered ``[ns, line]`` pairs.
 
-    A stream is one row, so a selector's window or limit decides how long its list gets.
+    A stream is as many rows as it has pages: the lists of ``page`` 0, 1, ... follow each other, all but the last
+    hold ``page_size`` pairs, and no task holds more of a stream than an hour's rows or a page.
     """
     pairs = [x for c in STREAM_LABELS if c in df.columns for x in (F.lit(c), text_or_empty(c))]
-    labelled = df.withColumn("labels", canonical_labels(F.create_map(*pairs)))
-    line = F.struct(F.col("ts_ns").alias("ns"), F.col("message").alias("line"))
-    return labelled.groupBy("labels").agg(F.array_sort(F.collect_list(line)).alias("values"))
+    labelled = df.select(canonical_labels(F.create_map(*pairs)).alias("labels"), F.col("ts_ns").alias("ns"), F.col("message").alias("line"))
+    pages = paged(labelled.withColumn("_us", F.expr("ns div 1000")), ["labels"], "_us", ["ns", "line"], page_size)
+    return pages.groupBy("labels", "page").agg(F.array_sort(F.collect_list(F.struct("ns", "line"))).alias("values"))
 
 
 def _ns_bounds(df: DataFrame, start_ns, end_ns) -> DataFrame:

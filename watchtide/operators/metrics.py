@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.basics import at_seconds, epoch_seconds
 from ..functions.fields import canonical_labels, metric_label, series_key
 from ..functions.times import bucket_seconds, trailing
+from ..plans.sweep import paged
 from .scope import tenant_scope
 
 # Default lookback, step and cardinality cap.
 LOOKBACK = 300
 RANGE_DEFAULT = (3600, 60)
 CARDINALITY_CAP = 50_000
+# Points of one page of a series.
+PAGE = 10_000
 SERIES = ["service", "environment", "attributes"]
 AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
@@ -124,16 +127,20 @@ def _finite(df: DataFrame) -> DataFrame:
     return df.filter(~F.isnan("value") & (F.abs("value") != float("inf")))
 
 
-def to_matrix(vector: DataFrame) -> DataFrame:
-    """Series with ordered ``[ts, value]`` points.
+def to_matrix(vector: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Series as pages of ordered ``[ts, value]`` points.
 
-    A vector holds one row per series and bucket, so a list is as long as the range has steps.
+    A series is as many rows as it has pages: the lists of ``page`` 0, 1, ... follow each other and all but the
+    last hold ``page_size`` points.
     """
-    rows = _finite(vector).withColumn("metric", _series_labels(vector)).withColumn("series_key", series_key(F.col("metric")))
-    point = F.struct(F.col("bucket").alias("ts"), F.col("value").alias("value"))
-    return rows.groupBy("series_key").agg(
-        F.map_from_entries(F.first(canonical_labels(F.col("metric")))).alias("metric"),
-        F.array_sort(F.collect_list(point)).alias("values"),
+    rows = _finite(vector).withColumn("metric", _series_labels(vector))
+    points = rows.select(
+        series_key(F.col("metric")).alias("series_key"), canonical_labels(F.col("metric")).alias("metric"),
+        F.struct(F.col("bucket").alias("ts"), F.col("value").alias("value")).alias("point"), (F.col("bucket").cast("bigint") * 1_000_000).alias("_us"),
+    )
+    return paged(points, ["series_key"], "_us", ["point"], page_size).groupBy("series_key", "page").agg(
+        F.map_from_entries(F.first("metric", ignorenulls=True)).alias("metric"),
+        F.array_sort(F.collect_list("point")).alias("values"),
     )
 
 

@@ -98,3 +98,11 @@ def asof_join(
         .filter(F.col("_side") == 1)
         .select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in values])
     )
+
+
+def paged(rows: DataFrame, by: list[str], us: str, order: list[str], size: int) -> DataFrame:
+    """``rows`` with ``page``, from 0: every ``size`` rows of a key in the order of (us, order) are a page."""
+    if size < 1:
+        raise ValueError("a page holds at least one row")
+    numbered = running_totals(rows.withColumn("_row", F.lit(1).cast("bigint")), by, us, order, ["_row"])
+    return numbered.withColumn("page", F.floor((F.col("run__row") - 1) / F.lit(size)).cast("bigint")).drop("_row", "run__row")
