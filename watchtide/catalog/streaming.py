@@ -20,6 +20,7 @@ from ..streaming import alerts as SA
 from ..streaming import ingest as SI
 from ..streaming import rollups as SR
 from ..streaming.files import read_files, write_batches
+from ..streaming.states import live_states
 from .alerting import _ISLANDS
 from .base import DAY, NOW, TENANT, r6, register
 
@@ -94,7 +95,7 @@ def rollups(spark, sf):
     folder = scratch(spark)
     stream = as_stream(A.metrics(spark, sf), f"{folder}/in", shuffled=True)
     SR.stream_rollups(stream, f"{folder}/out", f"{folder}/checkpoint", "1 hour", available_now=True).awaitTermination()
-    out = SR.read_rollups(spark.read.parquet(f"{folder}/out").drop("batch_id"), "1 hour")
+    out = SR.read_rollups(live_states(spark, f"{folder}/out"), "1 hour")
     return out.withColumn("series_key", series_key(F.col("attributes"))).drop("attributes")
 
 
@@ -108,7 +109,7 @@ def rates(spark, sf):
     folder = scratch(spark)
     stream = as_stream(A.logs(spark, sf).select("tenant_id", "timestamp"), f"{folder}/in", shuffled=True)
     SR.stream_rate_windows(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return SR.read_rate_windows(spark.read.parquet(f"{folder}/out"), 2)
+    return SR.read_rate_windows(live_states(spark, f"{folder}/out"), 2)
 
 
 CYCLE = 21600
@@ -180,13 +181,14 @@ def incidents(spark, sf):
         SELECT tenant_id, service, {r6('cur')} AS current, {r6('mean')} AS mean, {r6('std')} AS std, {r6('score')} AS score FROM z WHERE score >= 0.1""",
 )
 def anomalies(spark, sf):
-    """The sweep after the last batch."""
+    """The sweep after the last batch; lines come in no order at all."""
     folder = scratch(spark)
-    stream = as_stream(A.logs(spark, sf), f"{folder}/in")
+    stream = as_stream(A.logs(spark, sf), f"{folder}/in", shuffled=True)
     query = SA.stream_anomalies(stream, f"{folder}/store", f"{folder}/out", f"{folder}/checkpoint", DAY, 12, 0.1, available_now=True)
     query.awaitTermination()
-    newest = A.logs(spark, sf).agg(F.date_trunc("second", F.max("timestamp")).alias("as_of"))
-    return spark.read.parquet(f"{folder}/out").join(newest, "as_of").drop("batch_id", "as_of")
+    swept = spark.read.parquet(f"{folder}/out")
+    last = swept.agg(F.max("batch_id").alias("batch_id"))
+    return swept.join(F.broadcast(last), "batch_id").drop("batch_id", "as_of")  # one row
 
 
 def event_lines(spark, sf):

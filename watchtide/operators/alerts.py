@@ -143,6 +143,40 @@ def anomaly_sweep(
         "tenant_id", "service", current.alias("_now"),
         F.when(~current, bucket_seconds("timestamp", window)).alias("_bucket"),
     ).agg(F.count(F.lit(1)).alias("n"))
+    return score_buckets(buckets, min_score)
+
+
+def error_counts(logs: DataFrame, window: int = 300) -> DataFrame:
+    """Error lines per service, bucket and second, as counts that add up, for :func:`swept_counts`.
+
+    ``second`` is the first whole second at or after a line, so that reference times split no count. ``newest`` is the
+    latest line of any level; it comes with a row of its own, without a service.
+    """
+    errors = logs.filter(F.col("level").isin("error", "fatal")).groupBy(
+        "tenant_id", "service", bucket_seconds("timestamp", window).alias("bucket"),
+        (F.unix_seconds("timestamp") + (F.pmod(F.unix_micros("timestamp"), F.lit(1_000_000)) > 0).cast("bigint")).alias("second"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest"))
+    edge = logs.agg(F.max("timestamp").alias("newest")).withColumn("n", F.lit(0).cast("bigint"))
+    return add_counts(errors.unionByName(edge.filter("newest is not null"), allowMissingColumns=True))
+
+
+def add_counts(counts: DataFrame) -> DataFrame:
+    """One row per service, bucket and second."""
+    return counts.groupBy("tenant_id", "service", "bucket", "second").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+
+
+def swept_counts(counts: DataFrame, as_of, window: int = 300, windows: int = BASELINE_WINDOWS, min_score: float = ANOMALY_MIN_SCORE) -> DataFrame:
+    """:func:`anomaly_sweep` out of counts made with the same ``window``, merged or not."""
+    _check_windows(windows)
+    now = F.unix_seconds(as_of_col(as_of))
+    current = F.col("second") > now - window
+    recent = counts.filter((F.col("second") <= now) & (F.col("second") > now - window * (windows + 1)))
+    buckets = recent.groupBy("tenant_id", "service", current.alias("_now"), F.when(~current, F.col("bucket")).alias("_bucket")).agg(F.sum("n").alias("n"))
+    return score_buckets(buckets, min_score)
+
+
+def score_buckets(buckets: DataFrame, min_score: float = ANOMALY_MIN_SCORE) -> DataFrame:
+    """Scores out of the error counts ``n`` per service and past ``_bucket``, and of the window ``_now``."""
     past = F.when(~F.col("_now"), F.col("n").cast("double"))
     stats = buckets.groupBy("tenant_id", "service").agg(
         F.sum(F.when(F.col("_now"), F.col("n"))).cast("double").alias("current"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import functools
 import json
 
@@ -17,11 +16,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ..functions.fields import fingerprint
 from ..functions.folding import RuleCycles, fold_incidents
 from ..functions.times import bucket_seconds
-from ..operators.alerts import BASELINE_WINDOWS, anomaly_sweep
+from ..operators.alerts import BASELINE_WINDOWS, add_counts, error_counts, swept_counts
 from ..operators.incidents import PAGE_MIN_CONFIDENCE
 from ..operators.rules import as_rule_table, matching
 from ..schemas import conform
-from ..sources.signals import read_signal, write_signal
+from ..sources.signals import write_signal
+from . import states
 from .files import for_each_batch, write_batches
 
 CYCLE_SECONDS = 60
@@ -183,20 +183,27 @@ def stream_anomalies(
     logs: DataFrame, base: str, out: str, checkpoint: str, window: int = 300, windows: int = BASELINE_WINDOWS,
     min_score: float = 0.5, available_now: bool = False, trigger: str = "60 seconds",
 ) -> StreamingQuery:
-    """Store each batch of logs, then sweep for anomalies as of its newest line."""
+    """Store each batch of logs and its error counts, then sweep the counts for anomalies as of the newest line so far.
+
+    Counts lie under ``base/error_counts`` as folded states, so a sweep reads no logs, and lines may come in any order:
+    of several sweeps as of the same instant the one of the last batch holds.
+    """
+    spark, kept = logs.sparkSession, f"{base}/error_counts"
+    states.begin(spark, kept)
+
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            newest = batch.agg(F.date_trunc("second", F.max("timestamp")).alias("at")).first()["at"]
             write_signal(conform(batch, "logs"), base, "logs")
+            states.add(error_counts(batch, window), kept, number, add_counts)
         finally:
             batch.unpersist()
+        counts = states.live_states(spark, kept)
+        newest = counts.agg(F.date_trunc("second", F.max("newest")).alias("at")).first()["at"]
         if newest is None:
             return
         as_of = newest.strftime("%Y-%m-%d %H:%M:%S")
-        since = newest - dt.timedelta(seconds=window * (windows + 1))
-        history = read_signal(batch.sparkSession, base, "logs", start=since, end=newest)
-        swept = anomaly_sweep(history, as_of, window, windows, min_score)
+        swept = swept_counts(counts, as_of, window, windows, min_score)
         swept.withColumn("as_of", F.lit(as_of).cast("timestamp")).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
 
     return for_each_batch(logs, write, checkpoint, "append", available_now, trigger)
