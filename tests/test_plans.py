@@ -9,7 +9,7 @@ from watchtide.plans.closure import components, reachable
 from watchtide.plans.lookups import attach
 from watchtide.plans.quantiles import exact_quantile
 from watchtide.plans.ranking import top_n_per_group
-from watchtide.operators import forecast, logs, metrics
+from watchtide.operators import forecast, logs, metrics, traces
 from watchtide.plans.sweep import asof_join, paged, running_totals
 
 
@@ -136,3 +136,24 @@ def test_a_series_of_a_million_buckets_is_smoothed(spark):
     for i in range(1_000_000 - 500, 1_000_000):  # what lies further back weighs less than 1e-70
         level = 0.3 * (i % 10) + 0.7 * level
     assert forecast.ewma(df, 0.3, by=["k"]).first().ewma == pytest.approx(level, abs=1e-9)
+
+
+def test_parents_are_filtered_by_the_traces_of_the_window(spark, tmp_path, capsys):
+    """Spark builds a bloom filter of the window's traces and pushes it into the scan of parents that are large enough."""
+    spans = spark.range(2000).selectExpr(
+        "'t' tenant_id", "concat('x', id div 4) trace_id", "cast(id as string) span_id", "if(id % 4 = 0, '', cast(id - 1 as string)) parent_span_id",
+        "concat('s', id % 4) service", "'ok' status_code", "id duration_ns", "timestamp_seconds(1700000000 + id) timestamp",
+    )
+    spans.write.parquet(str(tmp_path / "spans"))
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    usual = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        edges = traces.service_edges(spark.read.parquet(str(tmp_path / "spans")), "2023-11-14 22:46:39", 600)
+        edges.explain("extended")
+        assert "might_contain" in capsys.readouterr().out
+        assert {(r.caller, r.callee) for r in edges.collect()} == {("s0", "s1"), ("s1", "s2"), ("s2", "s3")}
+    finally:
+        for name, value in usual.items():
+            spark.conf.set(name, value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.levels import otlp_level
@@ -105,6 +107,35 @@ def gelf(spark, sf):
     return parsed.filter(F.col("extra")["id"].isNull()).select("event_id", "service", "level", "message", "timestamp", route.alias("route"))
 
 
+@register(
+    "ingest_rejects",
+    """WITH g AS (SELECT 'gelf' AS source, CASE WHEN event_id % 17 = 0 THEN 'not a JSON object' ELSE '' END AS reason FROM events
+          UNION ALL SELECT 'metrics', CASE WHEN event_id % 5 = 0 THEN 'metric without a name' ELSE '' END FROM events
+          UNION ALL SELECT 'traces', CASE WHEN event_id % 7 = 0 THEN 'span without a trace id' WHEN event_id % 3 = 0 THEN 'span without an id' ELSE '' END FROM events
+          UNION ALL SELECT 'otlp', CASE WHEN event_id % 11 = 0 THEN 'not a JSON object' WHEN event_id % 11 = 1 THEN 'no resourceMetrics' ELSE '' END FROM events)
+       SELECT source, reason, count(*) AS n FROM g GROUP BY ALL""",
+)
+def rejects(spark, sf):
+    """What each source takes and refuses, and why; together they are all that came."""
+    rows = events(spark, sf)
+    gelf_line = F.when(key() % 17 == 0, "[]").otherwise(F.to_json(F.struct(F.col("event_type").alias("host"))))
+    taken, broken = LN.read_gelf(rows.select("event_id", gelf_line.alias("value")))
+    points = rows.select("tenant_id", "event_id", F.when(key() % 5 != 0, F.col("event_type")).alias("metric_name"), "value")
+    good_points, bad_points = S.split_rejects(points, "metrics")
+    text = F.concat(F.lit("x"), key().cast("string"))
+    spans = rows.select("tenant_id", F.when(key() % 7 != 0, text).otherwise("").alias("trace_id"), F.when(key() % 3 != 0, text).alias("span_id"))
+    good_spans, bad_spans = S.split_rejects(spans, "traces")
+    gauge = F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"m","gauge":{"dataPoints":[{"asInt":"'), key().cast("string"), F.lit('"}]}}]}]}]}'))
+    document = F.when(key() % 11 == 0, "{").when(key() % 11 == 1, '{"resourceSpans":[]}').otherwise(gauge)
+    good_documents, bad_documents = O.read_otlp(rows.select("event_id", document.alias("value")), "metrics")
+    parts = [
+        ("gelf", taken, F.lit("")), ("gelf", broken, F.lit("not a JSON object")), ("metrics", good_points, F.lit("")), ("metrics", bad_points, F.col("error")),
+        ("traces", good_spans, F.lit("")), ("traces", bad_spans, F.col("error")), ("otlp", good_documents, F.lit("")), ("otlp", bad_documents, F.col("error")),
+    ]
+    counted = [df.select(F.lit(source).alias("source"), reason.alias("reason")) for source, df, reason in parts]
+    return reduce(lambda a, b: a.unionByName(b), counted).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
 @register(
     "parse_syslog",
     """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '∅' WHEN event_id % 3 <> 0 THEN event_type WHEN event_id % 5 <> 0 THEN concat('host', user_id % 10) ELSE '∅' END AS service,

@@ -38,8 +38,14 @@ def read_ndjson_logs(lines: DataFrame, column: str = "value") -> tuple[DataFrame
     return good, marked.filter(~F.col("_good")).drop("_good")
 
 
+def read_gelf(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)``: payload fields of every GELF line, and the lines that are no JSON object. Blank lines vanish."""
+    bad = _nonblank(lines, column).filter(json_entries(column).isNull())
+    return parse_gelf(lines, column), bad
+
+
 def parse_gelf(lines: DataFrame, column: str = "value") -> DataFrame:
-    """GELF lines as payload fields; lines that are no JSON object are skipped."""
+    """GELF lines as payload fields; :func:`read_gelf` also gives the lines that are no JSON object."""
     entries = _nonblank(lines, column).withColumn("_e", json_entries(column)).filter(F.col("_e").isNotNull())
     field = lambda name: json_text_or_null(F.col("_e")[name])
     bare = lambda key: F.when(key.startswith("_"), F.substring(key, 2, 2**30)).otherwise(key)

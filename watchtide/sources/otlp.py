@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import let
-from ..functions.fields import build_json, quote_json
+from ..functions.fields import build_json, json_entries, quote_json
 
 # Resource attributes behind service, environment and enrichment; enum names.
 SERVICE_KEY = "service.name"
@@ -297,3 +297,18 @@ def map_remote_write_series(df: DataFrame) -> DataFrame:
         F.col("_s.timestamp").cast("string").alias("timestamp"),
         F.col("_s.value").alias("value"),
     )
+
+
+def read_otlp(df: DataFrame, table: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)``: the flattened rows of all readable exports of a signal, and the other documents with an ``error``.
+
+    A readable document holds the signal's list of resources, which may be empty. A null document is no JSON object.
+    """
+    flatten, root = {
+        "logs": (flatten_otlp_logs, "resourceLogs"), "metrics": (flatten_otlp_metrics, "resourceMetrics"), "traces": (flatten_otlp_traces, "resourceSpans"),
+    }[table]
+    entries = json_entries(column)
+    listed = F.coalesce(F.ltrim(entries[root]).startswith("["), F.lit(False))
+    error = F.when(entries.isNull(), "not a JSON object").when(~listed, f"no {root}")
+    marked = df.withColumn("error", error)
+    return flatten(marked.filter(F.col("error").isNull()).drop("error"), column), marked.filter(F.col("error").isNotNull())

@@ -161,8 +161,22 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
     return conform(staged, "logs", keep=["drop_record"])
 
 
+def reject_reason(table: str, columns) -> Column:
+    """Why a row of ``columns`` cannot become a row of the table; NULL when it can.
+
+    ``_corrupt`` holds the payload when a field of it has another type than the table's.
+    """
+    reasons = [F.when(F.col("_corrupt").isNotNull(), "a field has the wrong type")] if "_corrupt" in columns else []
+    if table == "metrics":
+        reasons.append(F.when(text_or_empty("metric_name") == "", "metric without a name"))
+    elif table == "traces":
+        reasons.append(F.when(text_or_empty("trace_id") == "", "span without a trace id"))
+        reasons.append(F.when(text_or_empty("span_id") == "", "span without an id"))
+    return F.coalesce(*reasons, F.lit(None).cast("string"))
+
+
 def build_metric_points(df: DataFrame, cfg: IngestConfig) -> DataFrame:
-    """Rows of the ``metrics`` schema; nameless points are dropped and non-finite numbers read as 0."""
+    """Rows of the ``metrics`` schema; points with a :func:`reject_reason` are left out and non-finite numbers read as 0."""
 
     def finite(column: Column) -> Column:
         return F.when(F.isnan(column) | (F.abs(column) == float("inf")), F.lit(0.0)).otherwise(column)
@@ -183,12 +197,12 @@ def build_metric_points(df: DataFrame, cfg: IngestConfig) -> DataFrame:
     columns["id"] = _identity(df)
     if cfg.retention_days is not None:
         columns["_retention_days"] = F.lit(cfg.retention_days)
-    return conform(df.filter(text_or_empty("metric_name") != "").withColumns(columns), "metrics")
+    return conform(df.filter(reject_reason("metrics", df.columns).isNull()).withColumns(columns), "metrics")
 
 
 def build_spans(df: DataFrame, cfg: IngestConfig) -> DataFrame:
-    """Rows of the ``traces`` schema; spans without trace or span id are dropped, broken parents stay."""
-    usable = df.filter((text_or_empty("trace_id") != "") & (text_or_empty("span_id") != ""))
+    """Rows of the ``traces`` schema; spans with a :func:`reject_reason` are left out, broken parents stay."""
+    usable = df.filter(reject_reason("traces", df.columns).isNull())
     ns = normalize_timestamp_ns(F.col("start_time"), cfg.as_of)
     start = ns_to_timestamp(ns)
     end = ns_to_timestamp(normalize_timestamp_ns(F.col("end_time"), cfg.as_of))

@@ -10,6 +10,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.basics import epoch_seconds, limited
 from ..operators.scope import tenant_scope
 from ..schemas import PARTITION_COLUMNS, SORT_KEYS, check_table, signal_schema
+from .records import reject_reason
 
 def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{check_table(table)}"
@@ -90,6 +91,17 @@ def split_dead_letters(df: DataFrame, error: str = "error", payload: str = "payl
     return good, dead
 
 
+def split_rejects(df: DataFrame, table: str, payload: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(good, dead)``: rows that can become rows of ``table``, and the others as dead letters with the reason.
+
+    Without a ``payload`` column the row itself is kept, as JSON. Every row is in one of the two.
+    """
+    own = F.col(payload) if payload else F.to_json(F.struct(*[c for c in df.columns if c != "_corrupt"]))
+    marked = df.withColumn("_error", reject_reason(table, df.columns)).withColumn("_payload", own)
+    good, dead = split_dead_letters(marked, "_error", "_payload")
+    return good.drop("_payload", "_corrupt"), dead
+
+
 def dlq_list(df: DataFrame, tenant: str, status: str | None = None, limit: int | None = None) -> DataFrame:
     """Dead letters of a tenant, newest first, with the total number that match."""
     rows = tenant_scope(df, tenant)

@@ -12,7 +12,7 @@ from ..operators.scope import tenant_scope
 from ..schemas import conform, signal_schema
 from ..sources.records import IngestConfig, build_change_events, build_log_records, build_metric_points, build_spans, payload_fields
 from ..sources.remap import apply_remap
-from ..sources.signals import split_dead_letters, write_signal
+from ..sources.signals import split_dead_letters, split_rejects, write_signal
 from .files import TRIGGER, for_each_batch
 
 DEDUP_DELAY = "10 minutes"
@@ -33,18 +33,25 @@ def live_tail(stream: DataFrame, tenant: str, predicate: Column) -> DataFrame:
     return tenant_scope(stream, tenant).filter(predicate)
 
 
-def _records(rows: DataFrame, table: str, cfg: IngestConfig) -> DataFrame:
-    """Payload rows of one route as rows of its table."""
-    if table == "logs":
-        built = build_log_records(payload_fields(rows), cfg, "http")
-        return built.filter(~F.col("drop_record")).drop("drop_record")
+def _parsed(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """Payload rows of a typed route: its fields, and what cannot become a row of the table as dead letters."""
     # timestamps stay text here: the builders read every accepted spelling
     fields = ", ".join(
         f"`{f.name}` {'string' if f.dataType.typeName() == 'timestamp' else f.dataType.simpleString()}"
         for f in signal_schema(table).fields
         if f.name not in ("tenant_id", "id")
     )
-    parsed = rows.withColumn("_r", F.from_json("payload", fields)).select("tenant_id", "id", "_r.*")
+    read = F.from_json("payload", f"{fields}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = rows.withColumn("_r", read).select(*rows.columns, "_r.*")
+    good, dead = split_rejects(parsed, table, "payload")
+    return good.drop("payload", "created_at"), dead
+
+
+def _records(parsed: DataFrame, table: str, cfg: IngestConfig) -> DataFrame:
+    """Parsed rows of one route as rows of its table."""
+    if table == "logs":
+        built = build_log_records(parsed, cfg, "http")
+        return built.filter(~F.col("drop_record")).drop("drop_record")
     if table == "metrics":
         return build_metric_points(parsed, cfg)
     if table == "traces":
@@ -69,11 +76,19 @@ def ingest_batch(lines: DataFrame, base: str, cfg: IngestConfig, steps: list[dic
     readable = json_entries("payload").isNotNull()
     marked = placed.withColumn("error", F.when(~readable, "not a JSON object")).withColumn("created_at", as_of_col(cfg.as_of))
     good, dead = split_dead_letters(marked)
-    dead.write.mode("overwrite").parquet(f"{base}/dead_letters/batch_id={number}")
     routed = apply_remap(good.select("tenant_id", "id", "payload"), steps, default_route="logs").persist()
     try:
+        parsed = {}
+        for table in tables:
+            rows = routed.filter(F.col("route_to") == table).select("tenant_id", "id", "payload")
+            if table == "logs":
+                parsed[table] = payload_fields(rows)
+                continue
+            parsed[table], rejected = _parsed(rows.withColumn("created_at", as_of_col(cfg.as_of)), table)
+            dead = dead.unionByName(rejected)
+        dead.write.mode("overwrite").parquet(f"{base}/dead_letters/batch_id={number}")
         for table in tables:
-            write_signal(_records(routed.filter(F.col("route_to") == table).select("tenant_id", "id", "payload"), table, cfg), base, table)
+            write_signal(_records(parsed[table], table, cfg), base, table)
     finally:
         routed.unpersist()
 
@@ -83,7 +98,8 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Raw NDJSON lines (``tenant_id``, ``value``) into the signal tables under ``base``.
 
-    Steps may route an event to another table than ``logs``. Unreadable lines become dead letters.
+    Steps may route an event to another table than ``logs``. Unreadable lines, and payloads that cannot become rows of
+    their table, become dead letters with the reason.
     """
     steps = list(steps)
     tables = ["logs", *dict.fromkeys(t for t in map(_route_of, steps) if t and t != "logs")]
