@@ -6,6 +6,9 @@ import random
 import pytest
 
 from watchtide.operators.incidents import correlate_incidents
+from watchtide.streaming import states
+from watchtide.streaming.files import read_files
+from watchtide.streaming.incidents import read_incidents, stream_correlation
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -67,3 +70,30 @@ def test_the_query_merges_over_all_edges(spark):
         want += [(tenant, *x) for x in found]
     got = sorted((r.tenant_id, r.service, r.signal_count) for r in QUERIES["merge_neighbor_incidents"](spark, sf).collect())
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("merging", [False, True])
+def test_a_stream_in_any_order_ends_with_the_incidents_of_the_table(spark, tmp_path, merging):
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(5)]
+    links = [("s0", "s1"), ("s1", "s2"), ("s3", "s4")]
+    near = {}
+    for a, b in links if merging else []:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    ticks = rng.sample(range(10_000), 130)
+    signals, resolves = [(rng.choice(names), t) for t in ticks[:100]], [(rng.choice(names), t) for t in ticks[100:]]
+    at = lambda t: START + dt.timedelta(seconds=t)
+    rows = [("t", s, at(t), "r", "rule", 0.5, "", True) for s, t in signals] + [("t", s, at(t), None, None, None, None, False) for s, t in resolves]
+    rows += [(None, "s1", at(3), "r", "rule", 0.5, "", True), ("t", None, at(3), "r", "rule", 0.5, "", True)]
+    rng.shuffle(rows)
+    schema = "tenant_id string, service string, timestamp timestamp, rule_id string, rule_name string, confidence double, deploy_id string, signal boolean"
+    given, out, edges = str(tmp_path / "in"), str(tmp_path / "out"), spark.createDataFrame([("t", a, b) for a, b in links], "tenant_id string, caller string, callee string")
+    edges = edges if merging else None
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(given)
+    stream = read_files(spark, given, schema, 1)
+    signal, close = stream.filter("signal").drop("signal"), stream.filter("not signal").select("tenant_id", "service", "timestamp")
+    stream_correlation(signal, close, out, str(tmp_path / "checkpoint"), edges, available_now=True).awaitTermination()
+    assert states.committed(spark, f"{out}/incidents")[0] == 2
+    assert sorted((r["service"], r["signal_count"]) for r in read_incidents(spark, out, edges).collect()) == replay(signals, resolves, near)

@@ -17,6 +17,7 @@ from ..sources.records import IngestConfig
 from ..sources.remap import Call, Path
 from ..sources.signals import read_signal
 from ..streaming import alerts as SA
+from ..streaming import incidents as SC
 from ..streaming import ingest as SI
 from ..streaming import rollups as SR
 from ..streaming.files import read_files, write_batches
@@ -151,14 +152,14 @@ def alerts(spark, sf):
     return SA.read_changes(spark.read.parquet(f"{folder}/changes"))
 
 
-@register(
-    "stream_incidents",
-    f"""WITH {_ISLANDS}, f AS (SELECT tenant_id, service, island, count(*) AS signal_count, max(confidence) AS confidence, min("timestamp") AS first_seen,
+_INCIDENTS = f"""WITH {_ISLANDS}, f AS (SELECT tenant_id, service, island, count(*) AS signal_count, max(confidence) AS confidence, min("timestamp") AS first_seen,
           max("timestamp") AS last_seen, min("timestamp") FILTER (confidence >= 0.6) AS paged_at FROM c GROUP BY ALL),
         e AS (SELECT f.*, (SELECT min(r."timestamp") FROM {{resolves}} r WHERE r.tenant_id = f.tenant_id AND r.service = f.service AND r."timestamp" >= f.last_seen) AS resolved FROM f)
         SELECT tenant_id, service, {r6('confidence')} AS confidence, signal_count, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen,
-          epoch_us(paged_at) AS paged_at, CASE WHEN resolved IS NULL THEN 'open' ELSE 'resolved' END AS status, epoch_us(resolved) AS resolved_at FROM e""",
-)
+          epoch_us(paged_at) AS paged_at, CASE WHEN resolved IS NULL THEN 'open' ELSE 'resolved' END AS status, epoch_us(resolved) AS resolved_at FROM e"""
+
+
+@register("stream_incidents", _INCIDENTS)
 def incidents(spark, sf):
     folder = scratch(spark)
     resolves = A.resolves(spark, sf)
@@ -170,6 +171,19 @@ def incidents(spark, sf):
     return now.select("tenant_id", "service", "confidence", "signal_count", "first_seen", "last_seen", "paged_at", "status", "resolved_at")
 
 
+@register("stream_correlation", _INCIDENTS)
+def correlation(spark, sf):
+    """Signals and resolves come in no order at all, so incidents told by one batch are split and closed by later ones."""
+    folder = scratch(spark)
+    both = A.signals(spark, sf).withColumn("what", F.lit("signal")).unionByName(A.resolves(spark, sf).withColumn("what", F.lit("resolve")), allowMissingColumns=True)
+    stream = as_stream(both, f"{folder}/in", per_trigger=4, shuffled=True)
+    SC.stream_correlation(
+        stream.filter("what = 'signal'"), stream.filter("what = 'resolve'"), f"{folder}/out", f"{folder}/checkpoint", available_now=True
+    ).awaitTermination()
+    found = SC.read_incidents(spark, f"{folder}/out")
+    return found.select("tenant_id", "service", "confidence", "signal_count", "first_seen", "last_seen", "paged_at", "status", "resolved_at")
+
+
 @register(
     "stream_anomalies",
     f"""WITH newest AS (SELECT date_trunc('second', max("timestamp")) AS at_ FROM {{logs}}),
