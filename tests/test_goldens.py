@@ -144,6 +144,10 @@ def test_exposure(spark):
     assert got["t"]["affected_plan_tiers"] == ["enterprise", "pro"] and got["t"]["customer_count"] == 3
     assert "strictest-SLA (99.990%)" in got["t"]["basis"]
     assert got["u"]["revenue_low"] == 50 and got["u"]["worst_sla_target"] is None
+    incidents = spark.createDataFrame([("t", "web", 4), ("t", "unmapped", 1)], "tenant_id string, service string, signal_count int")
+    found = {r["service"]: r for r in B.incident_exposure(incidents, df).collect()}
+    assert (found["web"]["revenue_high"], found["web"]["mapping_count"]) == (2000, 1)
+    assert (found["unmapped"]["revenue_high"], found["unmapped"]["revenue_low"], found["unmapped"]["mapping_count"]) == (0, 0, 0)
 
 
 def test_invoice(spark):

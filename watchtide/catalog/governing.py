@@ -166,16 +166,28 @@ def dropped(spark, sf):
     return docs.select("doc_id", "m.text", "m.types")
 
 
-@register(
-    "mask_pii_hash",
-    f"""WITH m AS (SELECT doc_id AS id, regexp_extract_all(text, '{MK.DETECTORS["email"]}') AS ms, string_split(regexp_replace(text, '{MK.DETECTORS["email"]}', chr(1), 'g'), chr(1)) AS ps FROM documents),
-        x AS (SELECT id, ms, ps, unnest(range(0, len(ps))) AS i FROM m)
-        SELECT id AS doc_id, string_agg(concat(CASE WHEN i = 0 THEN '' ELSE concat('email:', substr(sha256(ms[i]), 1, 12)) END, ps[i + 1]), '' ORDER BY i) AS text FROM x GROUP BY id""",
-)
+def _hash_sql() -> str:
+    """All detectors in their order: each splits the text around its matches and puts hashes in their place."""
+    steps, source = [], f"(SELECT doc_id AS id, coalesce(text, '') AS t, [] AS ks FROM documents)"
+    for kind, pattern in MK.DETECTORS.items():
+        if kind == "ipv4":  # the first one with word boundaries
+            source = f"(SELECT id, {_MARK.replace('(text', '(t')} AS t, ks FROM {source})"
+        hit = _LUHN if kind == "card" else "true"
+        steps.append(f"""{kind}_cut AS (SELECT id, ks, regexp_extract_all(t, '{pattern}') AS ms, string_split(regexp_replace(t, '{pattern}', chr(1), 'g'), chr(1)) AS ps FROM {source}),
+            {kind}_part AS (SELECT id, ks, i, ps[i + 1] AS piece, CASE WHEN i > 0 THEN ms[i] END AS hit, CASE WHEN i > 0 THEN regexp_replace(ms[i], '[^0-9]', '', 'g') ELSE '' END AS d
+              FROM (SELECT *, unnest(range(0, len(ps))) AS i FROM {kind}_cut)),
+            {kind}_done AS (SELECT id, list_concat(ks, CASE WHEN bool_or(hit IS NOT NULL AND {hit}) THEN ['{kind}'] ELSE [] END) AS ks,
+              string_agg(concat(CASE WHEN hit IS NULL THEN '' WHEN {hit} THEN concat('{kind}:', substr(sha256(hit), 1, 12)) ELSE hit END, piece), '' ORDER BY i) AS t
+              FROM {kind}_part GROUP BY id, ks)""")
+        source = f"{kind}_done"
+    return f"""WITH {", ".join(steps)} SELECT id AS doc_id, regexp_replace(t, {_UNMARK}, '', 'g') AS text, array_to_string(list_sort(ks), ',') AS types FROM {source}"""
+
+
+@register("mask_pii_hash", _hash_sql())
 def hashed(spark, sf):
-    """E-mails replaced by a hash of themselves."""
-    masked_text = F.when(F.col("text").rlike(MK.DETECTORS["email"]), MK._detect(F.col("text"), "email", "hash")).otherwise(F.col("text"))
-    return A.load(spark, sf, "documents").select("doc_id", masked_text.alias("text"))
+    """Whatever a detector finds is replaced by a hash of itself."""
+    docs = A.load(spark, sf, "documents").select("doc_id", MK.mask_pii("text", dict.fromkeys(MK.DETECTORS, "hash")).alias("m"))
+    return docs.select("doc_id", "m.text", F.array_join("m.types", ",").alias("types"))
 
 
 @register(

@@ -121,14 +121,13 @@ def customers(spark, sf):
     "incident_exposure",
     f"""WITH i AS (SELECT tenant_id, service, count(*) AS signal_count FROM {{signals}} GROUP BY ALL),
         x AS (SELECT tenant_id, service, sum(monthly_revenue) FILTER (monthly_revenue > 0) AS total, max(sla_target) FILTER (sla_target > 0) AS sla, count(*) AS mapping_count
-          FROM {{business}} WHERE service <> 'svc_6' GROUP BY ALL)
+          FROM {{business}} GROUP BY ALL)
         SELECT i.tenant_id, i.service, signal_count, coalesce({rn(f"total * {_BUDGET}", 2)}, 0) AS revenue_low, coalesce({rn("total", 2)}, 0) AS revenue_high,
           coalesce(mapping_count, 0) AS mapping_count FROM i LEFT JOIN x USING (tenant_id, service)""",
 )
 def at_risk(spark, sf):
     incidents = A.signals(spark, sf).groupBy("tenant_id", "service").agg(F.count("*").alias("signal_count"))
-    mappings = A.business_context(spark, sf).filter(F.col("service") != "svc_6")
-    found = B.incident_exposure(incidents, mappings)
+    found = B.incident_exposure(incidents, A.business_context(spark, sf))
     return found.select("tenant_id", "service", "signal_count", "revenue_low", "revenue_high", "mapping_count")
 
 

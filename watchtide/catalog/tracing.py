@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import trailing
 from ..operators import traces as T
+from ..plans.ranking import top_n_per_group
 from ..sources import adapters as A
 from .base import ALL_TIME, NOW, TENANT, r6, register
 
@@ -90,17 +91,18 @@ def blast_radius(spark, sf):
 
 @register(
     "blast_radius_sparse",
-    """WITH RECURSIVE n AS (SELECT DISTINCT tenant_id, caller, callee FROM {calls}),
-       g AS (SELECT * FROM n WHERE (cast(substr(caller, 5) AS int) + 1) % 7 = cast(substr(callee, 5) AS int)),
+    """WITH RECURSIVE n AS (SELECT tenant_id, caller, callee, row_number() OVER (PARTITION BY tenant_id, caller ORDER BY count(*) DESC, callee) AS nth
+         FROM {calls} GROUP BY tenant_id, caller, callee),
+       g AS (SELECT tenant_id, caller, callee FROM n WHERE nth = 1),
        r AS (SELECT tenant_id, callee AS service, caller AS affected FROM g UNION
              SELECT r.tenant_id, r.service, g.caller FROM r JOIN g ON r.tenant_id = g.tenant_id AND r.affected = g.callee)
        SELECT tenant_id, service, affected FROM r WHERE service <> affected""" + _IN_FOCUS,
 )
-def blast_ring(spark, sf):
-    """The same over the ring inside the graph, where the closure takes several rounds through a cycle."""
-    number = lambda c: F.substring(c, 5, 10).cast("int")
-    ring = links_of(spark, sf).filter((number("caller") + 1) % 7 == number("callee"))
-    return T.blast_radius(ring, _focus(spark, sf))
+def main_dependencies(spark, sf):
+    """The same over main dependencies: of all calls of a service those to the service that it calls most."""
+    calls = T._calls(A.traces(spark, sf), AS_OF, ALL_TIME).groupBy(*T.EDGE).agg(F.count("*").alias("calls"))
+    main = top_n_per_group(calls, ["tenant_id", "caller"], [F.col("calls").desc(), F.col("callee")], 1)
+    return T.blast_radius(main.select(*T.EDGE), _focus(spark, sf))
 
 
 @register(
