@@ -102,7 +102,7 @@ def gelf(spark, sf):
         F.unix_seconds("at").alias("timestamp"), (key() % 8).alias("level"), F.col("user_id").cast("string").alias("_route"), F.lit("x").alias("_id"),
     )
     line = F.when(key() % 17 == 0, "not json").otherwise(F.to_json(record))
-    parsed = LN.parse_gelf(events(spark, sf).select("event_id", line.alias("value")))
+    parsed = LN.parse_gelf(A.spread(events(spark, sf).select("event_id", line.alias("value"))))
     route = F.get_json_object(F.concat(F.lit("["), F.col("extra")["route"], F.lit("]")), "$[0]")
     return parsed.filter(F.col("extra")["id"].isNull()).select("event_id", "service", "level", "message", "timestamp", route.alias("route"))
 
@@ -152,7 +152,7 @@ def syslog(spark, sf):
         F.lit(" - ID47 "), data, F.lit(" 'value' of ["), key().cast("string"), F.lit("] is -1"),
     )
     text = F.when(key() % 11 == 0, F.concat(F.lit("<x> plain "), key().cast("string"))).otherwise(line)
-    parsed = LN.parse_syslog(events(spark, sf).select("event_id", text.alias("value")))
+    parsed = LN.parse_syslog(A.spread(events(spark, sf).select("event_id", text.alias("value"))))
     missing = lambda c: F.coalesce(c, F.lit("∅"))
     return parsed.select("event_id", missing(F.col("service")).alias("service"), "level", "message", missing(F.col("extra")["host"]).alias("host"))
 
@@ -174,7 +174,7 @@ def _resource():
 def _export(df, root, scopes, inner):
     """One export document per event with two inner records."""
     body = F.to_json(F.struct(F.array(F.struct(_resource().alias("resource"), F.array(F.struct(*inner)).alias(scopes))).alias(root)))
-    return df.select("event_id", body.alias("value"))
+    return A.spread(df.select("event_id", body.alias("value")))
 
 
 @register(

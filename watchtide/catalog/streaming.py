@@ -219,7 +219,7 @@ def event_lines(spark, sf):
     )
     line = F.when(key % 13 == 0, F.concat(F.lit("broken "), key.cast("string"))).otherwise(payload)
     tenant = F.concat(F.lit("ten_"), (F.col("user_id") % 3).cast("string")).alias("tenant_id")
-    return A.load(spark, sf, "events").select("event_id", tenant, line.alias("value"))
+    return A.spread(A.load(spark, sf, "events").select("event_id", tenant, line.alias("value")))
 
 
 INGEST_STEPS = [
