@@ -398,7 +398,8 @@ def remapped(spark, sf):
         F.col("event_type").alias("kind"), F.col("value").cast("string").alias("value"), F.struct(F.lit(1).alias("me")).alias("drop"), F.lit("s3cret").alias("secret"),
         F.lit("x").alias("old"), F.lit("").alias("blank"), F.col("user_id").alias("uid"),
     ))
-    out = apply_remap(events(spark, sf).select("event_id", payload.alias("payload")), STEPS, default_route="logs")
+    dealt = A.spread(events(spark, sf).select("event_id", "event_type", "value", "user_id"))
+    out = apply_remap(dealt.select("event_id", payload.alias("payload")), STEPS, default_route="logs")
     read = lambda path: F.get_json_object("payload", path)
     return out.filter(read("$.old").isNull() & read("$.bad").isNull()).select(
         "event_id", read("$.a.b").alias("a_b"), read("$.n").cast("bigint").alias("n"), read("$.secret").alias("secret"), read("$.fresh.name").alias("fresh"),

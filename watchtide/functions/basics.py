@@ -80,6 +80,7 @@ def settled(value: Column) -> Column:
 
     Spark copies a column's definition into every filter above it. For the result of a long chain of
     steps that means computing the chain once more per mention, so the chain ends in a value the
-    optimizer does not copy.
+    optimizer does not copy. A random number compared with a constant as it is would not do: Spark
+    knows that ``rand() >= 0`` always holds and drops it.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.rand(0) + 1 > 0, value)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import configure
 
 AS_OF = "2024-01-31 00:00:00"
+# Tasks per core that rows are dealt to, so that no core waits long for the last ones.
+WAVES = 4
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +17,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores, dealt to all of them: worth its shuffle ahead of costly work per row.
+    """Rows dealt to all cores: worth its shuffle ahead of costly work per row.
 
-    A table of many splits stays as it is.
+    A split without the middle of a row group gives no rows, so a file of few row groups keeps few cores busy however
+    many splits it has. Only a table of many times more splits than cores stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    slots = WAVES * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def _tag(prefix: str, number: Column) -> Column:
