@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from watchtide.sources import adapters as A
 from watchtide.sources.remap import Call, Path, apply_remap
+from watchtide.sources.webhooks import normalize_change_webhooks
 
 
 def optimized(df):
@@ -33,3 +34,11 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
         for k, v in usual.items():
             spark.conf.set(k, v)
     assert len(dealt) >= 8 and sum(r["count"] for r in dealt) == 20_000 and max(r["count"] for r in dealt) < 5_000
+
+
+def test_webhook_bodies_are_read_once(spark):
+    bodies = [("GitHub", "deployment", '{"repository":{"name":"r"},"deployment":{"id":7,"sha":"s","creator":{"login":"l"}}}'), ("github", "push", "{}"), ("ld", "", "[1]"), ("svn", "x", "{}")]
+    out = normalize_change_webhooks(spark.createDataFrame(bodies, "provider string, event_type string, payload string"))
+    assert optimized(out).count("from_json") == 1
+    got = sorted((r.service, r.deploy_id, r.author, r.error) for r in out.collect())
+    assert got == [("", "", "", "ld payload is not a JSON object"), ("", "", "", "unknown provider svn"), ("r", "7", "l", None)]

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.basics import settled
 from ..functions.levels import otlp_level
 from ..sources import adapters as A
 from ..sources import lines as LN
@@ -367,7 +368,9 @@ def webhooks(spark, sf):
     providers = F.array(*map(F.lit, ["GitHub", "github", "github", "github", "gitlab", "gitlab", "gitlab", "ld", "svn", "github"]))
     kinds = F.array(*map(F.lit, ["deployment", "workflow_run", "push", "workflow_run", "", "", "", "", "deployment", "push"]))
     at = (k + 1).cast("int")
-    rows = events(spark, sf).select("event_id", F.element_at(providers, at).alias("provider"), F.element_at(kinds, at).alias("event_type"), F.element_at(F.array(*bodies), at).alias("payload"))
+    body = reduce(lambda chosen, n: chosen.when(k == n, bodies[n]), range(1, len(bodies)), F.when(k == 0, bodies[0]))  # only the row's own is built
+    dealt = A.spread(events(spark, sf).select("event_id", "user_id", "event_type"))
+    rows = dealt.select("event_id", F.element_at(providers, at).alias("provider"), F.element_at(kinds, at).alias("event_type"), settled(body).alias("payload"))
     out = normalize_change_webhooks(rows)
     return out.select("event_id", "service", "environment", "kind", "git_sha", "deploy_id", "flag_key", "author", "title", F.coalesce("error", F.lit("")).alias("error"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import text_or_empty
+from ..functions.basics import settled, text_or_empty
 from ..functions.fields import ref_name
 
 # Provider names and the wording of change titles.
@@ -41,9 +41,8 @@ def normalize_change_webhooks(df: DataFrame) -> DataFrame:
     gives a row with ``error`` set and empty change fields. Other columns stay.
     """
     provider = F.lower(text_or_empty("provider"))
-    parsed = df.withColumn("_p", F.from_json("payload", _PAYLOAD)).withColumn(
-        "_ok", F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
-    )
+    parsed = df.withColumn("_p", settled(F.from_json("payload", _PAYLOAD)))  # read once, not once per field
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
     p = F.col("_p")
     deployment, run, attributes = p["deployment"], p["workflow_run"], p["object_attributes"]
     repository = p["repository"]["name"]
@@ -95,7 +94,7 @@ def normalize_change_webhooks(df: DataFrame) -> DataFrame:
         title=F.coalesce(F.nullif(p["title"], F.lit("")), described),
     )
     error = F.when(~provider.isin(PROVIDERS), F.concat(F.lit("unknown provider "), text_or_empty("provider"))).when(
-        ~F.col("_ok"), F.concat(provider, F.lit(" payload is not a JSON object"))
+        ~readable, F.concat(provider, F.lit(" payload is not a JSON object"))
     )
     change = (
         F.when(F.col("_error").isNotNull(), _change())
@@ -103,6 +102,6 @@ def normalize_change_webhooks(df: DataFrame) -> DataFrame:
         .when(provider == "gitlab", gitlab)
         .otherwise(flag)
     )
-    rows = parsed.withColumn("_error", error).withColumn("_c", change).filter(F.col("_c").isNotNull())
+    rows = parsed.withColumn("_error", settled(error)).withColumn("_c", settled(change)).filter(F.col("_c").isNotNull())
     kept = [c for c in df.columns if c not in ("payload", *CHANGE_COLUMNS)]
     return rows.select(*kept, "_c.*", F.col("_error").alias("error"))
