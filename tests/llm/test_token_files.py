@@ -86,3 +86,15 @@ def test_files_follow_their_numbers(spark):
     numbers = [0, 9, 10, 99_999, 100_000, 100_009, 1_000_000]
     names = spark.createDataFrame([(f"part-{n:05d}-abc-c000.txt",) for n in reversed(numbers)], "file string")
     assert [r[0] for r in names.orderBy(token_files._number("file")).select(token_files._number("file")).collect()] == numbers
+
+
+def test_parts_without_text_are_not_looked_up(monkeypatch):
+    class Watched(dict):
+        def __getitem__(self, key):
+            assert key
+            return super().__getitem__(key)
+
+    encoder = token_files.Encoder(PATH)
+    encoder.recent = Watched(encoder.recent)
+    texts = ["One two three, four.", "", "and more"]
+    assert encoder.encode(texts) == token_files.Encoder(PATH).encode(texts)

@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -91,9 +92,9 @@ class Encoder:
         if len(self.recent) > MEMORY:
             self.older, self.recent = self.recent, {"": b""}
         recent, older = self.recent, self.older
-        cut = [_WORD.split(t) if self.special is None or not self.special.search(t) else [t] for t in texts]
+        cut = [list(filter(None, _WORD.split(t))) if self.special is None or not self.special.search(t) else [t] for t in texts]
         new = []
-        for s in {s for parts in cut for s in parts if s not in recent}:
+        for s in set(chain.from_iterable(cut)).difference(recent):
             if (ids := older.get(s)) is None:
                 new.append(s)
             else:
