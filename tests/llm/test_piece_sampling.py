@@ -97,3 +97,15 @@ def test_rows_are_reproducible_whatever_the_partitioning(spark):
 
 def test_empty_table(spark):
     assert piece_sampling.encode(empty(spark)).collect() == []
+
+
+def test_memory_of_a_worker_is_bounded():
+    import random
+
+    rng = random.Random(7)
+    worker, most = piece_sampling.Lattice(PATH, 1.0), 0
+    for _ in range(9):
+        texts = [" ".join("".join(rng.choices("etaoinsrhl", k=9)) for _ in range(700)) for _ in range(16)]
+        worker.sample(texts, np.arange(16, dtype=np.uint64), 1)
+        most = max(most, sum(a.nbytes for a in (worker.upto, worker.first, worker.piece, worker.back)))
+    assert worker.n < 9 * 16 * 700 * 9 and most < 40e6

@@ -27,8 +27,8 @@ from .common import arrow, mixed
 VOCABULARY = "piece_bpe_32k.model"
 # Weights are the pieces' probabilities to this power; lower is more varied.
 ALPHA = 1.0
-# Lattice positions that a worker keeps before it starts anew.
-MEMORY = 2_500_000
+# Lattice positions that a worker keeps before it starts anew; every core has a worker.
+MEMORY = 500_000
 _ONE = 1 << 32
 # Characters of a unit that is summed together with others.
 _SHORT = 32
