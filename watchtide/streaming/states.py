@@ -15,18 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 FAN = 16
 LEDGER = "upto bigint, level int, folder string"
+# Folders are named like partitions and the ledger is hidden, so that ``out`` as a whole reads as one table of states.
+FOLDER = "batches="
 
 Folder = tuple[int, str]  # level and name
 
 
 def begin(spark: SparkSession, out: str) -> None:
     """An empty ledger where there is none."""
-    spark.createDataFrame([(-1, None, None)], LEDGER).coalesce(1).write.mode("ignore").parquet(f"{out}/ledger/slot=1")
+    spark.createDataFrame([(-1, None, None)], LEDGER).coalesce(1).write.mode("ignore").parquet(f"{out}/_ledger/slot=1")
 
 
 def committed(spark: SparkSession, out: str) -> tuple[int, list[Folder]]:
     """The newest batch that counts, and the live folders from the oldest on; their number is bounded by the sizes."""
-    rows = spark.read.schema(f"{LEDGER}, slot int").parquet(f"{out}/ledger").collect()
+    rows = spark.read.schema(f"{LEDGER}, slot int").parquet(f"{out}/_ledger").collect()
     upto = max(r.upto for r in rows)
     named = {(r.level, r.folder) for r in rows if r.upto == upto and r.folder is not None}
     return upto, sorted(named, key=lambda f: int(f[1].split("-")[0]))
@@ -49,16 +51,16 @@ def add(states: DataFrame, out: str, number: int, merge: Callable[[DataFrame], D
     upto, live = committed(spark, out)
     if number <= upto:
         return
-    states.write.mode("overwrite").parquet(f"{out}/{number}-{number}")
+    states.write.mode("overwrite").parquet(f"{out}/{FOLDER}{number}-{number}")
     live.append((0, f"{number}-{number}"))
     for merged, (_, name) in folds(live, fan):
-        merge(_read(spark, out, merged)).write.mode("overwrite").parquet(f"{out}/{name}")
+        merge(_read(spark, out, merged)).write.mode("overwrite").parquet(f"{out}/{FOLDER}{name}")
     rows = [(number, level, name) for level, name in live]
-    spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{out}/ledger/slot={number % 2}")
+    spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{out}/_ledger/slot={number % 2}")
 
 
 def _read(spark: SparkSession, out: str, folders: list[Folder]) -> DataFrame:
-    return spark.read.parquet(*[f"{out}/{name}" for _, name in folders])
+    return spark.read.parquet(*[f"{out}/{FOLDER}{name}" for _, name in folders])
 
 
 def live_states(spark: SparkSession, out: str) -> DataFrame:
