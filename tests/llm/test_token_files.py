@@ -98,3 +98,32 @@ def test_parts_without_text_are_not_looked_up(monkeypatch):
     encoder.recent = Watched(encoder.recent)
     texts = ["One two three, four.", "", "and more"]
     assert encoder.encode(texts) == token_files.Encoder(PATH).encode(texts)
+
+
+def test_words_are_encoded_many_at_once(monkeypatch):
+    class Counted:
+        def __init__(self, model):
+            self.model, self.texts = model, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.model.encode_batch_fast(texts, **how)
+
+    words = list(dict.fromkeys(w for k in range(200) for w in sentence(random.Random(k), 40).split()))
+    texts = [" ".join(words), "\n".join(words), "Élan,Çà été; " + ". ".join(words)]
+    encoder = token_files.Encoder(PATH)
+    encoder.model = counted = Counted(encoder.model)
+    want = [[*counted.model.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+    assert [np.frombuffer(p, "<u2").tolist() for p in encoder.encode(texts)] == want
+    assert counted.texts < len(words)
+    # where line feeds cannot be told apart, words are encoded one by one
+    monkeypatch.setattr(token_files.Encoder, "_words", lambda self, words: None)
+    assert [np.frombuffer(p, "<u2").tolist() for p in token_files.Encoder(PATH).encode(texts)] == want
+
+
+def test_texts_beside_a_special_one_are_cut(spark):
+    encoder, model = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["<|endof", "text|> one two", "", None, "a<|endoftext|>b c", "three four", "", "\nfive\n six"]
+    got = encoder.encode(texts)
+    assert [np.frombuffer(p, "<u2").tolist() for p in got] == [[*model.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert b" four" in encoder.recent and b"a<|endoftext|>b c" in encoder.recent

@@ -16,7 +16,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, stash
+from .common import arrow, pieces, stash, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # Text bytes that one file should hold.
 FILE_BYTES = 8 << 20
+# Text bytes that are cut and encoded at a time; a longer text alone.
+STEP_BYTES = 2 << 20
 # Distinct cuts of text whose ids a worker remembers in each of two generations.
 MEMORY = 300_000
 _MASK = 0xA282EAD8
@@ -63,16 +64,50 @@ def records(content: bytes) -> Iterator[tuple[int, bytes]]:
         at += 12 + length + 5
 
 
-# Latin words with at most one space before them, where nothing around belongs to the same unit. A word
-# without a space of its own is left with the white space before it if that is longer than one character:
-# the vocabulary ends such a run one character before the word, which only the word's presence tells.
-_WORD = re.compile(r"((?: |(?<![\w'])(?<!\s\s))[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?;:|*%$&#()\"]|$))")
+# What a byte may be next to a cut: part of a letter, of a visible character, white space, white space but a blank,
+# a visible sign, and such a sign but the apostrophe that begins "'s".
+_LETTER, _SOLID, _WHITE, _BREAK, _SIGN, _PLAIN = 1, 2, 4, 8, 16, 32
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SOLID | _SIGN | _PLAIN
+_KIND[ord("'")] = _SOLID | _SIGN
+_KIND[ord("0") : ord("9") + 1] = _SOLID
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER | _SOLID
+_KIND[9:14] = _WHITE | _BREAK
+_KIND[32] = _WHITE
+# Last bytes of the letters from U+00C0 to U+00FF; all of them begin with the same byte.
+_LATIN_LEAD = 0xC3
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+# A word whose ids stay the same between line feeds.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_WORDS_AT_ONCE = 64
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Whether a text may be cut before each byte without a change of its ids.
+
+    In this kind of vocabulary no unit has white space behind a visible character or mixes letters with signs, apart
+    from "'s" and its like. A cut is never made behind white space, where the unit depends on what follows, except
+    behind a single character that is no blank and before a letter.
+    """
+    kind = _KIND[data]
+    end = kind.copy()  # the kind of the character that ends here
+    if len(data) > 1:
+        end[1:][(data[:-1] == _LATIN_LEAD) & _LATIN[data[1:]]] = _LETTER | _SOLID
+    places = np.zeros(len(data), bool)
+    before, here = end[:-1], kind[1:]
+    letter = (here & _LETTER) != 0
+    places[1:] = ((before & _SOLID) != 0) & ((here & _WHITE) != 0)
+    places[1:] |= ((before & _LETTER) != 0) & ((here & _SIGN) != 0)
+    places[1:] |= ((before & _PLAIN) != 0) & letter
+    places[2:] |= ((before[1:] & _BREAK) != 0) & ((end[:-2] & _SOLID) != 0) & letter[1:]
+    return places
 
 
 class Encoder:
-    """Ids of texts. A Latin word, with the space before it, is always a unit of its own in this kind of
-    vocabulary, so texts are cut around such words and the ids of each cut are remembered: the
-    latest ``MEMORY`` cuts, and those before them until they are replaced."""
+    """Ids of texts. Texts are cut where that leaves their units whole, equal cuts are found by Arrow, and the ids of
+    each cut are remembered: the latest ``MEMORY`` cuts, and those before them until they are replaced."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
@@ -80,31 +115,79 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        self.recent: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        special = [re.escape(t.content.encode()) for t in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special)) if special else None
+        self.line_feed = self.model.encode("\n", add_special_tokens=False).ids
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of every text, the end id last; a null text is empty."""
+        data, offsets = text_bytes(texts)
+        end = self.packed([END_ID])
+        if not len(data):
+            return [end] * len(texts)
+        starts = np.flatnonzero(self._places(data, offsets))
+        borders = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        cuts = pa.Array.from_buffers(pa.binary(), len(starts), [None, borders, pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._ids(cuts.dictionary.to_pylist()), pa.large_binary()).take(cuts.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(starts, offsets)].tolist()
+        content = memoryview(ids.buffers()[2])
+        return [b"".join((content[first:last], end)) for first, last in zip(at, at[1:])]
+
+    def _places(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where cuts begin; a text with a special token in it stays whole."""
+        places = cut_places(data)
+        if self.special is not None and self.special.search(data):
+            for first, last in zip(offsets.tolist(), offsets[1:].tolist()):
+                if self.special.search(data[first:last]):
+                    places[first:last] = False
+        places[offsets[offsets < len(data)]] = True
+        return places
+
+    def _ids(self, cuts: list[bytes]) -> list[bytes]:
         if len(self.recent) > MEMORY:
-            self.older, self.recent = self.recent, {"": b""}
+            self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
-        cut = [list(filter(None, _WORD.split(t))) if self.special is None or not self.special.search(t) else [t] for t in texts]
-        new = []
-        for s in set(chain.from_iterable(cut)).difference(recent):
-            if (ids := older.get(s)) is None:
-                new.append(s)
+        found = list(map(recent.get, cuts))
+        words, others = [], []
+        for k in (k for k, ids in enumerate(found) if ids is None):
+            cut = cuts[k]
+            if (ids := older.get(cut)) is not None:
+                found[k] = recent[cut] = ids
             else:
-                recent[s] = ids
-        for first in range(0, len(new), 1024):
-            some = new[first : first + 1024]
-            for s, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                recent[s] = self.packed(e.ids)
-        end = self.packed([END_ID])
-        return [b"".join(map(recent.__getitem__, parts)) + end for parts in cut]
+                (words if _WORD.fullmatch(cut) else others).append(k)
+        # words are encoded many at once, a line feed between two
+        for run in (words[n : n + _WORDS_AT_ONCE] for n in range(0, len(words), _WORDS_AT_ONCE)):
+            parts = self._words([cuts[k] for k in run])
+            if parts is None:
+                others += run
+                continue
+            for k, ids in zip(run, parts, strict=True):
+                found[k] = recent[cuts[k]] = ids
+        for first in range(0, len(others), 1024):
+            run = others[first : first + 1024]
+            for k, e in zip(run, self.model.encode_batch_fast([cuts[k].decode() for k in run], add_special_tokens=False), strict=True):
+                found[k] = recent[cuts[k]] = self.packed(e.ids)
+        return found
+
+    def _words(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words, encoded as one text; None if the line feeds between them cannot be told from ids of words."""
+        if len(self.line_feed) != 1:
+            return None
+        (e,) = self.model.encode_batch_fast([b"\n".join(words).decode()], add_special_tokens=False)
+        ids = np.array(e.ids, f"<u{self.width}")
+        feeds = np.flatnonzero(ids == self.line_feed[0])
+        if len(feeds) != len(words) - 1:
+            return None
+        content, feeds = ids.tobytes(), (feeds * self.width).tolist()
+        return [content[first:last] for first, last in zip([0, *(f + self.width for f in feeds)], [*feeds, len(content)])]
 
 
 @lru_cache(maxsize=1)
@@ -117,11 +200,10 @@ def _frame(batches, vocabulary: str):
     encoder = _encoder(vocabulary)
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for first in range(0, len(texts), 64):
-            packed = encoder.encode(texts[first : first + 64])
-            own = ids[first : first + 64]
-            out = [framed(_OWN.pack(i is None, i or 0) + b) for i, b in zip(own, packed, strict=True)]
+        offsets = text_bytes(batch.column(1))[1]
+        for first, last in pieces(offsets, STEP_BYTES):
+            packed = encoder.encode_column(batch.column(1).slice(first, last - first))
+            out = [framed(_OWN.pack(i is None, i or 0) + b) for i, b in zip(ids[first:last], packed, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
