@@ -114,3 +114,56 @@ def test_lookup_of_stored_ids_prunes(spark, many, folder):
     assert "dynamicpruning" in plan.lower()
     S.write_signal(many, folder, "logs")
     assert S.read_signal(spark, folder, "logs").count() == MANY
+
+
+def test_ingest_parses_a_batch_once_and_behind_its_shuffle(spark, monkeypatch, folder):
+    from watchtide.catalog.streaming import as_stream
+    from watchtide.sources.records import IngestConfig
+
+    apply_remap, seen = SI.apply_remap, []
+    rows = spark.createDataFrame([("t", '{"message": "m%d"}' % k) for k in range(3)] + [("t", "broken"), ("t", "[1]"), ("t", " ")], "tenant_id string, value string")
+
+    def watched(df, *how, **more):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return apply_remap(df, *how, **more)
+
+    monkeypatch.setattr(SI, "apply_remap", watched)
+    SI.ingest_batch(rows, f"{folder}/base", IngestConfig(as_of="2024-01-01T00:00:00Z"), [], 1, ["logs"])
+    above, below = seen[0].split("Aggregate", 1)
+    assert "parsejson" in above.lower() and "parsejson" not in below.lower(), seen[0]
+    assert sorted(r.message for r in spark.read.parquet(f"{folder}/base/logs").collect()) == ["m0", "m1", "m2"]
+    dead = spark.read.parquet(f"{folder}/base/dead_letters").select("payload", "error", "status").collect()
+    assert sorted(tuple(r) for r in dead) == [("[1]", "not a JSON object", "pending"), ("broken", "not a JSON object", "pending")]
+
+    as_stream(spark.range(10_000).withColumn("value", F.lit("x")), f"{folder}/in", shuffled=True)
+    parts = spark.read.parquet(f"{folder}/in")
+    assert parts.count() == 10_000
+    assert len(parts.inputFiles()) // 4 >= spark.sparkContext.defaultParallelism  # four batches
+
+
+def test_repeated_and_stored_ids_are_written_once(spark, folder):
+    def store(*ids):
+        rows = spark.createDataFrame([(t, i) for t, i in ids], "tenant_id string, id string").withColumn("timestamp", F.lit("2024-01-05").cast("timestamp"))
+        S.write_signal(conform(rows, "logs"), folder, "logs")
+        return sorted((r.tenant_id, r.id) for r in S.read_signal(spark, folder, "logs").collect())
+
+    assert store(("a", "1"), ("a", "2"), ("b", "1")) == [("a", "1"), ("a", "2"), ("b", "1")]
+    assert store(("a", "3"), ("a", "4")) == [("a", "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("b", "1")]
+    assert store(("a", "3"), ("a", "5"), ("a", "5"), ("c", "1"), ("c", "1")) == [("a", "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("a", "5"), ("b", "1"), ("c", "1")]
+
+
+def test_cheap_looks_change_no_text(spark):
+    from watchtide.functions.fields import is_json_object, json_entries, quote_json
+    from watchtide.functions.masking import gate_texts, mask_pii
+
+    odd = ["", "a", 'a"b', "a\\b", "a\nb", "a\n", "\n", "\x00", "\x7f", "é", "日本", "[x]", "[", "/", " ", None]
+    texts = spark.createDataFrame([(t,) for t in odd], "t string")
+    for r in texts.select("t", quote_json(F.col("t")).alias("fast"), F.trim(F.to_json(F.array("t")), F.lit("[]")).alias("slow")).collect():
+        assert r.fast == r.slow, repr(r.t)
+    lines = ["{}", '{"a":1}', "[1]", "1", "null", '"x"', "", "{", '{"a":1,"a":2}', '{"a":{"b":null}}', None]
+    for r in spark.createDataFrame([(t,) for t in lines], "t string").select("t", is_json_object("t").alias("fast"), json_entries("t").isNotNull().alias("slow")).collect():
+        assert r.fast == r.slow, repr(r.t)
+    lists = [["4111 1111", "1111 1111"], ["a@b", ".com"], ["x@example.com", "10.0.0.1", "+4912345678"], ["4111 1111 1111 1111", ""], ["", "eyJ"], ["eyJa.b.c"], [""], []]
+    rows = spark.createDataFrame([(t,) for t in lists], "t array<string>")
+    want = rows.select(F.transform("t", lambda t: mask_pii(t)["text"]).alias("w")).collect()
+    assert [r.t for r in gate_texts(rows, "t").collect()] == [r.w for r in want]

@@ -35,11 +35,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def as_stream(df: DataFrame, folder: str, order: str = "timestamp", files: int = FILES, per_trigger: int = 2, shuffled: bool = False) -> DataFrame:
-    """``df`` written as files and read back as a stream: one after the other in time order, or ``shuffled`` by a hash of the row."""
+    """``df`` written as files and read back as a stream: one after the other in time order, or ``shuffled`` by a hash of the row.
+
+    A shuffled batch holds the rows of ``per_trigger`` of twice ``files`` parts, each cut finer where there are more cores, so
+    that all of them read the batch.
+    """
     if shuffled:
         at = [F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
-        df.repartition(2 * files, F.xxhash64(*at)).write.parquet(folder)
-        return read_files(df.sparkSession, folder, df.schema, per_trigger)
+        finer = -(-df.sparkSession.sparkContext.defaultParallelism // per_trigger)
+        df.repartition(2 * files * finer, F.xxhash64(*at)).write.parquet(folder)
+        return read_files(df.sparkSession, folder, df.schema, per_trigger * finer)
     cuts = df.select(F.unix_micros(order).alias("_at") if order != "event_id" else F.col(order).alias("_at"))
     edges = cuts.agg(F.percentile_approx("_at", [i / files for i in range(1, files)])).first()[0]
     at = F.unix_micros(order) if order != "event_id" else F.col(order)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .basics import as_col, let, text_or_empty
 
 
+# Text that is its own JSON literal between quotes.
+PLAIN_TEXT = r"\A[ !#-\[\]-~]*\z"
+
+
 def json_path(parts) -> str:
     if isinstance(parts, str):
         parts = parts.split(".")
@@ -47,10 +51,16 @@ def json_entries(column) -> Column:
     return F.transform_values(parsed, lambda _, v: F.to_json(v))
 
 
+def is_json_object(column) -> Column:
+    """Whether :func:`json_entries` has a value, without writing the values out."""
+    return F.try_parse_json(as_col(column)).try_cast("map<string,variant>").isNotNull()
+
+
 def quote_json(text: Column) -> Column:
     """A string as a JSON literal."""
     # inside the brackets stands a quoted text or null, so no other bracket is at an end
-    return F.trim(F.to_json(F.array(text)), F.lit("[]"))
+    escaped = F.trim(F.to_json(F.array(text)), F.lit("[]"))
+    return F.when(text.rlike(PLAIN_TEXT), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def unquote_json(token: Column) -> Column:

@@ -134,7 +134,10 @@ def build_log_records(df: DataFrame, cfg: IngestConfig, ingested_by: str = "http
     # The message and the strings of the body pass the gate together, the message first.
     listed = harvested.withColumn("_tokens", json_strings("_harvest.body")).withColumn("_plain", _texts(given("message")))
     gated = gate_texts(listed.withColumn("_texts", F.col("_plain")), "_texts", cfg.masking_actions)
-    staged = gated.withColumn("_body", put_json_strings("_harvest.body", _masked_tokens()))
+    # a body without a change is as it was
+    same = F.slice("_texts", F.lit(2), F.size("_tokens")) == F.slice("_plain", F.lit(2), F.size("_tokens"))
+    body = F.when(same, F.col("_harvest.body")).otherwise(put_json_strings("_harvest.body", _masked_tokens()))
+    staged = gated.withColumn("_body", body)
     days = F.lit(cfg.retention_days) if cfg.retention_days is not None else F.lit(None).cast("int")
     identity = _identity(df)
     columns = {

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.basics import as_of_col
-from ..functions.fields import json_entries
+from ..functions.basics import as_of_col, settled
+from ..functions.fields import is_json_object
 from ..operators.scope import tenant_scope
 from ..schemas import conform, signal_schema
 from ..sources.records import IngestConfig, build_change_events, build_log_records, build_metric_points, build_spans, payload_fields
@@ -67,20 +67,24 @@ def ingest_batch(lines: DataFrame, base: str, cfg: IngestConfig, steps: list[dic
     A record's id is a hash of the batch number, its tenant, its text and which of the batch's equal lines it
     is. However a replayed batch is packed into partitions, it gives the same ids, which the idempotent
     writer drops. Equal lines are counted before they move, so a line that fills a batch does no harm.
+    The batch is read and parsed once, behind that shuffle: readable and unreadable lines come from one stored result.
     """
     payload = F.trim("value").alias("payload")
     equal = lines.filter(F.trim("value") != "").groupBy("tenant_id", payload).agg(F.count("*").alias("_n"))
     placed = equal.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     line = F.concat_ws("|", F.lit(str(number)), F.coalesce("tenant_id", F.lit("")), F.col("_nth").cast("string"), F.col("payload"))
     placed = placed.withColumn("id", F.sha2(line, 256)).drop("_n", "_nth")
-    readable = json_entries("payload").isNotNull()
-    marked = placed.withColumn("error", F.when(~readable, "not a JSON object")).withColumn("created_at", as_of_col(cfg.as_of))
-    good, dead = split_dead_letters(marked)
-    routed = apply_remap(good.select("tenant_id", "id", "payload"), steps, default_route="logs").persist()
+    # settled, or Spark would parse ahead of the shuffle, in the few tasks that read the batch
+    marked = placed.withColumn("error", settled(F.when(~is_json_object("payload"), "not a JSON object")))
+    marked = marked.withColumn("_unread", F.when(F.col("error").isNotNull(), F.col("payload")))
+    remapped = apply_remap(marked, steps, default_route="logs")
+    routed = remapped.select("tenant_id", "id", "payload", "route_to", "error", "_unread").persist()
     try:
+        unread = routed.select("tenant_id", "error", F.col("_unread").alias("payload"), as_of_col(cfg.as_of).alias("created_at"))
+        _, dead = split_dead_letters(unread)
         parsed = {}
         for table in tables:
-            rows = routed.filter(F.col("route_to") == table).select("tenant_id", "id", "payload")
+            rows = routed.filter(F.col("error").isNull() & (F.col("route_to") == table)).select("tenant_id", "id", "payload")
             if table == "logs":
                 parsed[table] = payload_fields(rows)
                 continue
